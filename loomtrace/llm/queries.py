@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtrace.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtrace.llm import byte_bpe
 

@@ -17,6 +17,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtrace.llm import avi
+
+    return avi.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtrace.llm import byte_bpe
 

@@ -15,7 +15,6 @@ table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 
 import numpy as np
@@ -24,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import map_slices
+from loomtrace.llm.pretokens import PreTokens
 
 #: Characters for which the Latin-1 form of the pattern below is exact.
 LATIN = re.compile("[\t-\r\x20-\x7e\xa0-\xff]*")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \xa0"
 #: public_tokenizers.PATTERN with its classes written out for Latin-1.
 PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Entries of a task's table of pre-tokens.
-TABLE = 300_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -47,39 +45,21 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class ByteBPE:
+class ByteBPE(PreTokens):
     """One tokenizer file in a worker: ``ids(texts)`` as little-endian bytes, ``raw(ids)`` back to bytes."""
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
         path = path or vocabulary_path()
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = True
+        super().__init__(library, PRE, lambda t: LATIN.fullmatch(t) is not None)
         back = {c: b for b, c in byte_characters().items()}
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+        vocab = library.get_vocab()
         self.pieces: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.pieces[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        self.table: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        latin = [LATIN.fullmatch(t) is not None for t in texts]
-        cut = [PRE.findall(t) if ok else [] for t, ok in zip(texts, latin, strict=True)]
-        unseen = list(set().union(*map(set, cut)) - self.table.keys()) if cut else []
-        fresh = dict(zip(unseen, self._library(unseen), strict=True))
-        if len(self.table) + len(fresh) <= TABLE:
-            self.table.update(fresh)
-            look = self.table
-        else:
-            look = self.table | fresh
-        whole = iter(self._library([t for t, ok in zip(texts, latin, strict=True) if not ok]))
-        return [b"".join(map(look.__getitem__, x)) if ok else next(whole) for x, ok in zip(cut, latin, strict=True)]
 
     def raw(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Entries of a task's table.
-TABLE = 300_000
+TABLE = 120_000
 
 
 class PreTokens:

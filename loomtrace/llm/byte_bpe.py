@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding over Arrow batches with the ``tokenizers`` library.
 
-Method. A text falls into pre-tokens (``public_tokenizers.PATTERN``); each is encoded alone, so a
-pre-token's ids never depend on its neighbours. A task keeps a bounded table of pre-token -> ids and
-sends only unseen ones to the library, in one call a batch. Texts with characters outside Latin-1 go
-to the library whole, as Python's ``re`` lacks its letter classes. Decoding reverses the vocabulary's
-byte-to-character table; bytes are joined before UTF-8 decoding, so characters split over several
+Method. A text falls into pre-tokens (``public_tokenizers.PATTERN``); each is mapped byte by byte to
+stand-in characters and encoded alone by the library's model, with bounded tables for what was seen
+before (``pretokens``). Texts with characters outside Latin-1, or with white space beside a space, go
+to the library whole. Decoding reverses the vocabulary's byte-to-character table; bytes are joined
+before UTF-8 decoding, so characters split over several
 tokens come back whole.
 
 Defined results: a null text counts as empty; an empty text has no ids and the digests of no bytes;
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import map_slices
-from loomtrace.llm.pretokens import PreTokens
+from loomtrace.llm.pretokens import PreTokens, byte_characters
 
 #: Characters for which the Latin-1 form of the pattern below is exact.
 LATIN = re.compile("[\t-\r\x20-\x7e\xa0-\xff]*")
@@ -31,6 +32,8 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \xa0"
 #: public_tokenizers.PATTERN with its classes written out for Latin-1.
 PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
+_BESIDE = re.compile(f" [{_S}]|[{_S}] ")
+
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -38,11 +41,9 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def byte_characters() -> dict[int, str]:
-    """The character that stands for each byte: itself if printable, else the next from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+def chunks(text: str) -> list[str] | None:
+    """Cut before every space; exact if no space has white space beside it."""
+    return text.split(" ") if LATIN.fullmatch(text) and not _BESIDE.search(text) else None
 
 
 class ByteBPE(PreTokens):
@@ -54,7 +55,7 @@ class ByteBPE(PreTokens):
         path = path or vocabulary_path()
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
-        super().__init__(library, PRE, lambda t: LATIN.fullmatch(t) is not None)
+        super().__init__(library, PRE, chunks, prefix=" ")
         back = {c: b for b, c in byte_characters().items()}
         vocab = library.get_vocab()
         self.pieces: list[bytes] = [b""] * (max(vocab.values()) + 1)
@@ -74,6 +75,12 @@ class ByteBPE(PreTokens):
         return char[ends - lengths], char[ends - 1] + 1
 
 
+@lru_cache(maxsize=2)
+def codec(path: str | None = None) -> ByteBPE:
+    """One codec a worker process, so that its table serves all tasks of the process."""
+    return ByteBPE(path)
+
+
 def _texts(piece: pa.RecordBatch) -> list[str]:
     return [t or "" for t in piece.column("text").to_pylist()]
 
@@ -82,7 +89,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """doc_id, ids, and the character offsets (starts, ends) of each id in the text."""
 
     def task():
-        bpe = ByteBPE(path)
+        bpe = codec(path)
 
         def each(piece: pa.RecordBatch) -> pa.RecordBatch:
             texts = _texts(piece)
@@ -101,7 +108,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     """doc_id and the decoded text; bytes that are no UTF-8 (a cut inside a character) become U+FFFD."""
 
     def task():
-        bpe = ByteBPE(path)
+        bpe = codec(path)
 
         def each(piece: pa.RecordBatch) -> pa.RecordBatch:
             ids = [np.asarray(x if x is not None else [], "<u4").tobytes() for x in piece.column("ids").to_pylist()]
@@ -117,7 +124,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """Encode each text, decode its ids, and keep the digests of both."""
 
     def task():
-        bpe = ByteBPE(path)
+        bpe = codec(path)
 
         def each(piece: pa.RecordBatch) -> pa.RecordBatch:
             found = bpe.ids(_texts(piece))

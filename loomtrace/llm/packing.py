@@ -24,6 +24,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,17 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
 def word_bpe(path: str | None = None) -> PreTokens:
+    """One encoder a worker process, so that its table serves all tasks of the process."""
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path or vocabulary_path())
-    return PreTokens(library, _WORDS, lambda t: "<|" not in t and _LATIN.fullmatch(t) is not None, str.lower)
+    return PreTokens(Tokenizer.from_file(path or vocabulary_path()), _WORDS, chunks)
+
+
+def chunks(text: str) -> list[str] | None:
+    """The words of the text in lower case, after an empty first chunk; white space has no ids."""
+    return ["", *text.lower().split()] if "<|" not in text and _LATIN.fullmatch(text) else None
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = TIERS[0], with_ids: bool = False) -> DataFrame:

@@ -34,6 +34,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtrace.llm import pii
+
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtrace.llm import avi
 

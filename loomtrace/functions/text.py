@@ -73,9 +73,9 @@ def word_ngrams(text: Column, n: int = 8) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct substrings of n characters of the lower-cased text."""
-    low = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))
-    return F.when(F.length(low) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<string>)"))
+    chars = F.split(F.lower(text), "")
+    grams = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

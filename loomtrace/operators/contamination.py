@@ -7,8 +7,14 @@ few (a checked size), else the join shuffles; frequent grams split by AQE's skew
 
 from __future__ import annotations
 
+import heapq
+import math
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from loomtrace.functions import text as T
 
@@ -45,22 +51,42 @@ def check(train: DataFrame, items: DataFrame, train_id: str, item_id: str, thres
     return joined.where((F.col("jaccard") >= threshold) | (F.col("char_jaccard") >= char_threshold))
 
 
+def _char_grams(text: str, k: int) -> set[str]:
+    low = text.lower()
+    return {low[i : i + k] for i in range(len(low) - k + 1)}
+
+
 def char_candidates(train: DataFrame, items: DataFrame, train_id: str, item_id: str, k: int, threshold: float) -> DataFrame:
     """Pairs whose character-gram Jaccard reaches the threshold, by size and prefix filters.
 
     Jaccard t needs sizes within a factor t, and a common gram among the first n - ceil(t n) + 1 of
-    each set in one fixed order (the gram's hash): only those few grams join, then pairs are verified.
+    each set in one fixed order (hash, then gram): only those grams' hashes join, then the few pairs
+    left are verified on their texts. Grams are cut in Arrow batches, as Spark's ``substring`` walks
+    a string from its start for each of them.
     """
 
-    def side(df: DataFrame, id_col: str, out: str) -> DataFrame:
-        return df.select(F.col(id_col).alias(out), F.sort_array(F.array_distinct(F.transform(T.char_ngrams(F.col("text"), k), lambda g: F.xxhash64(g)))).alias(f"{out}_g")).where(F.size(f"{out}_g") > 0)
+    @F.pandas_udf(StructType([StructField("n", LongType()), StructField("h", ArrayType(LongType()))]))
+    def prefix(text: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in text:
+            grams = _char_grams(t or "", k)
+            keep = len(grams) - math.ceil(len(grams) * threshold) + 1
+            out.append((len(grams), [h for h, _ in heapq.nsmallest(keep, ((zlib.crc32(g.encode()), g) for g in grams))] if grams else []))
+        return pd.DataFrame(out, columns=["n", "h"])
 
-    def prefix(df: DataFrame, out: str) -> DataFrame:
-        g = F.col(f"{out}_g")
-        length = F.size(g) - F.ceil(F.size(g) * threshold).cast("int") + 1
-        return df.select(out, F.size(g).alias(f"{out}_n"), F.explode(F.slice(g, F.lit(1), length)).alias("_h"))
+    @F.pandas_udf(DoubleType())
+    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> float:
+            s, t = _char_grams(x, k), _char_grams(y, k)
+            return len(s & t) / len(s | t) if s and t else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    def side(df: DataFrame, id_col: str, out: str) -> DataFrame:
+        p = df.select(F.col(id_col).alias(out), prefix("text").alias("p"))
+        return p.select(out, F.col("p.n").alias(f"{out}_n"), F.explode(F.array_distinct("p.h")).alias("_h"))
 
-    a, b = side(train, train_id, "train"), side(items, item_id, "item")
-    near = prefix(a, "train").join(prefix(b, "item"), "_h").where((F.col("train_n") >= F.col("item_n") * threshold) & (F.col("item_n") >= F.col("train_n") * threshold))
+    near = side(train, train_id, "train").join(side(items, item_id, "item"), "_h").where((F.col("train_n") >= F.col("item_n") * threshold) & (F.col("item_n") >= F.col("train_n") * threshold))
     pairs = near.select("train", "item").distinct()
-    return pairs.join(a, "train").join(b, "item").select("train", "item", T.jaccard(F.col("train_g"), F.col("item_g")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    texts = pairs.join(train.select(F.col(train_id).alias("train"), F.col("text").alias("a")), "train").join(items.select(F.col(item_id).alias("item"), F.col("text").alias("b")), "item")
+    return texts.select("train", "item", exact("a", "b").alias("jaccard")).where(F.col("jaccard") >= threshold)

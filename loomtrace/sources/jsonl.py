@@ -24,9 +24,11 @@ def parsed(rows: DataFrame, schema: str, strict: bool = True) -> DataFrame:
     """The record's fields beside ``seq`` and ``file``; lenient: a bad line has ``error``."""
     schema = schema.replace("\n", " ")
     keep = [c for c in ("seq", "file") if c in rows.columns]
+    # guarded here too, as the optimiser may parse before the filter of comments
+    text = F.when((F.col("value") != "") & ~F.col("value").startswith("#"), F.col("value"))
     if strict:
-        return rows.select(*keep, F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select(*keep, "r.*")
-    got = rows.select(*keep, "value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        return rows.select(*keep, F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select(*keep, "r.*")
+    got = rows.select(*keep, "value", F.from_json(text, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     error = F.when(F.col("r._bad").isNotNull(), F.concat(F.lit("JSON parse error: "), F.substring("value", 1, 80)))
     return got.select(*keep, "r.*", error.alias("error")).drop("_bad")
 

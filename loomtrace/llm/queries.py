@@ -85,4 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; the others are tested against brute force in tests/llm."""
+    from loomtrace.llm import secrets
+
+    return {"op6_secrets": secrets.oracle_sql()}

@@ -154,3 +154,21 @@ def digests(df: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id",
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
     counts = [F.size(F.filter("found", _of(k))).cast("long").alias(f"n_{r.name}") for k, r in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+def oracle_sql() -> str:
+    """The query's meaning in DuckDB: gaps and matches of each rule, added up to positions."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for rank, r in enumerate(RULES):
+        p = quoted(r.pattern)
+        parts.append(
+            f"SELECT doc_id, {rank} AS rank, {quoted(r.name)} AS name, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS own, regexp_extract_all(t, {p}, {r.group}) AS part, {r.least} AS least FROM d WHERE regexp_matches(t, {p})"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM m),
+s AS (SELECT doc_id, rank, name, length(part[i]) AS n, least, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(own[1:i - 1], lambda x: length(x))), 0) AS start, length(own[i]) AS size FROM i),
+f AS (SELECT doc_id, rank, CAST(start AS BIGINT) AS start, concat(name, ':', CAST(start AS BIGINT), ':', CAST(start + size AS BIGINT)) AS span FROM s WHERE n >= least),
+a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""

@@ -64,18 +64,25 @@ def normalize(text: Column) -> Column:
     return squeeze(nfkc(text))
 
 
+def _grams(parts: Column, n: int, glue: str) -> Column:
+    """Distinct runs of n parts. The parts are bound by a lambda, so that they are computed once, not for every run."""
+
+    def runs(p: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(p) - (n - 1)), lambda i: F.array_join(F.slice(p, i, n), glue))
+        return F.when(F.size(p) >= n, F.array_distinct(made)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return F.element_at(F.transform(F.array(parts), runs), 1)
+
+
 def word_ngrams(text: Column, n: int = 8) -> Column:
     """Distinct n-word sequences of the lower-cased text, joined by a space; empty below n words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<string>)"))
+    return _grams(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1)), n, " ")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct substrings of n characters of the lower-cased text."""
-    chars = F.split(F.lower(text), "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
-    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<string>)"))
+    chars = F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(F.lower(text), ""))
+    return _grams(chars, n, "")
 
 
 def jaccard(a: Column, b: Column) -> Column:

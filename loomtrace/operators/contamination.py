@@ -18,20 +18,22 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from loomtrace.functions import text as T
 
-#: Evaluation grams up to which their side is broadcast (8 bytes and two ids each).
-BROADCAST_GRAMS = 500_000
+#: Characters of evaluation texts up to which their grams (fewer than characters, 24 bytes each) are broadcast.
+BROADCAST_CHARS = 2_000_000
 
 
 def _grams(df: DataFrame, id_col: str, out: str, gram) -> DataFrame:
-    sets = df.select(F.col(id_col).alias(out), gram.alias("_set"))
-    return sets.select(out, F.size("_set").alias(f"{out}_n"), F.explode("_set").alias("_g")).select(out, f"{out}_n", F.xxhash64("_g").alias("_h"), F.crc32(F.col("_g").cast("binary")).alias("_c"))
+    """A row a distinct gram: id, the number of the text's grams, two hashes. The set is bound once by a lambda."""
+    hashed = lambda s: F.transform(s, lambda g: F.struct(F.size(s).alias("n"), F.xxhash64(g).alias("h"), F.crc32(g.cast("binary")).alias("c")))
+    rows = df.select(F.col(id_col).alias(out), F.explode(F.element_at(F.transform(F.array(gram), hashed), 1)).alias("x"))
+    return rows.select(out, F.col("x.n").alias(f"{out}_n"), F.col("x.h").alias("_h"), F.col("x.c").alias("_c"))
 
 
 def overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, gram_of, text_col: str = "text") -> DataFrame:
     """(train, item, jaccard) for every pair of texts with a common gram."""
     gram = gram_of(F.col(text_col))
     a, b = _grams(train, train_id, "train", gram), _grams(items, item_id, "item", gram)
-    if b.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+    if (items.agg(F.sum(F.length(text_col))).first()[0] or 0) <= BROADCAST_CHARS:
         b = F.broadcast(b)
     shared = a.join(b, ["_h", "_c"]).groupBy("train", "item", "train_n", "item_n").agg(F.count(F.lit(1)).alias("shared"))
     return shared.select("train", "item", (F.col("shared") / (F.col("train_n") + F.col("item_n") - F.col("shared"))).alias("jaccard"))

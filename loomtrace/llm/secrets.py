@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import shared_dir
+from loomtrace.llm.common import checkpointed, shared_dir
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,8 @@ def findings(df: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: st
     names = F.array(*[F.lit(r.key) for r in rules])
     own = F.filter("found", lambda x: F.array_contains(F.col("rules"), F.element_at(names, x["rank"] + 1)))
     per_blob = known.select("_b", own.alias("found")).groupBy("_b").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    return paths.join(per_blob, F.col("blob") == F.col("_b")).select("doc_id", "blob", "found")
+    # cut off, so that the join alone decides the exchange and AQE can split a blob with very many paths
+    return paths.join(checkpointed(per_blob), F.col("blob") == F.col("_b")).select("doc_id", "blob", "found")
 
 
 def joined(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -2,7 +2,7 @@
 
 Every stage works on all rows that its predecessor kept. All but the last return the columns of
 ``documents``: quality rules and toxicity drop the documents they reject, near-dedup keeps the
-document of each group with the smallest id, PII replaces personal data in the texts by its kind
+document of each group of near copies (five-word shingles, Jaccard >= 0.8) with the smallest id, PII replaces personal data in the texts by its kind
 (``n_chars`` follows the new text), and packing gives the pieces of the token sequences.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import packing, pii, quality, simhash, toxicity
+from loomtrace.llm import neardup, packing, pii, quality, toxicity
 from loomtrace.llm.common import written
 
 
@@ -26,7 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,11 @@
 Model. Tokens are lower-case words: the ``WORDS`` most frequent ones of the whole corpus, and hash
 buckets for the rest. The ``SIDE`` words on each side of a position are embedded by place, pass one
 hidden layer, and a two-level softmax (class of the token, token within the class) gives the masked
-token's probability. A document's score is the sum of its tokens' conditional log-probabilities.
+token's probability. A document's score is the sum of its tokens' conditional log-probabilities; a
+word of a hash bucket adds the logarithm of its share of the bucket, by the counts of the whole corpus.
+The counts of the ``KNOWN`` most frequent words go to the executors, those of all others are joined.
+One count of each bucket is left to words that the corpus lacks; they share it by their spelling, a
+byte or the end being one of 257 equally likely symbols, so each is less likely than a word seen once.
 
 Training covers every document: word counts come from all texts, and each round every partition starts
 from the shared parameters, masks a share of the positions of each of its documents, takes Adagrad
@@ -38,6 +42,8 @@ MASKED, ROUNDS, BATCH, RATE = 0.08, 2, 1024, 0.08
 #: Distinct words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
 COUNTED, BLOCK, SALTS = 100_000, 1 << 14, 32
 PAD = TOKENS
+#: Words whose counts every executor holds.
+KNOWN = 100_000
 
 
 def words(text: str | None) -> list[str]:
@@ -67,26 +73,44 @@ def frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary(dict):
-    """word -> token; words outside it fall into hash buckets."""
+    """word -> token; words outside it fall into hash buckets.
+
+    ``held`` has the log counts of the most frequent words outside it, ``rest`` (word, n) all others,
+    and ``totals`` the log of each bucket's count; without ``rest`` a word counts as its bucket.
+    """
+
+    held: dict[str, float] = {}
+    totals: np.ndarray | None = None
+    rest: DataFrame | None = None
 
     def __missing__(self, word: str) -> int:
         return WORDS + zlib.crc32(word.encode()) % BUCKETS
 
+    def __getstate__(self) -> dict:
+        return {"held": self.held, "totals": self.totals}  # the table stays with the driver
+
+
+def spelt(word: str) -> float:
+    """log p(word | bucket, the corpus lacks it), up to the bucket's count."""
+    return float(np.log(BUCKETS) - (len(word.encode()) + 1) * np.log(257))
+
 
 def vocabulary(df: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """The tokens of the most frequent words, and every token's share of the corpus."""
     counted = checkpointed(frequencies(df, text_col))  # read twice below
     bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS))
-    top = counted.orderBy(F.desc("n"), "word").limit(WORDS)
-    first = top.collect()
+    first = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     least = (first[-1]["n"], first[-1]["word"]) if first else (0, "")
     rest = counted.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
     n = np.ones(TOKENS)
-    for k, r in enumerate(first):
-        n[k] += r["n"]
+    vocab = Vocabulary({r["word"]: k for k, r in enumerate(first[:WORDS])})
+    for r in first:
+        n[vocab[r["word"]]] += r["n"]
     for r in rest.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect():
         n[WORDS + r["b"]] += r["n"]
-    return Vocabulary({r["word"]: k for k, r in enumerate(first)}), n / n.sum()
+    vocab.held = {r["word"]: float(np.log(r["n"])) for r in first[WORDS:]}
+    vocab.totals, vocab.rest = np.log(n[WORDS:]), rest
+    return vocab, n / n.sum()
 
 
 SHAPES = {
@@ -273,19 +297,49 @@ def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tup
     return n, sums[ends] - sums[ends - n]
 
 
+def outside(text: str | None, vocab: Vocabulary) -> tuple[float, Counter[str]]:
+    """What the words outside the vocabulary add to a score, but for the log counts of those also returned."""
+    left = Counter(w for w in words(text) if w not in vocab)
+    total = 0.0
+    for w, m in left.items():
+        total += m * (vocab.held.get(w, 0.0) - vocab.totals[vocab[w] - WORDS])
+    return total, Counter({w: m for w, m in left.items() if w not in vocab.held})
+
+
 def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_prob (sum) and mean_log_prob of every text."""
     shared = df.sparkSession.sparkContext.broadcast((vocab, net.flat))
+    kind = df.schema[id_col].dataType.simpleString()
 
     def task():
         vocab, flat = shared.value
         net = Network(flat)
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
-            n, total = score_texts(p.column("text").to_pylist(), vocab, net)
-            return pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64())], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            """A row a text, under a word that no text can have, and a row a word to be joined."""
+            texts, row = p.column("text").to_pylist(), p.column("row").to_pylist()
+            n, total = score_texts(texts, vocab, net)
+            place, key, times, unseen = [], [], [], []
+            if vocab.totals is not None:
+                for k, t in enumerate(texts):
+                    more, left = outside(t, vocab)
+                    total[k] += more
+                    place.extend([row[k]] * len(left))
+                    key.extend(left)
+                    times.extend(left.values())
+                    unseen.extend(map(spelt, left))
+            none = [None] * len(key)
+            ids = pa.concat_arrays([p.column("doc_id"), pa.array(none, p.column("doc_id").type)])
+            columns = [pa.array(row + place, pa.int64()), ids, pa.array(n.tolist() + none, pa.int64()), pa.array(total.tolist() + none, pa.float64())]
+            columns += [pa.array([f" {r}" for r in row] + key, pa.string()), pa.array([0] * len(row) + times, pa.int64()), pa.array([0.0] * len(row) + unseen, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "log_prob", "word", "times", "unseen"])
 
         return each
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_slices(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), task, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    parts = map_slices(rows, task, f"row long, doc_id {kind}, n_tokens long, log_prob double, word string, times long, unseen double")
+    if vocab.rest is not None:
+        parts = parts.join(vocab.rest.select("word", F.log("n").alias("seen")), "word", "left")
+        more = F.sum(F.col("times") * F.coalesce("seen", "unseen"))
+        parts = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("log_prob") + more).alias("log_prob"))
+    return parts.select("doc_id", "n_tokens", "log_prob", (F.col("log_prob") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"))

@@ -10,8 +10,8 @@ One count of each bucket is left to words that the corpus lacks; they share it b
 byte or the end being one of 257 equally likely symbols, so each is less likely than a word seen once.
 
 Training covers every document: word counts come from all texts, and each round every partition starts
-from the shared parameters, masks a share of the positions of each of its documents, takes Adagrad
-steps on them, and sends its parameters back, weighted by its positions; blocks of the parameters are
+from the shared parameters, masks one of ``ROUNDS`` disjoint sets of the positions of each of its
+documents, takes Adagrad steps on them, so that every position is a target once, and sends its parameters back, weighted by its positions; blocks of the parameters are
 averaged in two levels of shuffles, streaming, so no task or driver holds more than a few copies. What
 is gathered grows with the partitions, that is with the input. Biases start at the corpus
 frequencies, so an untrained network is the unigram model.
@@ -38,7 +38,7 @@ TOKENS = CLASSES * CLASSES
 BUCKETS = 256
 WORDS = TOKENS - BUCKETS
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-MASKED, ROUNDS, BATCH, RATE = 0.08, 2, 1024, 0.08
+ROUNDS, BATCH, RATE = 2, 1024, 0.08
 #: Distinct words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
 COUNTED, BLOCK, SALTS = 100_000, 1 << 14, 32
 PAD = TOKENS
@@ -225,8 +225,17 @@ def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tokens[at[:, None] + offsets]
 
 
-def train(df: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", masked: float = MASKED, seed: int = 0) -> Network:
-    """One round over every document: local steps in each partition, then the weighted mean of the parameters."""
+def targets(at: np.ndarray, n: np.ndarray, parts: int, which: int) -> np.ndarray:
+    """Of the places of real tokens, every ``parts``-th of each text from ``which`` on; the sets of all ``which`` are disjoint and cover all."""
+    own = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return at[(own + np.repeat(n, n)) % parts == which % parts]
+
+
+def train(df: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text", masked: float = 1 / ROUNDS, seed: int = 0) -> Network:
+    """One round over every document: local steps in each partition, then the weighted mean of the parameters.
+
+    ``seed`` names one of the 1 / ``masked`` sets of positions.
+    """
     context = df.sparkSession.sparkContext
     shared = context.broadcast((vocab, net.flat))
 
@@ -236,10 +245,10 @@ def train(df: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text"
         seen, slope = np.full_like(flat, 1e-4), Network(np.zeros_like(flat))
         steps, row = 0, 0
         for p in slices(batches, "text"):
-            tokens, at, _ = positions(p.column("text").to_pylist(), vocab)
+            tokens, at, n = positions(p.column("text").to_pylist(), vocab)
             rng = np.random.default_rng([seed, row, len(at)])
             row += p.num_rows
-            at = rng.permutation(at[rng.random(len(at)) < masked])
+            at = rng.permutation(targets(at, n, max(1, round(1 / masked)), seed))
             for a in range(0, len(at), BATCH):
                 part = at[a : a + BATCH]
                 slope.flat[:] = 0
@@ -281,7 +290,7 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     vocab, share = vocabulary(df, text_col)
     net = Network.initial(share)
     for k in range(rounds):
-        net = train(df, vocab, net, text_col, seed=k)
+        net = train(df, vocab, net, text_col, 1 / rounds, k)
     return vocab, net
 
 

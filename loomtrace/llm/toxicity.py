@@ -3,7 +3,9 @@
 Model. A word is the bag of its hashed character n-grams (3 to 5, with word-boundary marks) and the
 word itself; a window of ``WINDOW`` words is the average of its words' averaged vectors; a linear
 two-class softmax scores it. A text's logit is its largest window's, so a long text does not dilute a
-few words, and a misspelt or inflected word shares its n-grams' vectors. Vectors and softmax are fitted
+few words, and a misspelt or inflected word shares its n-grams' vectors. A run of more than ``LONG``
+characters (text without spaces, chained words) enters the windows as overlapping pieces, which hold
+all its n-grams, and as the words that it chains. Vectors and softmax are fitted
 together by Adagrad on whole batches; in fitting, windows are pooled by a soft maximum that sharpens,
 as a label says that some window is toxic, not which.
 
@@ -37,16 +39,28 @@ SAMPLE, SAMPLE_CHARS = 2000, 20_000
 ROUNDS, RATE = 80, 0.5
 THRESHOLD = 0.7
 TABLE = 300_000
+#: Characters of the longest run that is one word; length and step of the pieces of a longer one.
+LONG, PIECE, STEP = 60, 16, 8
 _WORD = re.compile(r"[^\W_]+(?:[*@$!'.-]+[^\W_]+)*")
+_JOINED = re.compile(r"[*@$!'.-]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    found = _WORD.findall((text or "").lower())
+    if max(map(len, found), default=0) <= LONG:
+        return found
+    return [x for w in found for x in ([w] if len(w) <= LONG else pieces(w))]
+
+
+def pieces(run: str) -> list[str]:
+    """An overlong run's overlapping pieces, then the words that it chains."""
+    cut = [run[i : i + PIECE] for i in range(0, len(run) - PIECE + STEP, STEP)]
+    return cut + [w for w in _JOINED.split(run) if len(w) <= LONG and w != run]
 
 
 def grams(word: str) -> list[int]:
     """Buckets of a word's n-grams and of the word."""
-    marked = f"<{word[:60]}>"
+    marked = f"<{word}>"
     parts = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
     return sorted(zlib.crc32(p.encode()) % BUCKETS for p in parts)
 

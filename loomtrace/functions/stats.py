@@ -6,11 +6,15 @@ import math
 import random
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Places that a resampling draws at once.
+DRAWN = 1 << 19
+
 
 def quantile_of_normal(conf: float) -> float:
     return NormalDist().inv_cdf(1 - (1 - conf) / 2)
@@ -41,19 +45,32 @@ def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([mcnemar_p(int(x), int(y)) for x, y in zip(b, c, strict=True)])
 
 
+def draws(n: int, n_iter: int, seed: int):
+    """n_iter rows of n places, in blocks: what ``random.Random(seed).randrange(n)`` gives one by one.
+
+    It takes the top bits of each 32-bit word of the generator and passes over values from n on.
+    """
+    _, state, _ = random.Random(seed).getstate()
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    rows, rest = max(1, DRAWN // n), np.zeros(0, np.int64)
+    while n_iter > 0:
+        rows = min(rows, n_iter)
+        while len(rest) < rows * n:
+            fresh = (words.random_raw(rows * n) >> np.uint64(32 - n.bit_length())).astype(np.int64)
+            rest = np.concatenate([rest, fresh[fresh < n]])
+        yield rest[: rows * n].reshape(rows, n)
+        rest, n_iter = rest[rows * n :], n_iter - rows
+
+
 def bootstrap(a: list[bool], b: list[bool], n_iter: int = 10_000, conf: float = 0.95, seed: int = 0) -> dict[str, float]:
     """Resampled difference of two paired accuracies: percentile interval and two-sided p."""
     n = len(a)
     if not n:
         return {"delta_acc": 0.0, "ci_lo": 0.0, "ci_hi": 0.0, "p_two_sided": 1.0}
-    rng = random.Random(seed)
-    acc_a, acc_b = [int(x) for x in a], [int(x) for x in b]
-    point = sum(acc_a) / n - sum(acc_b) / n
-    drawn = []
-    for _ in range(n_iter):
-        at = [rng.randrange(n) for _ in range(n)]
-        drawn.append(sum(acc_a[i] for i in at) / n - sum(acc_b[i] for i in at) / n)
-    drawn.sort()
+    acc_a, acc_b = (np.array([int(x) for x in c]) for c in (a, b))
+    point = int(acc_a.sum()) / n - int(acc_b.sum()) / n
+    drawn = sorted(d for at in draws(n, n_iter, seed) for d in (acc_a[at].sum(axis=1) / n - acc_b[at].sum(axis=1) / n).tolist())
     tail = (1 - conf) / 2
     beyond = sum(d <= 0 for d in drawn) if point > 0 else sum(d >= 0 for d in drawn) if point < 0 else 0
     return {"delta_acc": point, "ci_lo": drawn[max(0, int(tail * n_iter))], "ci_hi": drawn[min(n_iter - 1, int((1 - tail) * n_iter))], "p_two_sided": min(1.0, 2 * (beyond + 1) / (n_iter + 1))}

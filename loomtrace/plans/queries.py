@@ -451,6 +451,6 @@ def checkpoint_lineage(spark, sf_dir):
 
 @query()
 def bootstrap_labels(spark, sf_dir):
-    """Seeded resampling of a bounded comparison: the labels of each hundred documents."""
+    """Seeded resampling of a bounded comparison: the labels of each five hundred document ids."""
     rows = table(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 500).alias("block"), "doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))
-    return stats.paired_bootstrap(rows, "block", "doc_id", "a", "b", n_iter=200)
+    return stats.paired_bootstrap(rows, "block", "doc_id", "a", "b")

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder ``spark.checkpoint.dir``, else one made for this session."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtrace-"))
-    return df.checkpoint(eager=True)
+from loomtrace.shared import checkpointed
 
 
 def _doubled(own: DataFrame) -> tuple[DataFrame, bool]:
     """(id, at, depth) with pointers doubled until none moves, and whether some still do after as many hops as rows."""
-    own, step = _cut(own), 1
+    own, step = checkpointed(own), 1
     most = own.count()
     while True:
         hop = own.select(F.col("id").alias("h"), F.col("at").alias("to"), F.col("depth").alias("more"))
         next_ = own.join(hop, F.col("at") == F.col("h")).select("id", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("to") != F.col("at")).alias("moved"))
-        next_, step = _cut(next_), 2 * step
+        next_, step = checkpointed(next_), 2 * step
         own = next_.drop("moved")
         if next_.where("moved").isEmpty():
             return own, False
@@ -40,18 +32,18 @@ def roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """
     rows = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("p"))
     known = rows.select(F.col("id").alias("k"))
-    own = _cut(rows.join(known, F.col("p") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.when(F.col("k").isNull() | (F.col("p") == F.col("id")), 0).otherwise(1).alias("depth")))
+    own = checkpointed(rows.join(known, F.col("p") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.when(F.col("k").isNull() | (F.col("p") == F.col("id")), 0).otherwise(1).alias("depth")))
     ends, cyclic = _doubled(own)
     if not cyclic:
         return ends.withColumnRenamed("at", "root")
     # as many hops as rows end on a cycle, and on each of its nodes if begun there
     final = own.where(F.col("id") == F.col("at")).select(F.col("at").alias("c"))
-    ring = _cut(ends.select(F.col("at").alias("c")).distinct().join(final, "c", "left_anti"))
+    ring = checkpointed(ends.select(F.col("at").alias("c")).distinct().join(final, "c", "left_anti"))
     turn = own.join(ring, F.col("id") == F.col("c")).select("id", F.col("at").alias("p"))
     least, step, most = turn.select("id", F.col("p").alias("at"), F.least("id", "p").alias("least")), 1, ring.count()
     while step < most:
         hop = least.select(F.col("id").alias("h"), F.col("at").alias("to"), F.col("least").alias("other"))
-        least, step = _cut(least.join(hop, F.col("at") == F.col("h")).select("id", F.col("to").alias("at"), F.least("least", "other").alias("least"))), 2 * step
+        least, step = checkpointed(least.join(hop, F.col("at") == F.col("h")).select("id", F.col("to").alias("at"), F.least("least", "other").alias("least"))), 2 * step
     length = least.groupBy("least").agg(F.count(F.lit(1)).alias("n"))
     last = least.join(length, "least").join(turn.select(F.col("id").alias("before"), F.col("p").alias("e")), F.col("id") == F.col("e")).select("e", "before", "n")
     # up to the first node on a cycle, then once around it

@@ -6,14 +6,17 @@ names, so further columns of any name cannot clash with what it computes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.shared import checkpointed, forgotten, shared_dir
+
+__all__ = ["SLICE_BYTES", "checkpointed", "forgotten", "map_slices", "numbered", "salts_for", "shared_dir", "slices", "written"]
+
 #: Text bytes that a Python worker holds at once, beyond a single longer document.
 SLICE_BYTES = 1 << 20
 
@@ -38,37 +41,28 @@ def map_slices(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one made for this session."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomtrace-"))
-        held = context._jsc.sc().getCheckpointDir()
-    return held.get()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again; for rows that carry texts. The driver's end deletes it."""
+    path = forgotten(df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; for narrow rows, as they are written uncompressed."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of a part of a group.
+PART = 100_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again; for rows that carry texts."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def salts_for(most: int, least: int = 64) -> int:
+    """Parts of a group of at most ``most`` rows."""
+    return max(least, -(-most // PART))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str, salts: int = 64) -> DataFrame:
     """Gapless numbers from 0 within ``group``, with no task holding a whole group.
 
     Rows are split by a hash of ``order`` into ``salts`` parts of each group; parts are numbered
-    alone and shifted by the sizes of the parts before them. Those sizes are one row a part.
+    alone and shifted by the sizes of the parts before them. Those sizes are one row a part. Give the
+    greatest group's rows by PART for ``salts`` (``salts_for``); rows that are equal in ``order`` share a part.
     """
     from pyspark.sql import Window as W
 

@@ -11,10 +11,12 @@ dealt to step groups in a boustrophedon, so that groups differ by one sequence o
 Scale. A piece's place depends on its length and its rank among pieces of that length only. The plan
 is therefore made from the histogram of lengths (at most ``window`` rows, whatever the input) as
 patterns of lengths with multiplicities, and every row finds its place by binary search in the
-plan's ranges. Ranks come from salted counts, so one frequent length is no hot key.
+plan's ranges. Ranks come from salted counts, as many salts as the most frequent length needs, so one
+frequent length is no hot key.
 
 Defined results: null and empty texts are one piece with the closing id alone; repeated rows are
-packed as often as they occur; very long texts give many full windows; an empty table gives no
+packed as often as they occur; pieces that tie in length are ranked by a hash of id and start, then by
+these; very long texts give many full windows; an empty table gives no
 pieces; further columns are ignored.
 """
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import checkpointed, map_slices, numbered
+from loomtrace.llm.common import checkpointed, map_slices, numbered, salts_for
 from loomtrace.llm.pretokens import PreTokens
 
 TIERS = (2048, 1024, 512, 256)
@@ -189,7 +191,7 @@ def pack(cut: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, steps = _ranges(plan(histogram, tiers), step_tokens)
     own = cut.columns
-    ranked = numbered(cut, ["length"], ["doc_id", "start"], "_rank")
+    ranked = numbered(cut, ["length"], ["doc_id", "start"], "_rank", salts_for(max(histogram.values(), default=0)))
 
     def place(batches):
         keys = (runs["length"] << 40) + runs["rank"]

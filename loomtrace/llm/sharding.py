@@ -13,7 +13,7 @@ frequent size nor a large shard meets in one task.
 
 Defined results: a null text has no bytes and equals other null texts only; empty texts are one group
 too; repeated rows belong to their text's group and get a slot each; ties in size are settled by the
-text's hash; an empty table gives an empty table; further columns are ignored.
+text's hash; a very long text is one group of its size, above the level a shard of its own; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import checkpointed, numbered
+from loomtrace.llm.common import checkpointed, numbered, salts_for
 
 SHARDS, OVERHEAD = 40, 16
 
@@ -173,6 +173,7 @@ def shard(df: DataFrame, shards: int | None = SHARDS, capacity: int | None = Non
         runs = found[0]
     else:
         runs = level(histogram, shards)
-    placed = _placed(numbered(groups.select("_key", "size"), ["size"], ["_key"], "_rank"), runs).select(F.col("_key").alias("_k"), "shard")
+    salts = salts_for(max(histogram.values(), default=0))
+    placed = _placed(numbered(groups.select("_key", "size"), ["size"], ["_key"], "_rank", salts), runs).select(F.col("_key").alias("_k"), "shard")
     joined = rows.join(placed, F.col("_key") == F.col("_k")).select("doc_id", "size", "text_crc32", "_key", "shard")
-    return numbered(joined, ["shard"], ["doc_id", "_key"], "slot", salts=256).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return numbered(joined, ["shard"], ["doc_id", "_key"], "slot", salts_for(rows.count(), 256)).select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -12,8 +12,9 @@ from a fixed seed; no corpus text is needed, so fitting costs the same at every
 Spans. The base rules' spans always stay; the CRF adds segments that overlap none of them.
 
 Defined results: null texts count as empty; empty texts have no spans; positions are code points, end
-exclusive; equal texts get equal spans; work is linear in the text's length, also for long runs of
-digits; an empty table gives an empty table; further columns are ignored (``spans``) or kept (``redact``).
+exclusive; equal texts get equal spans; of segmentations that score the same the one with the earlier
+outside or kind stays; work is linear in the text's length, also for one long island or run of digits,
+of which a window of ``STARTS`` atoms is held at a time; an empty table gives an empty table; further columns are ignored (``spans``) or kept (``redact``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -65,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
-        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.groups())]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -84,62 +86,154 @@ _LOCAL_PHONE = re.compile(r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}")
 _GROUPS = re.compile(r"[0-9]{4}([ -][0-9]{4}){3}")
 
 
-def features(island: str, a: int, b: int) -> list[float]:
-    s = island[a:b]
-    digits = [c for c in s if "0" <= c <= "9"]
-    n = len(digits)
-    left, right = island[a - 1 : a], island[b : b + 1]
-    ip = _IP_SHAPE.fullmatch(s)
-    letters = any(c.isalpha() for c in s)
-    return [
-        1.0,
-        float(n < 7), float(7 <= n <= 9), float(10 <= n <= 12), float(13 <= n <= 15), float(n == 16), float(17 <= n <= 19), float(n > 19),
-        float(16 <= n <= 19 and luhn("".join(digits))),
-        float(bool(_EMAIL_SHAPE.fullmatch(s))),
-        float(bool(ip) and all(int(x) <= 255 for x in ip.groups())),
-        float(bool(_PHONE_SHAPE.fullmatch(s))), float(bool(_LOCAL_PHONE.fullmatch(s))), float(bool(_GROUPS.fullmatch(s))),
-        float(s.count("@") == 1), float(s[0] == "+"), float(s[0] == "("), float(letters),
-        float(" " in s), float("-" in s), float("." in s), float(len(s) == n),
-        float(s[-1].isalnum()),
-        float(left.isalnum()), float(right.isalnum()),
-        float(left != "" and left in "+-.@_%"), float(right != "" and right in "-@_%"),
-    ]
+#: What each character of ASCII is, by code point.
+_ASCII = [chr(c) for c in range(128)]
+_DIGITS, _ALPHA, _ALNUM = (np.array([f(c) for c in _ASCII]) for f in (str.isdigit, str.isalpha, str.isalnum))
+_IN_LOCAL, _IN_DOMAIN, _LEFT, _RIGHT, _OPENS = (np.array([c in x for c in _ASCII]) for x in (_LOCAL, _LOCAL - set("_%+"), set("+-.@_%"), set("-@_%"), set("+(")))
 
 
-N_FEATURES = len(features("0", 0, 1))
+def _is(table: np.ndarray, code: np.ndarray, beyond=None) -> np.ndarray:
+    """The table's answer for each character; ``beyond`` answers for those outside ASCII, else no."""
+    out = table[np.minimum(code, 127)]
+    far = code > 127
+    if far.any():
+        out[far] = False
+        if beyond is not None:
+            known, place = np.unique(code[far], return_inverse=True)
+            out[far] = np.array([beyond(chr(c)) for c in known.tolist()])[place]
+    return out
 
 
-def candidates(island: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """Positions between atoms, and the segments (by atom) that could be an entity."""
-    cuts = [m.start() for m in _ATOM.finditer(island)] + [len(island)]
-    n, out = len(cuts) - 1, []
-    digits = np.concatenate([[0], np.cumsum([cuts[k + 1] - cuts[k] if island[cuts[k]] in "0123456789" else 0 for k in range(n)])])
-    ats = np.concatenate([[0], np.cumsum([island[cuts[k]] == "@" for k in range(n)])])
-    words = np.concatenate([[0], np.cumsum([island[cuts[k]].isalpha() for k in range(n)])])
-    dots = np.concatenate([[0], np.cumsum([island[cuts[k]] == "." for k in range(n)])])
-    for i in range(n):
-        first = island[cuts[i]]
-        if not (first.isalnum() or first in "+("):
-            continue
-        for j in range(i + 1, min(n, i + MOST) + 1):
-            if not island[cuts[j] - 1].isalnum():
-                continue
-            at = ats[j] - ats[i]
-            if at == 1 and words[j] > words[i] and dots[j] > dots[i]:
-                out.append((i, j))
-            elif not at and words[j] == words[i] and (7 <= digits[j] - digits[i] <= 19 or j - i == 7 and dots[j] - dots[i] == 3):
-                out.append((i, j))
-    return cuts, out
+def _running(x: np.ndarray) -> np.ndarray:
+    """Sums before each place, and of all."""
+    return np.concatenate([[0], np.cumsum(x, dtype=np.int32)])
+
+
+class Window:
+    """Consecutive atoms of an island, the segments that begin at the first ``starts`` of them, and their features.
+
+    ``text`` is the island's part from one character before the first atom; ``cuts`` are places in it.
+    """
+
+    def __init__(self, text: str, cuts: np.ndarray, starts: int):
+        self.text, self.cuts = text, cuts
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.code, n = code, len(cuts) - 1
+        self.alnum = _is(_ALNUM, code, str.isalnum)
+        digit, alpha = _is(_DIGITS, code), _is(_ALPHA, code, str.isalpha)
+        self.digits, self.alphas = _running(digit), _running(alpha)
+        self.plain = code[digit].astype(np.int32) - 48
+        first = cuts[:-1]
+        self.count = {c: _running(code == ord(c)) for c in " -.@\n"}
+        size = np.diff(cuts)
+        self.is_digit, self.size = digit[first], size
+        words = _running(alpha[first])
+        opens = (self.alnum[first] | _is(_OPENS, code[first]))[:starts]
+        closes = np.concatenate([[False], self.alnum[cuts[1:] - 1]])
+        i = np.flatnonzero(opens)[:, None]
+        j = i + np.arange(1, MOST + 1)
+        inside = j <= n
+        j = np.minimum(j, n)
+        a, b = cuts[i], cuts[j]
+        n_digits, n_words = self.digits[b] - self.digits[a], words[j] - words[i]
+        at, dots = (self.count[c][b] - self.count[c][a] for c in "@.")
+        mail = (at == 1) & (n_words > 0) & (dots > 0)
+        number = (at == 0) & (n_words == 0) & ((n_digits >= 7) & (n_digits <= 19) | (j - i == 7) & (dots == 3))
+        line = self.count["\n"]
+        row, column = np.nonzero(inside & closes[j] & (mail | number) & (line[b] == line[a]))
+        self.i, self.j = i[row, 0], j[row, column]
+
+    def _atoms(self, k: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Of segments of seven atoms: whether atoms 0, 2, 4, 6 are digits that hold, and 1, 3, 5 single characters that ``more`` allows."""
+        out = np.ones(len(k), bool)
+        for o in range(7):
+            out &= more[k + o] if o % 2 else self.is_digit[k + o]
+        return out
+
+    def features(self) -> np.ndarray:
+        """A row a segment."""
+        a, b, code, text = self.cuts[self.i], self.cuts[self.j], self.code, self.text
+        first, last = self.digits[a], self.digits[b]
+        n = last - first
+        has = {c: x[b] - x[a] for c, x in self.count.items()}
+        out = np.zeros((len(a), N_FEATURES))
+        out[:, 0] = 1
+        for k, (low, high) in enumerate(((0, 6), (7, 9), (10, 12), (13, 15), (16, 16), (17, 19), (20, 1 << 30)), 1):
+            out[:, k] = (n >= low) & (n <= high)
+        # a checksum doubles every second digit from the last but one: running sums for both parities of the last place
+        double = self.plain * 2 - 9 * (self.plain > 4)
+        even = np.arange(len(self.plain)) % 2 == 0
+        sums = np.stack([_running(np.where(even, self.plain, double)), _running(np.where(even, double, self.plain))])
+        side = (last - 1) % 2
+        out[:, 8] = (n >= 16) & (n <= 19) & ((sums[side, last] - sums[side, first]) % 10 == 0)
+        if (one := has["@"] == 1).any():
+            at = np.flatnonzero(code == 64)[self.count["@"][a[one]]]
+            odd_local, odd_domain = _running(~_is(_IN_LOCAL, code)), _running(~_is(_IN_DOMAIN, code))
+            dot = code == 46
+            dots, bare = self.count["."], _running(dot & np.concatenate([[False], dot[:-1] | (code[:-1] == 64)]))
+            end = b[one]
+            out[one, 9] = (at > a[one]) & (odd_local[at] == odd_local[a[one]]) & (odd_domain[end] == odd_domain[at + 1]) & (dots[end] > dots[at + 1]) & (bare[end] == bare[at + 1]) & (code[end - 1] != 46)
+        seven = np.flatnonzero(self.j - self.i == 7)
+        if len(seven):
+            k = self.i[seven]
+            value = np.zeros(len(self.size), np.int32)
+            short = self.is_digit & (self.size <= 3)
+            start = self.digits[self.cuts[:-1]]
+            for o in range(3):
+                more = short & (self.size > o)
+                value[more] = value[more] * 10 + self.plain[start[more] + o]
+            mark = code[self.cuts[:-1]]
+            byte, four = short & (value <= 255), self.is_digit & (self.size == 4)
+            every = lambda x: x[k] & x[k + 2] & x[k + 4] & x[k + 6]
+            out[seven, 10] = every(byte) & self._atoms(k, mark == 46)
+            out[seven, 13] = every(four) & self._atoms(k, (mark == 32) | (mark == 45))
+        begin, end = code[a], code[b - 1]
+        for c, column, shape in ((43, 11, _PHONE_SHAPE), (40, 12, _LOCAL_PHONE)):
+            for k in np.flatnonzero(begin == c).tolist():
+                out[k, column] = shape.fullmatch(text, int(a[k]), int(b[k])) is not None
+        out[:, 14], out[:, 15], out[:, 16] = has["@"] == 1, begin == 43, begin == 40
+        out[:, 17] = self.alphas[b] > self.alphas[a]
+        for k, c in enumerate(" -.", 18):
+            out[:, k] = has[c] > 0
+        out[:, 21], out[:, 22] = b - a == n, self.alnum[b - 1]
+        out[:, 23], out[:, 25] = self.alnum[a - 1], _is(_LEFT, code[a - 1])
+        out[:, 24], out[:, 26] = self.alnum[b], _is(_RIGHT, code[b])
+        return out
+
+
+N_FEATURES = 27
+#: Atoms at which the segments of a window begin.
+STARTS = 1 << 15
+
+
+def windows(island: str):
+    """(place of its first atom, place of its text, window): a line stands for what is before and after the island."""
+    held, done = [], 0
+    for m in _ATOM.finditer(island):
+        held.append(m.start())
+        if len(held) > STARTS + MOST:
+            yield done, held[0] - 1, _window(island, held, STARTS)
+            held, done = held[STARTS:], done + STARTS
+    yield done, (held[0] if held else 0) - 1, _window(island, [*held, len(island)], len(held))
+
+
+def _window(island: str, cuts: list[int], starts: int) -> Window:
+    low, high = cuts[0], cuts[-1]
+    text = (island[low - 1] if low else "\n") + island[low:high] + (island[high] if high < len(island) else "\n")
+    return Window(text, np.array(cuts, np.int64) - (low - 1), starts)
 
 
 class Lattice:
-    """An island's atoms, candidate segments and their features."""
+    """An island's atoms, candidate segments and their features; for short islands, as in fitting."""
 
     def __init__(self, island: str):
         self.island = island
-        self.cuts, self.segments = candidates(island)
+        (_, at, window), *more = windows(island)
+        assert not more, "an island of several windows is decoded, not fitted"
+        self.cuts = (window.cuts + at).tolist()
+        self.segments = list(zip(window.i.tolist(), window.j.tolist(), strict=True))
         self.n = len(self.cuts) - 1
-        self.x = np.array([features(island, self.cuts[i], self.cuts[j]) for i, j in self.segments]).reshape(-1, N_FEATURES)
+        self.x = window.features()
         self.ending: list[list[int]] = [[] for _ in range(self.n + 1)]
         for k, (_, j) in enumerate(self.segments):
             self.ending[j].append(k)
@@ -159,28 +253,73 @@ class SemiCRF:
     def _scores(self, lattice: Lattice) -> np.ndarray:
         return lattice.x @ self.weights.T
 
-    def decode(self, lattice: Lattice) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities (kind, start, end)."""
-        score, n, kinds = self._scores(lattice), lattice.n, len(KINDS)
-        best = np.full((n + 1, kinds + 1), -np.inf)
-        best[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j in range(1, n + 1):
-            into = best[j - 1] + self.moves[:, 0]
-            prev = int(into.argmax())
-            best[j, 0], back[j, 0] = into[prev], (j - 1, prev)
-            for k in lattice.ending[j]:
-                i = lattice.segments[k][0]
-                into = best[i][:, None] + self.moves[:, 1:]
-                prevs = into.argmax(axis=0)
-                value = into[prevs, np.arange(kinds)] + score[k]
-                for y in np.flatnonzero(value > best[j, 1:]):
-                    best[j, y + 1], back[j, int(y) + 1] = value[y], (i, int(prevs[y]))
-        out, at, y = [], n, int(best[n].argmax())
-        while at:
-            i, prev = back[at, y]
+    def _worth(self, window: Window) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which segments may be entities of the best segmentation, of which types, and their scores.
+
+        A type is left out if, whatever the neighbours, the segment's atoms score better outside.
+        """
+        score = window.features() @ self.weights.T
+        gain = (self.moves[:, 1:] - self.moves[:, :1]).max(axis=0) + np.maximum(0, (self.moves[1:] - self.moves[0]).max(axis=1))
+        outside = (window.j - window.i - 1) * self.moves[0, 0]
+        may = score + gain >= outside[:, None] - 1e-9
+        good = np.flatnonzero(may.any(axis=1))
+        return good, may[good], score[good]
+
+    def decode_island(self, island: str) -> list[tuple[int, int, int]]:
+        """The best segmentation's entities (kind, start, end) of an island, or of islands joined by line feeds.
+
+        Where no segment reaches, every path is outside, so the groups of segments between such places
+        are decoded one by one as they come.
+        """
+        out, group, reach, ends = [], [], 0, False
+        for first, at, window in windows(island):
+            good, may, score = self._worth(window) if len(window.i) else (window.i, None, None)
+            if not len(good):
+                continue
+            i, j = window.i[good], window.j[good]
+            last = (window.code[window.cuts[j]] == 10).tolist()
+            y, rows = np.nonzero(may.T)
+            of_row: list[list[tuple[int, float]]] = [[] for _ in good]
+            for k, kind, value in zip(rows.tolist(), y.tolist(), score[rows, y].tolist(), strict=True):
+                of_row[k].append((kind + 1, value))
+            for s, end in zip(zip((i + first).tolist(), (j + first).tolist(), (window.cuts[i] + at).tolist(), (window.cuts[j] + at).tolist(), of_row, strict=True), last, strict=True):
+                if group and s[0] > reach:
+                    out += self._decoded(group, ends)
+                    group = []
+                group.append(s)
+                if s[1] >= reach:
+                    reach, ends = s[1], end
+        return out + (self._decoded(group, ends) if group else [])
+
+    def _decoded(self, group: list[tuple], ends: bool) -> list[tuple[int, int, int]]:
+        """The entities of segments (first atom, end, start, end, types with scores) that touch one another; ``ends``: with the island."""
+        group.sort(key=lambda s: (s[1], s[0]))
+        moves, states, low = self.moves.tolist(), range(len(KINDS) + 1), float("-inf")
+        at, k = min(s[0] for s in group), 0
+        start = at
+        best, back = {at: [0.0] + [low] * len(KINDS)}, {}
+        for place in sorted({p for s in group for p in s[:2]} - {at}):
+            into = [v + m[0] for v, m in zip(best[at], moves)]
+            prev = into.index(max(into))
+            own = [into[prev] + (place - at - 1) * moves[0][0]] + [low] * len(KINDS)
+            back[place, 0] = (at, prev, 0, 0)
+            while k < len(group) and group[k][1] == place:
+                i, _, a, b, scores = group[k]
+                v = best[i]
+                for y, score in scores:
+                    into = [x + m[y] for x, m in zip(v, moves)]
+                    value = max(into)
+                    if value + score > own[y]:
+                        own[y], back[place, y] = value + score, (i, into.index(value), a, b)
+                k += 1
+            best[place] = own
+            at = place
+        last = best[at] if ends else [v + moves[y][0] for y, v in enumerate(best[at])]
+        out, y = [], max(states, key=last.__getitem__)
+        while at != start:
+            i, prev, a, b = back[at, y]
             if y:
-                out.append((y - 1, lattice.cuts[i], lattice.cuts[at]))
+                out.append((y - 1, a, b))
             at, y = i, prev
         return out[::-1]
 
@@ -294,30 +433,85 @@ def fitted(seed: int = 5) -> SemiCRF:
 
 
 class Finder:
-    """Base rules and the fitted CRF in a worker; islands met before are remembered, up to a bound."""
+    """Base rules and the fitted CRF in a worker; short islands met before are remembered, up to a bound."""
 
     def __init__(self, crf: SemiCRF):
-        self.crf = crf
-        self.decoded = lru_cache(maxsize=20_000)(self._decode)
-
-    def _decode(self, island: str) -> tuple[tuple[int, int, int], ...]:
-        lattice = Lattice(island)
-        return tuple(self.crf.decode(lattice)) if lattice.segments else ()
+        self.crf, self.known = crf, {}
+
+    def decoded(self, island: str) -> list[tuple[int, int, int]]:
+        return self._islands([island])[island]
+
+    def _islands(self, islands: list[str]) -> dict[str, list[tuple[int, int, int]]]:
+        """The entities of each island; those not known are decoded at once, as one text of lines."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        fresh = [x for x in dict.fromkeys(islands) if x not in self.known]
+        out: dict[str, list[tuple[int, int, int]]] = {x: [] for x in fresh}
+        ends = np.cumsum([len(x) + 1 for x in fresh]).tolist()
+        for y, a, b in self.crf.decode_island("\n".join(fresh)):
+            k = bisect_right(ends, a)
+            low = ends[k - 1] if k else 0
+            out[fresh[k]].append((y, a - low, b - low))
+        self.known |= {x: found for x, found in out.items() if len(x) <= SHORT}
+        return {x: out[x] if x in out else self.known[x] for x in islands}
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """Base spans and all spans, each (kind, start, end) by kind and start."""
-        base = base_spans(text)
-        more = []
-        if "@" in text or _DIGIT.search(text):
-            taken = sorted((a, b) for _, a, b in base)
-            for m in _ISLAND.finditer(text):
-                if len(m[0]) < 7:
-                    continue
-                for y, a, b in self.decoded(m[0]):
-                    a, b = a + m.start(), b + m.start()
-                    if not any(a < d and c < b for c, d in taken):
-                        more.append((y, a, b))
-        return base, sorted(base + more)
+        return self.spans_all([text])[0]
+
+    def spans_all(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+        """Of each text base spans and all spans, each (kind, start, end) by kind and start."""
+        out = []
+        for text in texts:
+            base, met = base_spans(text), []
+            begins, ends = _united(base)
+            if "@" in text or _DIGIT.search(text):
+                met = [(m.start(), m[0]) for m in _ISLAND.finditer(text) if m.end() - m.start() >= 7 and _open(text, *m.span(), begins, ends)]
+            out.append((base, begins, ends, met))
+        found = self._islands([x for *_, met in out for _, x in met])
+        return [(base, sorted(base + [s for at, x in met for s in _clear(found[x], at, begins, ends)])) for base, begins, ends, met in out]
+
+
+def _clear(found: list[tuple[int, int, int]], at: int, begins: list[int], ends: list[int]):
+    """An island's entities, by their places in its text, that overlap no united span."""
+    for y, a, b in found:
+        k = bisect_right(ends, a + at)
+        if k == len(ends) or begins[k] >= b + at:
+            yield y, a + at, b + at
+
+
+#: Characters of the longest island that is remembered, and their number.
+SHORT, KNOWN = 200, 20_000
+
+
+def _open(text: str, start: int, end: int, begins: list[int], ends: list[int]) -> bool:
+    """Whether between the united spans of [start, end) there is room for an entity: an at-sign or four digits."""
+    k = bisect_right(ends, start)
+    while start < end:
+        stop = min(begins[k], end) if k < len(begins) else end
+        if stop - start >= 7:
+            if text.find("@", start, stop) >= 0:
+                return True
+            n = 0
+            for _ in _DIGIT.finditer(text, start, stop):
+                n += 1
+                if n == 4:
+                    return True
+        if k == len(begins):
+            return False
+        start, k = ends[k], k + 1
+    return False
+
+
+def _united(found: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """First and last places of the union of spans, ascending."""
+    begins, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -332,7 +526,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         finder = Finder(crf.value)
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
-            found = [finder.spans(t or "") for t in p.column("text").to_pylist()]
+            found = finder.spans_all([t or "" for t in p.column("text").to_pylist()])
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(4)]
             digest = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string())
             return pa.RecordBatch.from_arrays([p.column("doc_id"), *counts, digest, pa.array([_joined(x) for _, x in found], pa.string())], names=names)
@@ -362,7 +556,9 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         finder = Finder(crf.value)
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t if t is None else mask(t, finder.spans(t)[1]) for t in p.column(text_col).to_pylist()]
+            texts = p.column(text_col).to_pylist()
+            found = finder.spans_all([t or "" for t in texts])
+            texts = [t if t is None else mask(t, every) for t, (_, every) in zip(texts, found, strict=True)]
             k = p.schema.get_field_index(text_col)
             return p.set_column(k, p.schema.field(k), pa.array(texts, p.schema.field(k).type))
 

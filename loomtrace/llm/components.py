@@ -3,10 +3,15 @@
 Each round links every node to the smallest node it knows, in joins and minima only, so a hub's
 neighbours are never gathered in one row. Rounds are few (about the logarithm of the longest chain)
 and each is cut off through the shared folder; nothing but a count and a checksum reaches the driver.
+
+Defined results: edges of a node with itself and repeated edges add nothing; edges with a null end are
+left out; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +41,25 @@ def stars(edges: DataFrame) -> DataFrame:
             return now
         seen = told
         now = checkpointed(_small(_large(now)))
+
+
+def first_of_each(df: DataFrame, components: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` of each component, and all rows without an id, with all their columns.
+
+    ``components`` gives (doc_id, component_id) for rows (doc_id, text); it is asked with (id, hash of
+    the text) as id, so that one id with several texts loses none of them and a repeated row stays once.
+    """
+    row = lambda: F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
+    own = df.where(F.col(id_col).isNotNull()).select(row().alias("doc_id"), F.col(text_col).alias("text"))
+    kept = components(own).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = checkpointed(kept.select(F.col("doc_id").alias("_kept"), "_n"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    names = {"_row", "_kept", "_n"} & set(df.columns)
+    if names:
+        raise ValueError(f"columns of these names are in use here: {sorted(names)}")
+    joined = df.withColumn("_row", row()).join(kept.hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left")
+    joined = joined.where(F.col("_kept").isNotNull() | F.col(id_col).isNull())
+    if kept.where("_n > 1").isEmpty():
+        return joined.select(*columns)
+    again = joined.where("_n > 1").dropDuplicates(["_row"])
+    return joined.where("_n is null or _n = 1").unionByName(again).select(*columns)

@@ -2,12 +2,14 @@
 
 Words are those of operator 7 (white-space runs of the ASCII-lower-cased text); fewer than five words
 are one shingle, so short texts link only to equal ones. Texts are nodes by a 64-bit hash, so exact
-copies are one node. Links are found twice, and each is verified on the words themselves:
-
-1. Min-hash bands link every text to the first of its bucket and to the one before it, in an order of the
-   bucket's own. That is linear in the texts and joins the members of large groups, but alone it would
-   miss pairs.
-2. A prefix filter finds every pair that is left. In one global order of the shingles, two sets of
+copies are one node. Links are found three times, and each is verified on the words themselves:
+
+1. Operator 7's trie self-join of SimHash fingerprints, here over the five-word shingles and with up to
+   ``ERRORS`` differing bits, links the closest copies.
+2. Min-hash bands link every text to the first of its bucket and to the one before it, in an order of the
+   bucket's own. That is linear in the texts and joins the members of large groups. Copies at a Jaccard of
+   0.8 differ in some ten of 64 bits, beyond any budget that a trie can traverse, so both miss pairs.
+3. A prefix filter finds every pair that is left. In one global order of the shingles, two sets of
    Jaccard t share one of the first n - ceil(t n) + 1 of each, so a join of those prefixes misses none;
    sizes, places in the prefix and bitmaps, of which no more bits differ than shingles, reject most
    pairs, and pairs already in one component are left out.
@@ -15,8 +17,10 @@ copies are one node. Links are found twice, and each is verified on the words th
 The order puts shingles of many texts last, by a table of counts hashed to ``COUNTERS`` places; any order
 is complete, so what the table leaves out or mixes up costs time and never a pair.
 
-Defined results: null texts count as empty; texts without words are copies of each other; rows without an
-id stay; an empty table gives an empty table.
+Defined results: null texts count as empty; texts without words are copies of each other; very long texts
+cost time and memory in proportion to their length; repeated rows and rows of one id with equal texts are
+one (``keep_one``), rows of one id with other texts are not; rows without an id stay and link nothing
+(``keep_one``); an empty table gives an empty table; further columns are ignored or kept as said.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import checkpointed, map_slices, slices, written
-from loomtrace.llm.components import stars
+from loomtrace.llm.components import first_of_each, stars
+from loomtrace.llm.simhash import links, majority
 
-WORDS, TABLE = 5, 300_000
+WORDS, TABLE, ERRORS = 5, 300_000, 3
 BANDS, ROWS, BITS = 16, 3, 512
 #: Places of the counts, the least count that a task reports, and the most that are kept.
 COUNTERS, OFTEN, HELD = 1 << 24, 4, 300_000
@@ -127,22 +132,23 @@ def counts(nodes: DataFrame) -> np.ndarray:
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """key, node: a row a band, the text's bitmap in the first."""
+    """key, node: a row a band, the text's bitmap and fingerprint in the first."""
 
     def task():
         hashes = Hashes()
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
-            keys, bits = [np.zeros(0, np.uint64)], []
+            keys, bits, fps = [np.zeros(0, np.uint64)], [], []
             for t in p.column("text").to_pylist():
                 h = shingle_hashes(t, hashes)
                 keys.append(bands(h))
                 bits += [bitmap(h), *[None] * (BANDS - 1)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(np.repeat(p.column("node").to_numpy(), BANDS), pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["key", "node", "bits"])
+                fps += [int(majority(h).view(np.int64)), *[None] * (BANDS - 1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(np.repeat(p.column("node").to_numpy(), BANDS), pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["key", "node", "bits", "fp"])
 
         return each
 
-    return checkpointed(map_slices(nodes, task, "key long, node long, bits array<bigint>"))
+    return checkpointed(map_slices(nodes, task, "key long, node long, bits array<bigint>, fp long"))
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -185,11 +191,21 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return checkpointed(map_slices(sides.select("a", "b", "x", "text"), task, "a long, b long"))
 
 
+def trie_pairs(banded: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes: those of one fingerprint with its first, and the firsts of linked fingerprints."""
+    own = banded.where("fp is not null").select("fp", "node")
+    firsts = checkpointed(own.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = own.join(firsts, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    linked = links(firsts.select("fp"), errors=ERRORS).join(side("a"), "a").join(side("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    return equal.unionByName(linked).where("a <> b")
+
+
 def banded_links(nodes: DataFrame, banded: DataFrame) -> DataFrame:
     by = W.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     rows = banded.select("node", F.array(F.first("node").over(by), F.lag("node").over(by)).alias("other"))
-    pairs = rows.select("node", F.explode("other").alias("other")).where("node <> other")
-    return verified(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), nodes)
+    pairs = rows.select(F.col("node").alias("a"), F.explode("other").alias("b")).where("a <> b").unionByName(trie_pairs(banded))
+    return verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes)
 
 
 def other_links(nodes: DataFrame, banded: DataFrame, roots: DataFrame) -> DataFrame:
@@ -225,7 +241,5 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id names its component; rows without an id stay."""
-    found = components(df, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The row of least id, and of its texts of least hash, of every component of rows with an id; rows without one stay."""
+    return first_of_each(df, components, id_col, text_col)

@@ -7,14 +7,15 @@ Join. Distinct fingerprints form a binary trie; pairs of nodes are traversed tog
 accumulate, and a pair of nodes is left as soon as they exceed ``ERRORS``. To deal the trie out, three
 rotations of the bits are used: of at most two errors, one of three blocks of bits has none, so every
 link lies below one node of a rotation's trie at that block's depth, and that node is the unit of
-work. A node with more than ``HOT`` fingerprints is first opened by ``STEP`` more bits into pairs of
+work (for another budget, of ``errors`` + 1 blocks). A node with more than ``HOT`` fingerprints is first opened by ``STEP`` more bits into pairs of
 children within the error budget, again and again, so no task gets a large node whole. Rows carry
 fingerprints only; equal ones are one row. A fingerprint has at most 2080 neighbours within two bits,
 and each unit returns a spanning forest of its links, not all of them; forests keep every connection.
 
 Defined results: null texts count as empty; texts without words have fingerprint 0 and link like any
-other; fewer than three words are one shingle; repeated rows repeat; a null id never names a component
-unless no other id is there; an empty table gives an empty table; further columns are ignored.
+other; fewer than three words are one shingle; very long texts cost time and memory in proportion to
+their length; repeated rows repeat; a null id never names a component unless no other id is there; an
+empty table gives an empty table; further columns are ignored (``components``) or kept (``keep_one``).
 """
 
 from __future__ import annotations
@@ -25,16 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import checkpointed, map_slices
-from loomtrace.llm.components import stars
+from loomtrace.llm.components import first_of_each, stars
 
 ERRORS, BITS = 2, 64
-#: (rotation, depth) of the three tries: blocks of 21, 21 and 22 bits.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
+WORDS = 3
 HOT, STEP = 4096, 4
 #: Rows that a worker joins at once, and the size of a node pair that is compared directly.
 CHUNK, DIRECT = 100_000, 64
 
 
+def blocks(errors: int) -> list[tuple[int, int]]:
+    """(rotation, depth) of the tries: of at most ``errors`` differing bits, one of these blocks has none."""
+    cuts = [BITS * k // (errors + 1) for k in range(errors + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def shingle_hashes(text: str | None) -> list[int]:
     from xxhash import xxh64_intdigest
 
@@ -42,11 +48,11 @@ def shingle_hashes(text: str | None) -> list[int]:
     if not words:
         return []
     data = b" ".join(words)
-    if len(words) < 3:
+    if len(words) < WORDS:
         return [xxh64_intdigest(data, 42)]
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-3]])
-    return [xxh64_intdigest(data[a:b], 42) for a, b in zip(starts.tolist(), (ends[2:] - 1).tolist())]
+    starts = np.concatenate([[0], ends[:-WORDS]])
+    return [xxh64_intdigest(data[a:b], 42) for a, b in zip(starts.tolist(), (ends[WORDS - 1 :] - 1).tolist())]
 
 
 def fingerprint_all(texts: list[str | None]) -> np.ndarray:
@@ -55,12 +61,16 @@ def fingerprint_all(texts: list[str | None]) -> np.ndarray:
     for k, t in enumerate(texts):
         h = shingle_hashes(t)
         if h:
-            bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            set_ = 2 * bits.sum(axis=0, dtype=np.int64) > len(h)
-            out[k] = np.packbits(set_, bitorder="little").view("<u8")[0]
+            out[k] = majority(np.array(h, "<u8"))
     return out
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that over half of the hashes set."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little").view("<u8")[0]
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -140,7 +150,7 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
-def _join_units(unit: np.ndarray, side: np.ndarray, depth: np.ndarray, used: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _join_units(unit: np.ndarray, side: np.ndarray, depth: np.ndarray, used: np.ndarray, values: np.ndarray, errors: int = ERRORS) -> np.ndarray:
     """Forest edges (place, place) of whole units given in the order of unit, side, value."""
     first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
     last = np.concatenate([first[1:], [len(unit)]])
@@ -149,10 +159,10 @@ def _join_units(unit: np.ndarray, side: np.ndarray, depth: np.ndarray, used: np.
     cross = ~one & (split > first)
     own = one & (last - first > 1) & (side[first] == 0)
     nodes = np.concatenate([np.stack([first[own], last[own], first[own], last[own], depth[first[own]], used[first[own]]], axis=1), np.stack([first[cross], split[cross], split[cross], last[cross], depth[first[cross]], used[first[cross]]], axis=1)])
-    return np.array(forest(trie_pairs(values, nodes)), np.int64).reshape(-1, 2)
+    return np.array(forest(trie_pairs(values, nodes, errors)), np.int64).reshape(-1, 2)
 
 
-def _edges(units: DataFrame) -> DataFrame:
+def _edges(units: DataFrame, errors: int) -> DataFrame:
     """(a, b) forest edges from rows (rotation, depth, na, nb, self, used, side, v) of units."""
 
     def run(batches):
@@ -173,7 +183,7 @@ def _edges(units: DataFrame) -> DataFrame:
             unit, side, depth, used, values, rotation = (x[keep] for x in (unit, side, depth, used, values, rotation))
             if not len(unit):
                 return None
-            pairs = _join_units(unit, side, depth, used, values)
+            pairs = _join_units(unit, side, depth, used, values, errors)
             turn = rotation.astype(np.uint64)[pairs[:, 0]]
             back = [((values[pairs[:, k]] >> turn) | (values[pairs[:, k]] << ((np.uint64(64) - turn) & np.uint64(63)))).view(np.int64) for k in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in back], names=["a", "b"])
@@ -205,12 +215,12 @@ def _unsigned(c: str):
     return F.col(c).bitwiseXOR(F.lit(-(2**63)))
 
 
-def _open(hot: DataFrame) -> DataFrame:
+def _open(hot: DataFrame, errors: int) -> DataFrame:
     """Rows of hot units dealt to the pairs of children, STEP bits deeper, within the error budget."""
     n = 1 << STEP
     child = F.expr(f"cast(shiftrightunsigned(v, {BITS - STEP} - depth) & {n - 1} as bigint)")
     opened = hot.withColumn("c", child).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("o", F.col("o").cast("long"))
-    opened = opened.withColumn("more", F.bit_count(F.col("c").bitwiseXOR(F.col("o")))).where(F.col("used") + F.col("more") <= ERRORS)
+    opened = opened.withColumn("more", F.bit_count(F.col("c").bitwiseXOR(F.col("o")))).where(F.col("used") + F.col("more") <= errors)
     own, first = F.col("own"), F.col("side") == 0
     low, high = F.least("c", "o"), F.greatest("c", "o")
     return opened.select(
@@ -225,9 +235,9 @@ def _open(hot: DataFrame) -> DataFrame:
     )
 
 
-def links(distinct_fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """Forest edges (a, b) between the distinct fingerprints of column fp."""
-    turned = [F.struct(F.lit(r).alias("rotation"), F.lit(d).alias("depth"), (F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r)) if r else F.col("fp")).alias("v")) for r, d in BLOCKS]
+def links(distinct_fps: DataFrame, hot: int = HOT, errors: int = ERRORS) -> DataFrame:
+    """Forest edges (a, b) between the distinct fingerprints of column fp that differ in at most ``errors`` bits."""
+    turned = [F.struct(F.lit(r).alias("rotation"), F.lit(d).alias("depth"), (F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r)) if r else F.col("fp")).alias("v")) for r, d in blocks(errors)]
     rows = distinct_fps.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
     node = F.expr("shiftrightunsigned(v, 64 - depth)")
     rows = rows.select("rotation", "depth", node.alias("na"), node.alias("nb"), F.lit(True).alias("own"), F.lit(0).alias("used"), F.lit(0).alias("side"), "v")
@@ -238,10 +248,10 @@ def links(distinct_fps: DataFrame, hot: int = HOT) -> DataFrame:
         if large.isEmpty():
             break
         done.append(rows.join(large, keys, "left_anti"))
-        rows = checkpointed(_open(rows.join(large, keys, "left_semi")))
+        rows = checkpointed(_open(rows.join(large, keys, "left_semi"), errors))
     for part in done:
         rows = rows.unionByName(part)
-    return _edges(rows)
+    return _edges(rows, errors)
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -257,8 +267,6 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return fps.join(of_fp, F.col("fp") == F.col("k")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id names its component; rows without an id stay."""
-    found = components(df, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """The row of least id, and of its texts of least hash, of every component of rows with an id; rows without one stay."""
+    return first_of_each(df, lambda own: components(own, hot=hot), id_col, text_col)

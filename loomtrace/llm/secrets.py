@@ -1,7 +1,8 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
 Method. Every version of a text is a blob named by its SHA-256. The ledger (Parquet, one row a blob
-and scan) says which rule versions a blob was scanned with and what they found. A scan takes the
+and scan) says which rule versions a blob was scanned with and what each, by name and version, found; so
+rules may be added, removed and put in another order between scans. A scan takes the
 distinct blobs, leaves out the (blob, rule version) pairs that the ledger has, scans each remaining
 blob once however many paths hold it, appends to the ledger, and joins findings back to all paths.
 
@@ -10,7 +11,7 @@ their lengths, added up, are the matches' code points; both find leftmost non-ov
 A cheap ``contains`` that every match must satisfy stands before the costlier patterns.
 
 Defined results: null texts count as empty; an empty text is a blob without findings; equal texts are
-one blob; repeated rows repeat; findings of several rules may overlap and all stay; an empty table
+one blob; very long texts cost time in proportion to their length for each rule; repeated rows repeat; findings of several rules may overlap and all stay; an empty table
 gives an empty table; further columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import checkpointed, shared_dir
+from loomtrace.llm.common import checkpointed, forgotten, shared_dir
 
 
 @dataclass(frozen=True)
@@ -50,20 +51,22 @@ BASE = (
 )
 ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", needs=("PRIVATE KEY-----",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyJ",)),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyJ",)),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", needs=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", needs=("xox",)),
 )
 RULES = BASE + ADDED
-FOUND = "array<struct<start:bigint,rank:int,end:bigint>>"
+#: Findings as the ledger keeps them, under the rule's name and version, and in the order of the rules that are asked for.
+FOUND = "array<struct<start:bigint,rule:string,end:bigint>>"
+RANKED = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
 def _none() -> Column:
     return F.expr(f"cast(array() as {FOUND})")
 
 
-def matches(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's findings in a text: structs (start, rank, end)."""
+def matches(text: Column, rule: Rule) -> Column:
+    """The rule's findings in a text: structs (start, rule, end)."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     sized = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else F.transform(whole, F.length)
@@ -74,7 +77,7 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
     def walk(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
         end = begin + F.coalesce(x["own"], F.lit(0))
-        one = F.array(F.struct(begin.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end")))
+        one = F.array(F.struct(begin.cast("bigint").alias("start"), F.lit(rule.key).alias("rule"), end.cast("bigint").alias("end")))
         return F.struct(end.cast("bigint").alias("at"), F.when(x["part"] >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
     found = F.aggregate(steps, start, walk, lambda state: state["out"])
@@ -88,7 +91,7 @@ class Ledger:
     """Which blobs were scanned with which rule versions, and the findings; a Parquet folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or forgotten(spark, f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
 
     schema = f"blob string, rules array<string>, found {FOUND}"
 
@@ -122,18 +125,17 @@ def unseen(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES)
 def scan(df: DataFrame, ledger: Ledger, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
     """Scan the unseen pairs of ``df``'s texts and add them to the ledger."""
     versions = df.select(blob(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    each = [F.when(F.array_contains("todo", r.key), matches(F.col("text"), r, k)).otherwise(_none()) for k, r in enumerate(rules)]
-    ledger.append(unseen(versions, ledger, rules).select("blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*each)).alias("found")))
+    each = [F.when(F.array_contains("todo", r.key), matches(F.col("text"), r)).otherwise(_none()) for r in rules]
+    ledger.append(unseen(versions, ledger, rules).select("blob", F.col("todo").alias("rules"), F.concat(*each).alias("found")))
 
 
 def findings(df: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, blob and found of every row, from the ledger; of rules in other versions, the latest scan's."""
+    """doc_id, blob and found (start, rank in ``rules``, end) of every row, from the ledger: the findings of these rule versions."""
     paths = df.select(F.col(id_col).alias("doc_id"), blob(F.col(text_col)).alias("blob"))
     wanted = F.array(*[F.lit(r.key) for r in rules])
-    known = ledger.read().where(F.arrays_overlap("rules", wanted)).select(F.col("blob").alias("_b"), "rules", "found")
-    names = F.array(*[F.lit(r.key) for r in rules])
-    own = F.filter("found", lambda x: F.array_contains(F.col("rules"), F.element_at(names, x["rank"] + 1)))
-    per_blob = known.select("_b", own.alias("found")).groupBy("_b").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    known = ledger.read().where(F.arrays_overlap("rules", wanted)).select(F.col("blob").alias("_b"), F.filter("found", lambda x: F.array_contains(wanted, x["rule"])).alias("found"))
+    ranked = F.transform(F.flatten(F.collect_list("found")), lambda x: F.struct(x["start"].alias("start"), (F.array_position(wanted, x["rule"]) - 1).cast("int").alias("rank"), x["end"].alias("end")))
+    per_blob = known.groupBy("_b").agg(F.array_sort(F.array_distinct(ranked)).alias("found"))
     # cut off, so that the join alone decides the exchange and AQE can split a blob with very many paths
     return paths.join(checkpointed(per_blob), F.col("blob") == F.col("_b")).select("doc_id", "blob", "found")
 
@@ -158,18 +160,27 @@ def digests(df: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id",
 
 
 def oracle_sql() -> str:
-    """The query's meaning in DuckDB: gaps and matches of each rule, added up to positions."""
+    """The query in DuckDB, from the contract's words: each kind's matches by its plain pattern, then found again one after another."""
+    token = "[A-Za-z0-9_-]{8,}"
+    kinds = [  # name, pattern, group of the match, group that is measured, least length
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 1, 2, 8),
+        ("access", "(AKIA[A-Z0-9]+)", 1, 1, 16),
+        ("hex", "([0-9a-f]+)", 1, 1, 32),
+        ("pem", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1, 1),
+        ("jwt", rf"(?:^|[^A-Za-z0-9_-])(eyJ{token}[.]{token}[.]{token})", 1, 1, 1),
+        ("forge", "(gh[pousr]_[A-Za-z0-9]+)", 1, 1, 40),
+        ("chat", "(xox[abprs]-[A-Za-z0-9-]+)", 1, 1, 15),
+    ]
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    parts = []
-    for rank, r in enumerate(RULES):
-        p = quoted(r.pattern)
-        parts.append(
-            f"SELECT doc_id, {rank} AS rank, {quoted(r.name)} AS name, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS own, regexp_extract_all(t, {p}, {r.group}) AS part, {r.least} AS least FROM d WHERE regexp_matches(t, {p})"
-        )
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, {quoted(name)} AS name, {least} AS least, regexp_extract_all(t, {quoted(p)}, {g}) AS own, list_transform(regexp_extract_all(t, {quoted(p)}, {m}), lambda x: length(x)) AS n FROM d WHERE regexp_matches(t, {quoted(p)})"
+        for k, (name, p, g, m, least) in enumerate(kinds)
+    )
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
-i AS (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM m),
-s AS (SELECT doc_id, rank, name, length(part[i]) AS n, least, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(own[1:i - 1], lambda x: length(x))), 0) AS start, length(own[i]) AS size FROM i),
-f AS (SELECT doc_id, rank, CAST(start AS BIGINT) AS start, concat(name, ':', CAST(start AS BIGINT), ':', CAST(start + size AS BIGINT)) AS span FROM s WHERE n >= least),
-a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM f GROUP BY doc_id)
-SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS MATERIALIZED (SELECT * FROM ({parts.replace('SELECT doc_id', 'SELECT r, doc_id')}) WHERE len(list_filter(n, lambda x: x >= least)) > 0),
+w AS (SELECT r, kind, 0 AS i, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop FROM m
+  UNION ALL SELECT w.r, w.kind, w.i + 1, w.stop + strpos(substr(d.t, w.stop + 1), m.own[w.i + 1]) - 1, w.stop + strpos(substr(d.t, w.stop + 1), m.own[w.i + 1]) - 1 + length(m.own[w.i + 1])
+  FROM w JOIN m ON m.r = w.r AND m.kind = w.kind JOIN d ON d.r = w.r WHERE w.i < len(m.own)),
+f AS (SELECT w.r, w.kind, w.start, concat(m.name, ':', w.start, ':', w.stop) AS span FROM w JOIN m ON m.r = w.r AND m.kind = w.kind WHERE w.i > 0 AND m.n[w.i] >= m.least),
+a AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM f GROUP BY r)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""

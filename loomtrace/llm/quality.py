@@ -9,7 +9,8 @@ the others loses weight instead of rejecting texts alone. A weak Dirichlet prior
 better than chance, which fixes the classes' names. Two base rules always reject (``base_failed``).
 
 Defined results: null texts count as empty; a text without words has all counts 0 and fails the base
-rules; repeated rows count as often as they occur; equal texts get equal verdicts; an empty table
+rules; very long texts cost time and memory in proportion to their length, at any number of distinct
+words; repeated rows count as often as they occur; equal texts get equal verdicts; an empty table
 gives an empty table; further columns are ignored (``rules``) or kept as they are (``keep``).
 """
 
@@ -39,7 +40,9 @@ def repeat_words(words: list[bytes]) -> int:
         return 0
     x = np.fromiter(map(index.__getitem__, words), np.int64, n)
     size = len(index)
-    keys = (x[:-2] * size + x[1:-1]) * size + x[2:]
+    # two steps, as three indices need not fit a key
+    _, pair = np.unique(x[:-1] * size + x[1:], return_inverse=True)
+    keys = pair[:-1] * size + x[2:]
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
     often = np.zeros(n - 2, bool)
@@ -128,12 +131,11 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]
     bad, good = (v == 0).sum(axis=1), (v == 2).sum(axis=1)
     post = (good + 1) / (good + 4 * bad + 2)
     for _ in range(rounds):
-        share = (post * n).sum() / n.sum()
+        share = ((post * n).sum() + 0.01 * n.sum()) / (1.02 * n.sum())  # a prior of the same weight, half of it good
         log = []
         for weight, first in ((n * (1 - post), prior[0]), (n * post, prior[1])):
             total = np.einsum("p,prv->rv", weight, one) + first
             log.append(np.einsum("prv,rv->p", one, np.log(total / total.sum(axis=1, keepdims=True))))
-        share = min(max(share, 0.05), 0.95)
         z = np.log(share / (1 - share)) + log[1] - log[0]
         post = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     return dict(zip(names, post.tolist(), strict=True))

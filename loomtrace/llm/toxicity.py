@@ -12,13 +12,18 @@ as a label says that some window is toxic, not which.
 Because averaging and the linear layer commute, the executors need one number a bucket (vector times
 weight difference): scoring is a look-up per distinct word and a running mean.
 
-Sample. At most ``SAMPLE`` labelled rows a class, those of least hash of their id, of texts up to
-``SAMPLE_CHARS`` characters, and only rows that ``train`` lets through. Only fitting is bounded:
-every whole text is scored. ids, sources, languages and labels never enter a score.
+Sample. Of the labelled rows that ``train`` lets through and whose text has up to ``SAMPLE_CHARS``
+characters, at most ``SAMPLE`` a class, those of least hash of their id: a bound on rows and, as the
+driver fits, on bytes. Longer texts are left out before the choice, so they take no place in it. Only
+fitting is bounded: every whole text is scored. ids, sources, languages and labels never enter a score.
+``WINDOW`` and ``ROUNDS`` are those of the least cross-validated log loss (three folds) among the rows
+that may be learnt from; the held-out rows had no part in it.
 
 Defined results: null and empty texts have no window and score 0; with labels of one class only, or
-none, every score is 0; equal texts score equally; repeated label rows of one id count once (the
-largest label); an empty table gives an empty table; further columns are ignored or kept as said.
+none, every score is 0; equal texts, and so all ties, score equally; a very long text or word costs time
+and memory in proportion to its length; repeated label rows of one id count once (the largest label),
+and so do repeated documents of one id (the least text), in fitting; an empty table gives an empty
+table; further columns are ignored or kept as said.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import map_slices
+from loomtrace.llm.common import checkpointed, map_slices
 
 BUCKETS, WIDTH, WINDOW = 1 << 18, 16, 2
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
@@ -178,11 +183,12 @@ def sampled(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "do
     """The bounded training rows, in the order of their ids. ``train`` is a condition on the column ``id``."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     own = own.where(train).groupBy("id").agg(F.max("y").alias("y"))
-    least = lambda y: own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = F.broadcast(least(0).unionByName(least(1)))  # 2 * sample rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= sample_chars)
-    rows = texts.join(chosen, "id").collect()
-    rows = sorted({(r["id"], r["t"], r["y"]) for r in rows})
+    own = own.join(texts.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi")
+    least = lambda y: own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = checkpointed(least(0).unionByName(least(1)))  # 2 * sample rows at most
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
+    rows = sorted((r["id"], r["t"], r["y"]) for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows]
 
 

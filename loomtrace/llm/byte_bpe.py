@@ -8,12 +8,14 @@ before UTF-8 decoding, so characters split over several
 tokens come back whole.
 
 Defined results: a null text counts as empty; an empty text has no ids and the digests of no bytes;
-special tokens' strings in a text are ordinary text; repeated rows give repeated results; an empty
+special tokens' strings in a text are ordinary text; very long texts cost time and memory in proportion to
+their length, ties of merges go by rank; repeated rows give repeated results; an empty
 table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from functools import lru_cache
@@ -31,7 +33,8 @@ LATIN = re.compile("[\t-\r\x20-\x7e\xa0-\xff]*")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \xa0"
 #: public_tokenizers.PATTERN with its classes written out for Latin-1.
 PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-
+#: The pattern that PRE and ``chunks`` stand for; another one needs others.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BESIDE = re.compile(f" [{_S}]|[{_S}] ")
 
 
@@ -46,12 +49,22 @@ def chunks(text: str) -> list[str] | None:
     return text.split(" ") if LATIN.fullmatch(text) and not _BESIDE.search(text) else None
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    """token bytes -> rank of a file of ranks."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class ByteBPE(PreTokens):
-    """One tokenizer file in a worker: ``ids(texts)`` as little-endian bytes, ``raw(ids)`` back to bytes."""
+    """One tokenizer file in a worker: ``ids(texts)`` as little-endian bytes, ``raw(ids)`` back to bytes.
+
+    Without a path the public vocabulary is taken, after its ids and pattern were held against the file of ranks.
+    """
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
+        of_ranks = None if path else ranks(vocabulary_path("byte_bpe_50k.tiktoken"))
         path = path or vocabulary_path()
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
@@ -61,6 +74,11 @@ class ByteBPE(PreTokens):
         self.pieces: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.pieces[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        if of_ranks is not None:
+            import public_tokenizers
+
+            if public_tokenizers.PATTERN != PATTERN or any(self.pieces[i] != token for token, i in of_ranks.items()):
+                raise ValueError("the tokenizer file, the file of ranks and the pattern written out here differ")
 
     def raw(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

@@ -18,10 +18,6 @@ import numpy as np
 TABLE, MARKS = 250_000, 1 << 22
 
 
-#: Little-endian forms of ids.
-PACKED = [i.to_bytes(4, "little") for i in range(1 << 17)]
-
-
 def byte_characters() -> dict[int, str]:
     """The character that stands for each byte: itself if printable, else the next from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,13 +48,15 @@ class PreTokens:
     def __init__(self, library, pattern: re.Pattern, chunks: Callable[[str], list[str] | None], prefix: str = ""):
         self.library, self.pattern, self.chunks, self.prefix = library, pattern, chunks, prefix
         self.model = library.model
+        #: Little-endian forms of all ids.
+        self.packed = [i.to_bytes(4, "little") for i in range(max(library.get_vocab().values(), default=0) + 1)]
         self.stand_in = {b: c for b, c in byte_characters().items() if chr(b) != c}
         self.words = _Table(self._word)
         self.table = _Table(self._chunk)
 
     def _word(self, word: str) -> bytes:
         mapped = word.encode().decode("latin-1").translate(self.stand_in)
-        return b"".join([PACKED[t.id] for t in self.model.tokenize(mapped)])
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
 
     def _joined(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))

@@ -11,7 +11,8 @@ Shots. Consecutive frames' 16-bin histograms are compared (half the sum of absol
 a cut lies where the difference exceeds the mean of the preceding ``SPAN`` differences of the shot's
 file by ``DEVIATIONS`` standard deviations and ``FLOOR``. Clips are timed at ``FPS`` frames a second.
 
-Defined results: null and empty texts are one frame of 255s; a file of one frame is one clip; equal
+Defined results: null and empty texts are one frame of 255s; a file of one frame is one clip, and so is one of two, as the
+first difference of a file has none before it to exceed; equal
 texts give equal bytes and features; very long texts are coded in blocks of frames; an empty table
 gives an empty table; further columns are ignored. Bytes that are no such file raise ValueError.
 """

@@ -3,7 +3,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
-from loomtrace.llm import packing, pii, quality, simhash, toxicity
+from loomtrace.llm import packing, pii, quality, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,7 +19,7 @@ def documents():
         for _ in range(3):
             w.insert(rng.randrange(len(w)), rng.choice(["idiot", "moron", "scum"]))
         bad.append(" ".join(w))
-    rows += bad + [t + " write to rhokk.73@mail2.example.com or +1 (988) 555-2485" for t in clean[70:80]]
+    rows += bad + [" ".join(reversed(t.split())) + " write to rhokk.73@mail2.example.com or +1 (988) 555-2485" for t in clean[70:80]]
     return [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(rows)], {i for i, t in enumerate(rows) if t in set(bad)}
 
 
@@ -44,14 +44,14 @@ def test_stages_equal_brute_force(spark, tmp_path):
     docs = corpus_pipeline.toxic(spark, docs, sf)
     assert {r.doc_id: r.text for r in docs.collect()} == want and not bad & set(want)
 
-    fps = dict(zip(want, simhash.fingerprint_all(list(want.values())).tolist()))
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in want.items())}
     kept = set()
     for i in sorted(want):
         near, todo = {i}, [i]
         while todo:
             x = todo.pop()
             for j in want:
-                if j not in near and bin(fps[x] ^ fps[j]).count("1") <= 2:
+                if j not in near and 5 * len(shingles[x] & shingles[j]) >= 4 * len(shingles[x] | shingles[j]):
                     near.add(j)
                     todo.append(j)
         kept.add(min(near))
@@ -72,3 +72,23 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for r in last:
         total[r.doc_id] += r.length
     assert total == lengths
+
+
+def test_repeated_ids_clashing_names_and_empty_tables(spark, tmp_path):
+    rows, bad = documents()
+    other = rows[5][1]
+    rows = rows[:60] + [(3, other + " but with some more words at the end of it here", "en", "s", 9), (3, other + " but with some more words at the end of it here", "en", "s", 9), (None, rows[7][1], "en", "s", 1)]
+    more = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'x' as votes", "1 as node", "2 as component_id", "3 as fp", "'y' as spans", "4 as score", "5 as size", "6 as n")
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] in bad)) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == more.columns, name
+    kept = docs.select("doc_id", "text").collect()
+    assert len([r for r in kept if r.doc_id == 3]) == 2 and len({r.text for r in kept if r.doc_id == 3}) == 2
+    assert len([r for r in kept if r.doc_id is None]) == 1
+    empty = more.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0, name

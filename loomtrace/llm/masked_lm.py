@@ -16,15 +16,19 @@ averaged in two levels of shuffles, streaming, so no task or driver holds more t
 is gathered grows with the partitions, that is with the input. Biases start at the corpus
 frequencies, so an untrained network is the unigram model.
 
-Defined results: null texts count as empty; texts without words have no tokens and scores 0; repeated
-rows count as often as they occur; ties in frequency go by the word; an empty table gives an empty
+Defined results: null texts count as empty; texts without words have no tokens and scores 0, the greatest
+possible log_prob: a filter by score has to look at ``n_tokens`` too; a very long text is scored whole, its
+words are held at once; repeated
+rows count as often as they occur; ties in frequency at the edge of a vocabulary go by a hash of the word; an empty table gives an empty
 table; further columns are ignored. Scores are float32 sums: equal texts agree to about six digits.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,8 @@ ROUNDS, BATCH, RATE = 2, 1024, 0.08
 #: Distinct words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
 COUNTED, BLOCK, SALTS = 100_000, 1 << 14, 32
 PAD = TOKENS
-#: Words whose counts every executor holds.
-KNOWN = 100_000
+#: Words whose counts every executor holds, and slots of a task beyond which it begins anew.
+KNOWN, HELD = 100_000, 300_000
 
 
 def words(text: str | None) -> list[str]:
@@ -95,13 +99,38 @@ def spelt(word: str) -> float:
     return float(np.log(BUCKETS) - (len(word.encode()) + 1) * np.log(257))
 
 
+def most_frequent(counted: DataFrame, most: int) -> tuple[list, DataFrame]:
+    """The ``most`` rows (word, n) of greatest n, in order, and a table of all others.
+
+    A histogram of n, and of a hash within the least n that is taken, tell where to cut; no task or
+    driver sorts more than the rows taken and those of one value of the hash.
+    """
+    place = F.pmod(F.xxhash64("word"), F.lit(1 << 16))
+
+    def cut(rows: DataFrame, by, left: int, down: bool) -> tuple[int | None, int]:
+        """The value of ``by`` at which ``left`` rows are reached, and the rows still wanted there."""
+        for r in sorted(rows.groupBy(by.alias("v")).agg(F.count(F.lit(1)).alias("m")).collect(), key=lambda r: r["v"], reverse=down):
+            if r["m"] > left:
+                return r["v"], left
+            left -= r["m"]
+        return None, left
+
+    at, left = cut(counted, F.col("n"), most, True)
+    if at is None:
+        taken, last = F.lit(True), F.lit(False)
+    else:
+        level, left = cut(counted.where(F.col("n") == at), place, left, False)
+        taken, last = (F.col("n") > at) | ((F.col("n") == at) & (place < level)), (F.col("n") == at) & (place == level)
+    extra = sorted(counted.where(last).collect(), key=lambda r: r["word"])[:left] if at is not None else []
+    first = sorted([*counted.where(taken).collect(), *extra], key=lambda r: (-r["n"], r["word"]))
+    return first, counted.where(~taken & ~(last & F.col("word").isin([r["word"] for r in extra])))
+
+
 def vocabulary(df: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """The tokens of the most frequent words, and every token's share of the corpus."""
     counted = checkpointed(frequencies(df, text_col))  # read twice below
     bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS))
-    first = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    least = (first[-1]["n"], first[-1]["word"]) if first else (0, "")
-    rest = counted.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
+    first, rest = most_frequent(counted, KNOWN)
     n = np.ones(TOKENS)
     vocab = Vocabulary({r["word"]: k for k, r in enumerate(first[:WORDS])})
     for r in first:
@@ -119,8 +148,7 @@ SHAPES = {
     "b1": (HIDDEN,),
     "wc": (HIDDEN, CLASSES),
     "bc": (CLASSES,),
-    "wt": (CLASSES, HIDDEN, CLASSES),
-    "bt": (CLASSES, CLASSES),
+    "wt": (CLASSES, HIDDEN + 1, CLASSES),  # the last row is the bias
 }
 
 
@@ -133,6 +161,8 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
+        self.bt = self.wt[:, HIDDEN]
+        self.held: dict[str, np.ndarray] = {}
 
     @staticmethod
     def size() -> int:
@@ -146,78 +176,157 @@ class Network:
         net.embed[PAD] = 0
         net.w1[:] = rng.normal(0, (2 * SIDE * WIDTH) ** -0.5, net.w1.shape)
         net.wc[:] = rng.normal(0, 0.05, net.wc.shape)
-        net.wt[:] = rng.normal(0, 0.05, net.wt.shape)
+        net.wt[:, :HIDDEN] = rng.normal(0, 0.05, (CLASSES, HIDDEN, CLASSES))
         by_class = share.reshape(CLASSES, CLASSES)
         net.bc[:] = np.log(by_class.sum(axis=1))
         net.bt[:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
         return net
 
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory kept from one batch to the next, as fresh pages cost more than the sums in them."""
+        size = int(np.prod(shape))
+        if len(self.held.get(name, ())) < size:
+            self.held[name] = np.empty(size, self.flat.dtype)
+        return self.held[name][:size].reshape(shape)
+
     def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.embed[context].reshape(len(context), -1)
-        return x, np.tanh(x @ self.w1 + self.b1)
+        """The embedded sides (position x side) and the hidden layer (unit x position), with a row of ones."""
+        n = len(context)
+        x = self._room("x", n * 2 * SIDE, WIDTH)
+        np.take(self.embed, context.ravel(), axis=0, out=x, mode="clip")
+        x, h = x.reshape(n, -1), self._room("h", HIDDEN + 1, n)
+        h[HIDDEN] = 1
+        own = h[:HIDDEN]
+        np.matmul(self.w1.T, x.T, out=own)
+        own += self.b1[:, None]
+        np.tanh(own, out=own)
+        return x, h
+
+    def _classes(self, h: np.ndarray) -> np.ndarray:
+        """Logits (class x position)."""
+        out = np.matmul(self.wc.T, h[:HIDDEN], out=self._room("logits", CLASSES, h.shape[1]))
+        out += self.bc[:, None]
+        return out
+
+    def _tokens(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits (token in its class x position) of positions in the order of their classes."""
+        out = self._room("logits", CLASSES, h.shape[1])
+        for c, a, b in runs:
+            np.matmul(self.wt[c].T, h[:, a:b], out=out[:, a:b])
+        return out
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | both sides) of every position."""
-        _, h = self._hidden(context)
-        cls, own = target // CLASSES, target % CLASSES
-        out = _picked(h @ self.wc + self.bc, cls)
-        order = np.argsort(cls, kind="stable")
-        for c, part in _runs(cls, order):
-            out[part] += _picked(h[part] @ self.wt[c] + self.bt[c], own[part])
+        order, runs = _by_class(target)
+        target = target[order]
+        _, h = self._hidden(context[order])
+        out = np.empty(len(target), h.dtype)
+        out[order] = _picked(self._classes(h), target // CLASSES)
+        out[order] += _picked(self._tokens(h, runs), target % CLASSES)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray, into: Network) -> None:
         """Adds the slope of the mean loss to ``into``."""
         n = len(target)
+        order, runs = _by_class(target)
+        context, target = context[order], target[order]
         x, h = self._hidden(context)
-        cls, own = target // CLASSES, target % CLASSES
-        d = _slope(h @ self.wc + self.bc, cls, n)
-        into.wc += h.T @ d
-        into.bc += d.sum(axis=0)
-        back = d @ self.wc.T
-        for c, part in _runs(cls, np.argsort(cls, kind="stable")):
-            d = _slope(h[part] @ self.wt[c] + self.bt[c], own[part], n)
-            into.wt[c] += h[part].T @ d
-            into.bt[c] += d.sum(axis=0)
-            back[part] += d @ self.wt[c].T
-        back *= 1 - h * h
-        into.w1 += x.T @ back
-        into.b1 += back.sum(axis=0)
-        at_x = (back @ self.w1.T).reshape(-1, WIDTH)
-        flat = context.ravel()
-        for k in range(WIDTH):
-            into.embed[:, k] += np.bincount(flat, at_x[:, k], TOKENS + 1)
+        d = _slope(self._classes(h), target // CLASSES, n)
+        into.wc += h[:HIDDEN] @ d.T
+        into.bc += d.sum(axis=1)
+        back = np.matmul(self.wc, d, out=self._room("back", HIDDEN, n))
+        d = _slope(self._tokens(h, runs), target % CLASSES, n)
+        slope, own = self._room("slope", *self.wt.shape), self._room("own", HIDDEN, n)
+        for c, a, b in runs:
+            np.matmul(h[:, a:b], d[:, a:b].T, out=slope[c])
+            np.matmul(self.wt[c, :HIDDEN], d[:, a:b], out=own[:, a:b])
+        met = [c for c, _, _ in runs]
+        into.wt[met] += slope[met]
+        back += own
+        h = h[:HIDDEN]
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        into.w1 += (back @ x).T
+        into.b1 += back.sum(axis=1)
+        side = context.ravel().astype(np.int16)
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        first = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
+        at_x = np.matmul(back.T, self.w1.T, out=self._room("at_x", n, 2 * SIDE * WIDTH)).reshape(-1, WIDTH)
+        into.embed[side[first]] += np.add.reduceat(np.take(at_x, order, axis=0, out=x.reshape(-1, WIDTH), mode="clip"), first, axis=0)
         into.embed[PAD] = 0
 
 
 def _picked(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(which)), which]
-    return own - np.log(np.exp(logits).sum(axis=1))
+    logits -= logits.max(axis=0)
+    own = logits[which, np.arange(len(which))]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=0))
 
 
 def _slope(logits: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(which)), which] -= 1
-    return p / n
+    logits -= logits.max(axis=0)
+    p = np.exp(logits, out=logits)
+    p *= 1 / (n * p.sum(axis=0))
+    p[which, np.arange(len(which))] -= 1 / n
+    return p
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the positions by class, and each class's run (class, first, last) in it."""
+    cls = (target // CLASSES).astype(np.int16)
+    order = np.argsort(cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+
 
+class Slots(dict):
+    """word -> slot, for the words that a task met lately; what a slot's word scores is in columns."""
 
-def _runs(cls: np.ndarray, order: np.ndarray):
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    return [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab = vocab
+        self.empty()
 
+    def empty(self) -> None:
+        self.clear()
+        self.words: list[str] = []
+        self.token, self.more, self.left = array("i"), array("d"), array("b")
 
-def positions(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __missing__(self, word: str) -> int:
+        vocab = self.vocab
+        token = vocab[word]
+        more, left = 0.0, False
+        if token >= WORDS and vocab.totals is not None:
+            held = vocab.held.get(word)
+            more, left = (held or 0.0) - vocab.totals[token - WORDS], held is None
+        self[word] = slot = len(self.words)
+        self.words.append(word)
+        self.token.append(token)
+        self.more.append(more)
+        self.left.append(left)
+        return slot
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of all words of the texts, and the words of each text."""
+        if len(self) > HELD:
+            self.empty()
+        cut = [words(t) for t in texts]
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum())), n
+
+
+def placed(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts with SIDE pads around each, and the places of real tokens."""
+    out = np.full(len(tokens) + SIDE * (len(n) + 1), PAD, np.int32)
+    at = np.arange(len(tokens)) + SIDE * (1 + np.repeat(np.arange(len(n)), n))
+    out[at] = tokens
+    return out, at
+
+
+def positions(texts: list[str | None], slots: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts with SIDE pads around each, the places of real tokens, and tokens by text."""
-    pads, flat, n = [PAD] * SIDE, [PAD] * SIDE, []
-    for t in texts:
-        x = words(t)
-        n.append(len(x))
-        flat.extend(map(vocab.__getitem__, x))
-        flat.extend(pads)
-    tokens = np.array(flat, np.int32)
-    return tokens, np.flatnonzero(tokens != PAD), np.array(n, np.int64)
+    own, n = slots.of(texts)
+    return *placed(np.array(slots.token, np.int32)[own], n), n
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -241,20 +350,23 @@ def train(df: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text"
 
     def local(batches):
         vocab, flat = shared.value
-        own = Network(flat.copy())
+        own, slots, room = Network(flat.copy()), Slots(vocab), np.empty_like(flat)
         seen, slope = np.full_like(flat, 1e-4), Network(np.zeros_like(flat))
         steps, row = 0, 0
         for p in slices(batches, "text"):
-            tokens, at, n = positions(p.column("text").to_pylist(), vocab)
+            tokens, at, n = positions(p.column("text").to_pylist(), slots)
             rng = np.random.default_rng([seed, row, len(at)])
             row += p.num_rows
             at = rng.permutation(targets(at, n, max(1, round(1 / masked)), seed))
-            for a in range(0, len(at), BATCH):
-                part = at[a : a + BATCH]
+            size = max(BATCH, min(4 * BATCH, len(at) // 16))
+            for a in range(0, len(at), size):
+                part = at[a : a + size]
                 slope.flat[:] = 0
                 own.gradient(contexts(tokens, part), tokens[part], slope)
-                seen += slope.flat**2
-                own.flat -= RATE * slope.flat / np.sqrt(seen)
+                seen += np.square(slope.flat, out=room)
+                slope.flat *= RATE
+                slope.flat /= np.sqrt(seen, out=room)
+                own.flat -= slope.flat
                 steps += len(part)
         if steps:
             salt = steps % SALTS
@@ -294,25 +406,23 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     return vocab, net
 
 
-def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed conditional log-probabilities of each text."""
-    tokens, at, n = positions(texts, vocab)
+def _summed(own: np.ndarray, n: np.ndarray, slots: Slots, net: Network) -> np.ndarray:
+    """Summed conditional log-probabilities of the texts whose words' slots are given."""
+    tokens, at = placed(np.array(slots.token, np.int32)[own], n)
     logs = np.zeros(len(at) + 1)
     for a in range(0, len(at), 8 * BATCH):
         part = at[a : a + 8 * BATCH]
         logs[a : a + len(part)] = net.log_probs(contexts(tokens, part), tokens[part])
     sums = np.concatenate([[0.0], np.cumsum(logs[:-1])])
     ends = np.cumsum(n)
-    return n, sums[ends] - sums[ends - n]
+    return sums[ends] - sums[ends - n]
 
 
-def outside(text: str | None, vocab: Vocabulary) -> tuple[float, Counter[str]]:
-    """What the words outside the vocabulary add to a score, but for the log counts of those also returned."""
-    left = Counter(w for w in words(text) if w not in vocab)
-    total = 0.0
-    for w, m in left.items():
-        total += m * (vocab.held.get(w, 0.0) - vocab.totals[vocab[w] - WORDS])
-    return total, Counter({w: m for w, m in left.items() if w not in vocab.held})
+def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and summed conditional log-probabilities of each text; a word outside the vocabulary counts as its bucket."""
+    slots = Slots(vocab)
+    own, n = slots.of(texts)
+    return n, _summed(own, n, slots, net)
 
 
 def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,21 +432,20 @@ def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id"
 
     def task():
         vocab, flat = shared.value
-        net = Network(flat)
+        net, slots = Network(flat), Slots(vocab)
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
             """A row a text, under a word that no text can have, and a row a word to be joined."""
-            texts, row = p.column("text").to_pylist(), p.column("row").to_pylist()
-            n, total = score_texts(texts, vocab, net)
-            place, key, times, unseen = [], [], [], []
-            if vocab.totals is not None:
-                for k, t in enumerate(texts):
-                    more, left = outside(t, vocab)
-                    total[k] += more
-                    place.extend([row[k]] * len(left))
-                    key.extend(left)
-                    times.extend(left.values())
-                    unseen.extend(map(spelt, left))
+            row = p.column("row").to_pylist()
+            own, n = slots.of(p.column("text").to_pylist())
+            total = _summed(own, n, slots, net)
+            of_text = np.repeat(np.arange(len(n)), n)
+            total += np.bincount(of_text, np.array(slots.more)[own], len(n))
+            left = np.array(slots.left, bool)[own]
+            found, times = np.unique(of_text[left] * np.int64(len(slots.words)) + own[left], return_counts=True)
+            text, slot = np.divmod(found, max(len(slots.words), 1))
+            place, key, times = p.column("row").to_numpy()[text].tolist(), [slots.words[k] for k in slot.tolist()], times.tolist()
+            unseen = list(map(spelt, key))
             none = [None] * len(key)
             ids = pa.concat_arrays([p.column("doc_id"), pa.array(none, p.column("doc_id").type)])
             columns = [pa.array(row + place, pa.int64()), ids, pa.array(n.tolist() + none, pa.int64()), pa.array(total.tolist() + none, pa.float64())]

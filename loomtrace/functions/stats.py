@@ -8,10 +8,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from loomtrace.functions.running import at_ranks
+
 #: Places that a resampling draws at once.
 DRAWN = 1 << 19
 
@@ -87,6 +89,34 @@ def paired_bootstrap(pairs: DataFrame, key: str, order: str, a: str, b: str, n_i
     return pairs.select(key, order, a, b).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, delta_acc double, ci_lo double, ci_hi double, p_two_sided double")
 
 
+def paired_outcomes(n: int, p_a: float, p_b: float, rho: float, seed: int) -> tuple[list[bool], list[bool]]:
+    """Two outcomes an item with the given accuracies: one Gaussian in common, one each of their own, cut at their quantiles."""
+    rng = np.random.default_rng(seed)
+    common, own_a, own_b = (rng.normal(size=n) for _ in range(3))
+    w, v = (rho**0.5, (1 - rho) ** 0.5) if rho > 0 else (0.0, 1.0)
+    return tuple((w * common + v * own > NormalDist().inv_cdf(1 - p)).tolist() for own, p in ((own_a, p_a), (own_b, p_b)))
+
+
+def self_test(spark: SparkSession, n: int, p_a: float, p_b: float, rho: float = 0.5, seeds: int = 20, n_iter: int = 2000) -> DataFrame:
+    """A row a seed: discordant counts, exact p and the resampled interval of generated outcomes; each seed is a task's row."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for seed in f["seed"]:
+                a, b = paired_outcomes(n, p_a, p_b, rho, int(seed))
+                only_b, only_a = sum(y and not x for x, y in zip(a, b)), sum(x and not y for x, y in zip(a, b))
+                found = bootstrap(a, b, n_iter, seed=int(seed))
+                rows.append((int(seed), sum(a), sum(b), only_b, only_a, mcnemar_p(only_b, only_a), found["delta_acc"], found["ci_lo"], found["ci_hi"]))
+            yield pd.DataFrame(rows, columns=["seed", "n_a", "n_b", "b", "c", "p", "delta", "ci_lo", "ci_hi"])
+
+    return spark.range(seeds).withColumnRenamed("id", "seed").repartition(max(1, min(seeds, 64))).mapInPandas(run, "seed long, n_a long, n_b long, b long, c long, p double, delta double, ci_lo double, ci_hi double")
+
+
+def self_test_summary(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("n_seeds"), F.count_if(F.col("p") < 0.05).alias("n_significant"), F.count_if((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)).alias("n_ci_excludes_zero"), F.median("p").alias("median_p"), F.avg("p").alias("mean_p"))
+
+
 def n_for_power(delta: float, power: float = 0.8, alpha: float = 0.05) -> int:
     z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
     return math.ceil((z * 0.5 / delta) ** 2)
@@ -94,14 +124,10 @@ def n_for_power(delta: float, power: float = 0.8, alpha: float = 0.05) -> int:
 
 def conformal(df: DataFrame, key: str, error: str, alpha: float = 0.1) -> DataFrame:
     """Per key: the conformal quantile of absolute errors and the interval's width (0 below two errors)."""
-    n = F.count(error)
-    level = F.least(F.ceil((n + 1) * (1 - alpha)) / n, F.lit(1.0))
-    sorted_ = df.groupBy(key).agg(n.alias("n"), level.alias("level"), F.sort_array(F.collect_list(error)).alias("e"))
-    at = F.col("level") * (F.col("n") - 1)
-    low = F.element_at("e", (F.floor(at) + 1).cast("int"))
-    high = F.element_at("e", (F.ceil(at) + 1).cast("int"))
-    q = F.when(F.col("n") >= 2, low + (high - low) * (at - F.floor(at))).otherwise(0.0)
-    return sorted_.select(key, "n", q.alias("quantile"), (2 * q).alias("width"))
+    at = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"), F.lit(1.0)) * (F.col("n") - 1)
+    found = at_ranks(df, [key], error, {"low": F.floor(at), "high": F.ceil(at)})
+    q = F.when(F.col("n") >= 2, F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))).otherwise(0.0)
+    return found.select(key, "n", q.alias("quantile"), (2 * q).alias("width"))
 
 
 def geometric_mean(values: Column) -> Column:

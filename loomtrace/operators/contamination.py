@@ -2,24 +2,31 @@
 
 A positive Jaccard needs a common n-gram, so an equi-join on hashed grams reaches every pair that can
 count; gram sets are only counted, never gathered. The evaluation side is broadcast if its grams are
-few (a checked size), else the join shuffles; frequent grams split by AQE's skew join.
+few (a checked size), else the join shuffles; frequent grams split by AQE's skew join. Word sequences
+of few evaluation texts need no join at all (``word_overlaps``).
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
+from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from loomtrace.functions import text as T
 
 #: Characters of evaluation texts up to which their grams (fewer than characters, 24 bytes each) are broadcast.
 BROADCAST_CHARS = 2_000_000
+#: Letters, numbers and underscores of any script, as ``T.WORD``.
+WORDS = re.compile(r"\w+")
 
 
 def _grams(df: DataFrame, id_col: str, out: str, gram) -> DataFrame:
@@ -39,11 +46,54 @@ def overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, gr
     return shared.select("train", "item", (F.col("shared") / (F.col("train_n") + F.col("item_n") - F.col("shared"))).alias("jaccard"))
 
 
+def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, n: int = 8, text_col: str = "text") -> DataFrame:
+    """(train, item, jaccard) of n-word sequences, as ``overlaps`` gives them.
+
+    With few evaluation texts (a checked size) their sequences go to every task as a table, and each
+    training text is looked through where it lies: nothing is exploded, joined or shuffled. With more,
+    the join of ``overlaps`` is taken.
+    """
+    if (items.agg(F.sum(F.length(text_col))).first()[0] or 0) > BROADCAST_CHARS:
+        return overlaps(train, items, train_id, item_id, lambda t: T.word_ngrams(t, n), text_col)
+    word: dict[str, int] = {}
+    grams: dict[tuple[int, ...], list[int]] = {}
+    ids, sizes = [], []
+    for r in items.select(F.col(item_id).alias("i"), F.lower(text_col).alias("t")).collect():
+        w = [word.setdefault(x, len(word)) for x in WORDS.findall(r["t"] or "")]
+        own = set(zip(*(w[k:] for k in range(n))))
+        for g in own:
+            grams.setdefault(g, []).append(len(ids))
+        ids.append(r["i"])
+        sizes.append(len(own))
+    item_type = to_arrow_type(items.schema[item_id].dataType)
+    kind, item_kind = train.schema[train_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    shared = train.sparkSession.sparkContext.broadcast((word, grams, ids, sizes))
+
+    def run(batches):
+        word, grams, ids, sizes = shared.value
+        for b in batches:
+            rows, found, scores = [], [], []
+            for k, text in enumerate(b.column("t").to_pylist()):
+                words = WORDS.findall(text or "")
+                w = [word.get(x, -1) for x in words]
+                met = {g for g in zip(*(w[j:] for j in range(n))) if g in grams}
+                if met:
+                    total = len(set(zip(*(words[j:] for j in range(n)))))
+                    for item, both in Counter(i for g in met for i in grams[g]).items():
+                        rows.append(k)
+                        found.append(ids[item])
+                        scores.append(both / (total + sizes[item] - both))
+            names = pa.array(found, item_type)
+            yield pa.RecordBatch.from_arrays([b.column("train").take(pa.array(rows, pa.int64())), names, pa.array(scores, pa.float64())], names=["train", "item", "jaccard"])
+
+    return train.select(F.col(train_id).alias("train"), F.lower(text_col).alias("t")).mapInArrow(run, f"train {kind}, item {item_kind}, jaccard double")
+
+
 def check(train: DataFrame, items: DataFrame, train_id: str, item_id: str, threshold: float = 0.2, n: int = 8, char_threshold: float = 0.7, char_sizes: tuple[int, ...] = (5, 6, 7, 8, 9, 10), normalize: bool = True) -> DataFrame:
     """Flagged training texts: id, best word-gram and character-gram Jaccard, where either reaches its threshold."""
     clean = (lambda d, i: d.select(i, T.normalize(F.col("text")).alias("text"))) if normalize else (lambda d, i: d.select(i, "text"))
     train, items = clean(train, train_id), clean(items, item_id)
-    words = overlaps(train, items, train_id, item_id, lambda t: T.word_ngrams(t, n)).groupBy("train").agg(F.max("jaccard").alias("jaccard"))
+    words = word_overlaps(train, items, train_id, item_id, n).groupBy("train").agg(F.max("jaccard").alias("jaccard"))
     chars = None
     for k in char_sizes:
         one = char_candidates(train, items, train_id, item_id, k, char_threshold)

@@ -19,11 +19,26 @@ def _doubled(own: DataFrame) -> tuple[DataFrame, bool]:
         own = next_.drop("moved")
         if next_.where("moved").isEmpty():
             return own, False
-        if step > most:
+        if step > 2 * most:  # a chain has come to rest by now
             return own, True
 
 
 def roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, root, depth): the last ancestor present in the table, by pointer doubling (``_roots``).
+
+    The rounds run without constraint propagation: a cut-off table keeps what was inferred of it, and
+    that doubles with every self-join.
+    """
+    conf, name = nodes.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        return checkpointed(_roots(nodes, id_col, parent_col))
+    finally:
+        conf.set(name, before)
+
+
+def _roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """(id, root, depth): the last ancestor present in the table, by pointer doubling.
 
     Each round doubles the distance, so a chain of n takes log2(n) joins, however long it is. A chain
@@ -34,10 +49,11 @@ def roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     known = rows.select(F.col("id").alias("k"))
     own = checkpointed(rows.join(known, F.col("p") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.when(F.col("k").isNull() | (F.col("p") == F.col("id")), 0).otherwise(1).alias("depth")))
     ends, cyclic = _doubled(own)
-    if not cyclic:
+    final = own.where(F.col("id") == F.col("at")).select(F.col("at").alias("c"))
+    # pointers on a cycle come to rest too if its length is a power of two
+    if not cyclic and ends.join(final, F.col("at") == F.col("c"), "left_anti").isEmpty():
         return ends.withColumnRenamed("at", "root")
     # as many hops as rows end on a cycle, and on each of its nodes if begun there
-    final = own.where(F.col("id") == F.col("at")).select(F.col("at").alias("c"))
     ring = checkpointed(ends.select(F.col("at").alias("c")).distinct().join(final, "c", "left_anti"))
     turn = own.join(ring, F.col("id") == F.col("c")).select("id", F.col("at").alias("p"))
     least, step, most = turn.select("id", F.col("p").alias("at"), F.least("id", "p").alias("least")), 1, ring.count()

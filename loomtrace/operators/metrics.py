@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.functions.running import at_ranks
 from loomtrace.functions.stats import mcnemar, wilson
 
 
@@ -67,8 +68,6 @@ def pass_rates(records: DataFrame, by: str, correct: str = "final_pass") -> Data
     return records.groupBy(by).agg(F.count_if(correct).alias("n_pass"), F.count(F.lit(1)).alias("n"))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The sorted value at half-even-rounded q * (n - 1); 0 for none."""
-    ordered = F.sort_array(F.collect_list(values))
-    at = F.bround(q * (F.count(values) - 1), 0).cast("int") + 1
-    return F.when(F.count(values) > 0, F.element_at(ordered, F.greatest(at, F.lit(1)))).otherwise(0.0)
+def nearest_rank(rows: DataFrame, by: list[str], value: str, q: dict[str, float]) -> DataFrame:
+    """Per key n and, under each name, the sorted value at half-even-rounded q * (n - 1)."""
+    return at_ranks(rows, by, value, {k: F.bround(F.lit(x) * (F.col("n") - 1), 0).cast("long") for k, x in q.items()})

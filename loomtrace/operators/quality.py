@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.functions.running import at_ranks
 from loomtrace.functions.text import injection_signal, short_hash
 
 ISSUE = "struct<level:string,check:string,value:double,threshold:double>"
@@ -64,9 +65,13 @@ def anomalous_score(score: Column) -> Column:
     return score.isNotNull() & (number.isNull() | F.isnan(number) | (number < 0) | (number > 1))
 
 
-def text_fields() -> Column:
-    """Non-empty texts of a record that may carry an injection."""
-    return F.filter(F.array("task", "final_answer", "prompt", "user_message"), lambda x: F.coalesce(x, F.lit("")) != "")
+def text_fields(of_actions: tuple[str, ...] = ()) -> Column:
+    """Non-empty texts of a record that may carry an injection, and of its actions those of the fields named."""
+    own = F.array("task", "final_answer", "prompt", "user_message")
+    if of_actions:
+        inner = F.flatten(F.transform("actions", lambda a: F.array(*[a[f] for f in of_actions])))
+        own = F.concat(own, F.coalesce(inner, F.expr("cast(array() as array<string>)")))
+    return F.filter(own, lambda x: F.coalesce(x, F.lit("")) != "")
 
 
 def check_texts(rows: DataFrame, text: str = "text", normalized: bool = False) -> DataFrame:
@@ -92,7 +97,7 @@ def validate_rows(rows: DataFrame) -> DataFrame:
 
 
 def content_key(messages: Column) -> Column:
-    """Key of a supervised row: the first 200 characters of each content."""
+    """Key of a supervised row: the first 200 characters of each content, as the surveyed feature has it; the rest is not looked at."""
     return short_hash(F.array_join(F.transform(messages, lambda m: F.substring(F.coalesce(m["content"], F.lit("")), 1, 200)), "|"), 20)
 
 
@@ -141,5 +146,7 @@ def benchmark_trust(findings: DataFrame) -> DataFrame:
 
 def length_stats(rows: DataFrame, tokens: Column, by: str) -> DataFrame:
     """Least, greatest, mean (whole), the value at index floor(0.95 n), and 1.2 times the greatest."""
-    ordered, n = F.sort_array(F.collect_list(tokens)), F.count(tokens)
-    return rows.groupBy(by).agg(F.min(tokens).alias("least"), F.max(tokens).alias("most"), F.floor(F.avg(tokens)).alias("mean"), F.element_at(ordered, F.least(F.floor(n * 0.95) + 1, n).cast("int")).alias("p95"), F.floor(F.max(tokens) * 1.2).cast("long").alias("suggested"))
+    own = rows.select(by, tokens.alias("_t"))
+    whole = own.groupBy(by).agg(F.min("_t").alias("least"), F.max("_t").alias("most"), F.floor(F.avg("_t")).alias("mean"), F.floor(F.max("_t") * 1.2).cast("long").alias("suggested"))
+    ranked = at_ranks(own, [by], "_t", {"p95": F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)}).select(by, "p95")
+    return whole.join(ranked, by).select(by, "least", "most", "mean", "p95", "suggested")

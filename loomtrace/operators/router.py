@@ -89,16 +89,13 @@ def evidence_features(records: DataFrame) -> DataFrame:
     """The same features from evidence records, and the label they suggest."""
     deny = F.size(F.filter("capability_decisions", lambda d: d["decision"] == "deny"))
     failed = F.size(F.filter("verifier_results", lambda v: ~F.coalesce(v["passed"], F.lit(True))))
-    total, valid = F.size("actions"), F.size(F.filter("actions", lambda a: a["state_changing"]))
+    broken = "error" in records.schema["actions"].dataType.elementType.fieldNames()
+    done = lambda a: F.coalesce(a["state_changing"], F.lit(False)) & (F.coalesce(a["error"], F.lit("")) == "" if broken else F.lit(True))
+    total, valid = F.size("actions"), F.size(F.filter("actions", done))
     suggested = F.when(deny >= 2, HUMAN).when(deny == 1, LARGE).when(failed > 0, REPAIR).otherwise(SMALL)
-    return records.select(
-        "run_id",
-        (total > 0).cast("int").alias("taskspec_has_tools"),
-        failed.alias("eval_violation_count"),
-        deny.alias("eval_hard_violation_count"),
-        total.alias("eval_tool_calls_total"),
-        valid.alias("eval_tool_calls_valid"),
-        F.when(total > 0, valid / total).otherwise(1.0).alias("eval_tool_validity_rate"),
-        (failed > 0).cast("int").alias("eval_escalated"),
-        suggested.alias("label"),
-    )
+    zero = F.lit(0)
+    values = {f: zero for f in FEATURES} | {
+        "taskspec_has_tools": (total > 0).cast("int"), "eval_violation_count": failed, "eval_hard_violation_count": deny, "eval_tool_calls_total": total, "eval_tool_calls_valid": valid,
+        "eval_tool_validity_rate": F.when(total > 0, valid / total).otherwise(1.0), "eval_escalated": (failed > 0).cast("int"), "eval_latency_ms": F.lit(0.0),
+    }
+    return records.select("run_id", *[v.alias(k) for k, v in values.items()], suggested.alias("label"))

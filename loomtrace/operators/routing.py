@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.functions.running import running
 from loomtrace.functions.times import age_days
 
 
@@ -67,9 +68,8 @@ def allows(prefixes: list[str], subject: Column) -> Column:
 
 def within_quota(rows: DataFrame, tenant_col: str, day: str, order: str, size: Column, per_day: int | None = None, storage: int | None = None) -> DataFrame:
     """Each row's running records of the day and bytes of the tenant, and whether both limits hold."""
-    daily = Window.partitionBy(tenant_col, day).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(tenant_col).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("records_today", F.count(F.lit(1)).over(daily)).withColumn("storage_bytes", F.sum(size).over(total))
+    out = running(rows, [tenant_col, day], order, {"records_today": F.lit(1).cast("long")})
+    out = running(out, [tenant_col], order, {"storage_bytes": size.cast("long")})
     over = F.when(F.col("records_today") > per_day, "records_per_day") if per_day is not None else F.lit(None).cast("string")
     if storage is not None:
         over = F.coalesce(over, F.when(F.col("storage_bytes") > storage, "storage_bytes"))

@@ -32,8 +32,8 @@ class TraceStore:
     def read(self) -> DataFrame:
         return self.spark.read.format(self.codec).option("mergeSchema", "true").load(self.root).withColumn("dt", F.col("dt").cast("string"))
 
-    def query(self, subject: str | None = None, start: Column | None = None, end: Column | None = None, time: Column | None = None, rollout: str | None = None) -> DataFrame:
-        """Rows of a subject and time span; partition filters prune files before any is read."""
+    def query(self, subject: str | None = None, start: Column | None = None, end: Column | None = None, time: Column | None = None, rollout: str | None = None, limit: int | None = None) -> DataFrame:
+        """Rows of a subject and time span, in the order of ``time`` if given; partition filters prune files before any is read."""
         rows = self.read()
         if subject is not None:
             rows = rows.where(F.col("p_key") == subject.replace("/", "_"))
@@ -45,7 +45,14 @@ class TraceStore:
                     rows = rows.where(time >= bound if after else time <= bound)
         if rollout is not None:
             rows = rows.where(F.col("rollout_id") == rollout)
-        return rows
+        if time is not None:
+            rows = rows.orderBy(time)
+        return rows if limit is None else rows.limit(limit)
+
+    def delete(self, p_key: str, dt: str) -> bool:
+        """Remove a partition's files."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/p_key={p_key}/dt={dt}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def partitions(self) -> DataFrame:
         return self.read().groupBy("p_key", "dt").agg(F.count(F.lit(1)).alias("n"))
@@ -55,3 +62,24 @@ def archive(hot: TraceStore, cold: TraceStore, plan: DataFrame) -> DataFrame:
     """Rows of the partitions to migrate, from the hot store; the caller appends them to the cold one."""
     moved = plan.where(F.col("action") == "migrate").select("p_key", "dt")
     return hot.read().join(moved, ["p_key", "dt"], "left_semi")
+
+
+def apply(hot: TraceStore, cold: TraceStore, plan: DataFrame, dry_run: bool = False) -> DataFrame:
+    """Carry out a plan (p_key, dt, action, tier): move aged partitions to the cold store, delete expired ones.
+
+    Rows are in the cold store before a hot folder goes, so a run that ends halfway loses nothing. The
+    plan has a row a partition and is the driver's list of work, as a listing of folders is.
+    """
+    if hot.granularity != cold.granularity:
+        raise ValueError("both stores need one granularity")
+    if dry_run:
+        return plan
+    rows = [r.asDict() for r in plan.collect()]
+    moved = [r for r in rows if r["action"] == "migrate"]
+    if moved:
+        listed = hot.spark.createDataFrame([(r["p_key"], r["dt"], "migrate") for r in moved], "p_key string, dt string, action string")
+        archive(hot, cold, listed).repartition("p_key", "dt").write.partitionBy("p_key", "dt").mode("append").format(cold.codec).save(cold.root)
+    for r in rows:
+        if r["action"] in ("migrate", "delete"):
+            (cold if r.get("tier") == "cold" else hot).delete(r["p_key"], r["dt"])
+    return plan

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.functions.running import running
 from loomtrace.functions.stats import geometric_mean
 
+# Versions, categories, weights, required fields and bucket bounds.
 VERSIONS = ("aep/v0.1", "aep/v0.2", "aep/v0.3", "aep/v0.4")
 CATEGORIES = ("train_sft", "train_dpo", "train_repair", "train_router", "audit_only", "reject")
 WEIGHTS = {"schema_validity": 0.20, "evidence_completeness": 0.25, "policy_compliance": 0.20, "verifier_strength": 0.15, "provenance": 0.10, "contamination_risk": 0.10}
@@ -131,8 +133,8 @@ def calibrated(records: DataFrame) -> DataFrame:
 def by_subject(records: DataFrame, subject: str, order: str) -> DataFrame:
     """Trust of each subject over its records in order: means, spread, extremes, and the drift between halves."""
     scored = trust(records, keep=tuple(dict.fromkeys((subject, order)))).where(F.col("overall").isNotNull())
-    w = Window.partitionBy(subject)
-    ranked = scored.select(subject, "overall", F.row_number().over(w.orderBy(order, "run_id")).alias("k"), F.count(F.lit(1)).over(w).alias("m"))
+    many = scored.groupBy(subject).agg(F.count(F.lit(1)).alias("m"))
+    ranked = running(scored.select(subject, order, "run_id", "overall"), [subject], order, {"k": F.lit(1).cast("long")}, ties=("run_id",)).join(many, subject)
     first = F.col("k") <= F.floor(F.col("m") / 2)
     s = F.col("overall")
     half = F.abs(F.avg(F.when(~first, s)) - F.avg(F.when(first, s)))

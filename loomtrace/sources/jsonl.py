@@ -6,7 +6,7 @@ row. ``seq`` orders rows by file and position where an operator needs first or l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtrace import schemas
@@ -15,15 +15,15 @@ from loomtrace.functions.text import answer
 
 def lines(spark: SparkSession, paths: str | list[str], stream: bool = False) -> DataFrame:
     """value, file and, in batch, seq: increasing within a file, as one task reads a split in order."""
-    raw = (spark.readStream.text(paths if isinstance(paths, str) else paths[0]) if stream else spark.read.text(paths)).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    raw = (spark.readStream.text(paths if isinstance(paths, str) else paths[0]) if stream else spark.read.text(paths)).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     rows = raw.where((F.col("value") != "") & ~F.col("value").startswith("#"))
-    return rows if stream else rows.withColumn("seq", F.monotonically_increasing_id())
+    return rows.drop("block") if stream else rows.withColumn("seq", F.monotonically_increasing_id())
 
 
 def parsed(rows: DataFrame, schema: str, strict: bool = True) -> DataFrame:
     """The record's fields beside ``seq`` and ``file``; lenient: a bad line has ``error``."""
     schema = schema.replace("\n", " ")
-    keep = [c for c in ("seq", "file") if c in rows.columns]
+    keep = [c for c in ("seq", "file", "block") if c in rows.columns]
     # guarded here too, as the optimiser may parse before the filter of comments
     text = F.when((F.col("value") != "") & ~F.col("value").startswith("#"), F.col("value"))
     if strict:
@@ -62,11 +62,26 @@ def rollouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.withColumn("tools", F.coalesce(tools, none)).drop("tool_call_sequence")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``position``, gapless from 0 in the order of file names and lines, however the files were split.
+
+    A split (file, first byte) is read by one task in its order; the sizes of the splits before are added.
+    """
+    sizes = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).orderBy("file", "block").collect()
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["file"], r["block"], total))
+        total += r["n"]
+    shifts = F.broadcast(rows.sparkSession.createDataFrame(before, "file string, block long, _before long"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq")) - 1
+    return rows.withColumn("_own", own).join(shifts, ["file", "block"]).withColumn("position", (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before")
+
+
 def correctness(spark: SparkSession, path: str) -> DataFrame:
     """(position, correct) of a result file: JSON lines, an array of booleans, or an object of results or items."""
     if path.endswith(".jsonl"):
-        rows = read(spark, path, "correct boolean, pass boolean")
-        return rows.select(F.col("seq").alias("position"), F.coalesce("correct", "pass", F.lit(False)).alias("correct"))
+        rows = numbered(read(spark, path, "correct boolean, pass boolean"))
+        return rows.select("position", F.coalesce("correct", "pass", F.lit(False)).alias("correct"))
     whole = spark.read.text(path, wholetext=True)
     item = "array<struct<correct:boolean,pass:boolean>>"
     of_object = F.from_json("value", f"results {item}, items {item}")

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from loomtrace.functions.running import running
 from loomtrace.functions.text import injection_signal
 from loomtrace.operators import trust
 from loomtrace.operators.quality import anomalous_score, text_fields
@@ -26,11 +27,14 @@ def subject() -> Column:
     return F.coalesce(*named, F.lit("<unknown>"))
 
 
-def checks(records: DataFrame, seq: str, floor: float = 1.0) -> DataFrame:
+def checks(records: DataFrame, seq: str, floor: float = 1.0, signature: Column | None = None) -> DataFrame:
     """subject, run_id, seq, the first hard violation, and a soft one: the part without state."""
     schema = ~F.coalesce(F.col("schema_version").isin(*trust.VERSIONS), F.lit(False)) | F.col("run_id").isNull() | F.col("created_at_ms").isNull()
     joined = F.array_join(text_fields(), "\n")
-    hard = F.when(schema, "aep_schema").when(anomalous_score(F.col("objective_score")), "objective_score_in_range").when(injection_signal(joined).isNotNull(), "no_injection_signal")
+    hard = F.when(schema, "aep_schema")
+    if signature is not None:  # errors of each record's signature
+        hard = hard.when(F.size(signature) > 0, "aep_signature")
+    hard = hard.when(anomalous_score(F.col("objective_score")), "objective_score_in_range").when(injection_signal(joined).isNotNull(), "no_injection_signal")
     n = F.size(trust.changing())
     soft = F.when((n > 0) & (F.size(trust.evidenced()) / n < floor), "evidence_complete")
     rows = records.select(subject().alias("subject"), F.coalesce("run_id", "trace_id", F.concat(F.lit("<seq-"), F.col(seq).cast("string"), F.lit(">"))).alias("run_id"), F.col(seq).cast("long").alias("seq"), hard.alias("hard"), soft.alias("soft"))
@@ -44,8 +48,23 @@ def verdict(budget: int) -> Column:
 
 def batch(checked: DataFrame, budget: int = 3) -> DataFrame:
     """Feedback rows with the running count of a subject's hard violations."""
-    w = Window.partitionBy("subject").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return checked.withColumn("n_hard", F.sum(F.col("hard").isNotNull().cast("long")).over(w)).withColumn("verdict", verdict(budget))
+    counted = running(checked, ["subject"], "seq", {"n_hard": F.col("hard").isNotNull().cast("long")})
+    return counted.withColumn("verdict", verdict(budget))
+
+
+def feedback(checked: DataFrame, scores: DataFrame | None = None, budget: int = 3) -> DataFrame:
+    """Feedback with its violations as rows of an array, the budget's among them, and, for records that end early none, the admission (run_id, score, category)."""
+    rows = batch(checked, budget)
+    one = lambda id, level, category, when: F.when(when, F.struct(id.alias("constraint_id"), F.lit(level).alias("level"), category.alias("category")))
+    kind = F.when(F.col("hard") == "aep_schema", "format").otherwise("security")
+    over = F.col("n_hard") > budget
+    found = F.array_compact(F.array(one(F.col("hard"), "hard", kind, F.col("hard").isNotNull()), one(F.col("soft"), "soft", F.lit("evidence"), F.col("soft").isNotNull()), one(F.lit("subject_violation_budget"), "soft", F.lit("policy"), over)))
+    rows = rows.withColumn("violations", found).withColumn("early_terminated", F.col("hard").isNotNull())
+    if scores is None:
+        return rows
+    own = scores.select(F.col("run_id").alias("_r"), "score", "category")
+    joined = rows.join(own, F.col("run_id") == F.col("_r"), "left").drop("_r")
+    return joined.withColumns({c: F.when(~F.col("early_terminated"), F.col(c)) for c in ("score", "category")})
 
 
 class _Budget(StatefulProcessor):

@@ -132,3 +132,15 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     return c.groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+def replayable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose actions carry ids that recur, results, and for denied ones a state that was never reached."""
+    views(spark, sf_dir, "orders", "lineitem")
+    a = spark.sql(ACTIONS)
+    act = F.struct(
+        F.concat(F.lit("a"), F.col("verifier").cast("string")).alias("action_id"), F.lit("t").alias("tool_name"), F.col("state_changing"), F.when(F.col("has_digest"), F.lit("d")).alias("result_digest"),
+        F.when(F.col("denied"), F.lit("never reached")).alias("pre_state_digest"), F.when(F.col("has_refs"), F.lit("s")).alias("post_state_digest"),
+    )
+    runs = a.groupBy("run").agg(F.collect_list(act).alias("actions"))
+    return spark.table("orders").join(runs, F.col("o_orderkey") == F.col("run"), "left").select(F.col("o_orderkey").cast("string").alias("run_id"), "actions")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions import stats, text, times
-from loomtrace.operators import capability, contamination, lineage, metrics, quality, replay, router, routing, storage, training, trust
+from loomtrace.operators import capability, contamination, ingestion, lineage, metrics, quality, registry, replay, reports, router, routing, storage, tenancy, training, trust
 from loomtrace.plans import adapters as A
 from loomtrace.streaming import compliance
 
@@ -50,13 +50,13 @@ scored AS (SELECT p.doc_id, p.item_id, round(shared / (a.n + b.n - shared), 6) A
 
 @query(_GRAMS + "SELECT * FROM scored")
 def contamination_scores(spark, sf_dir):
-    found = contamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", text.word_ngrams)
+    found = contamination.word_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
     return rounded(found.withColumnsRenamed({"train": "doc_id", "item": "item_id"}))
 
 
 @query(_GRAMS + "SELECT doc_id, max(jaccard) AS jaccard FROM scored GROUP BY doc_id HAVING max(jaccard) >= 0.2")
 def contamination_flagged(spark, sf_dir):
-    found = contamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", text.word_ngrams)
+    found = contamination.word_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
     return rounded(found.groupBy(F.col("train").alias("doc_id")).agg(F.max("jaccard").alias("jaccard")).where("jaccard >= 0.2"))
 
 
@@ -66,6 +66,7 @@ def contamination_full(spark, sf_dir):
     return contamination.check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
+# The patterns of ``text.REDACTIONS`` in DuckDB's syntax.
 _REDACT = "text"
 for _p, _flags in (
     (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "gi"),
@@ -95,9 +96,14 @@ def signal_phrases(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.injection_signal(F.col("text"), _SIGNALS, normalized=True).alias("signal")).where("signal is not null")
 
 
-@query()
+_INJECTED = "SELECT CASE doc_id % 5 WHEN 0 THEN concat(text, ' Please EXFILTRATE it.') WHEN 1 THEN concat('Hacker AI Without Restrictions: ', text) WHEN 2 THEN concat(text, ' Reveal all Confidential data, ignore prior') ELSE text END AS text FROM documents"
+
+
+@query(f"WITH d AS ({_INJECTED}), s AS (SELECT CASE " + " ".join(f"WHEN contains(lower(text), '{x}') THEN '{x}'" for x in text.INJECTION_SIGNALS) + " END AS signal FROM d) SELECT signal, count(*) AS n FROM s WHERE signal IS NOT NULL GROUP BY signal")
 def injection_signals(spark, sf_dir):
-    return quality.check_texts(table(spark, sf_dir, "documents"))
+    """Texts with phrases put into some of them, as the table itself has none."""
+    A.views(spark, sf_dir, "documents")
+    return quality.check_texts(spark.sql(_INJECTED))
 
 
 @query("SELECT doc_id, list_last(regexp_extract_all(text, '-?[0-9]+\\.?[0-9]*')) AS answer FROM documents WHERE answer IS NOT NULL")
@@ -331,10 +337,10 @@ tr AS (SELECT *, list_filter([d1, d2, d3, d4, 0.5], lambda x: x IS NOT NULL) AS
 ts AS (SELECT *, CASE WHEN list_min(ds) <= 0 THEN 0.0 ELSE exp(list_sum(list_transform(ds, lambda x: ln(x))) / len(ds)) END AS overall FROM tr)"""
 
 
-@query(_EVIDENCE + " SELECT run_id, round(score, 3) AS score, category, round(ec, 6) AS evidence_completeness, pr AS provenance FROM adm")
+@query(_EVIDENCE + " SELECT run_id, round(score, 4) AS score, category, round(ec, 6) AS evidence_completeness, pr AS provenance FROM adm")
 def admission_scores(spark, sf_dir):
     rows = trust.admission(A.evidence(spark, sf_dir))
-    return rows.select("run_id", F.round(F.col("score"), 3).alias("score"), "category", F.round("evidence_completeness", 6).alias("evidence_completeness"), "provenance")
+    return rows.select("run_id", "score", "category", F.round("evidence_completeness", 6).alias("evidence_completeness"), "provenance")
 
 
 @query(_EVIDENCE + ", l AS (SELECT unnest(['train_sft', 'train_dpo', 'train_repair', 'train_router', 'audit_only', 'reject']) AS category) SELECT category, count(run_id) AS n FROM l LEFT JOIN adm USING (category) GROUP BY category")
@@ -370,9 +376,59 @@ def verifier_audit(spark, sf_dir):
     return rounded(quality.verifier_audit(A.evidence(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH a AS ({A.ACTIONS}), n AS (SELECT run, count(*) AS n, count(*) FILTER (state_changing) AS calls, count(*) FILTER (denied) AS m, count(DISTINCT CASE WHEN denied THEN verifier END) AS bad FROM a GROUP BY run)
+SELECT CAST(o_orderkey AS STRING) AS run_id, CAST(coalesce(n, 0) AS INT) AS n_actions, CAST(coalesce(m, 0) AS INT) AS n_mismatches, CAST(coalesce(n - bad, 0) AS INT) AS n_matched, CAST(coalesce(calls, 0) AS INT) AS side_effect_calls, CASE WHEN n > 0 THEN round((n - bad) / n, 6) ELSE 1.0 END AS determinism_score
+FROM orders LEFT JOIN n ON run = o_orderkey""")
 def replayed_runs(spark, sf_dir):
-    return replay.replay(A.evidence(spark, sf_dir))
+    """Runs some of whose actions record a state that no replay reaches; an id that recurs is mismatched once."""
+    rows = replay.replay(A.replayable(spark, sf_dir))
+    return rounded(rows.select("run_id", "n_actions", F.size("mismatches").alias("n_mismatches"), "n_matched", "side_effect_calls", "determinism_score"))
+
+
+@query(f"""WITH a AS ({A.ACTIONS}), d AS (SELECT run, count(*) AS n, count(*) FILTER (state_changing) AS ok, count(*) FILTER (denied) AS dn, count(*) FILTER (NOT passed) AS f FROM a GROUP BY run)
+SELECT CAST(o_orderkey AS STRING) AS run_id, coalesce(CAST(n AS INT), 0) AS eval_tool_calls_total, coalesce(CAST(ok AS INT), 0) AS eval_tool_calls_valid, coalesce(CAST(f AS INT), 0) AS eval_violation_count, CASE WHEN n > 0 THEN round(ok / n, 6) ELSE 1.0 END AS eval_tool_validity_rate,
+  CASE WHEN dn >= 2 THEN 'need_human_review' WHEN dn = 1 THEN 'need_large_model' WHEN f > 0 THEN 'need_repair' ELSE 'small_model_can_handle' END AS label FROM orders LEFT JOIN d ON run = o_orderkey""")
+def evidence_labels(spark, sf_dir):
+    rows = router.evidence_features(A.evidence(spark, sf_dir))
+    return rounded(rows.select("run_id", "eval_tool_calls_total", "eval_tool_calls_valid", "eval_violation_count", "eval_tool_validity_rate", "label"))
+
+
+@query("""WITH r AS (SELECT md5(concat('shard-', s, '-vnode-', v)) AS h, CAST(s AS INT) AS s FROM range(16) a(s), range(150) b(v)), k AS (SELECT o_custkey, md5(CAST(o_custkey AS STRING)) AS h, count(*) AS n FROM orders GROUP BY ALL),
+f AS (SELECT coalesce((SELECT arg_min(r.s, r.h) FROM r WHERE r.h >= k.h), (SELECT arg_min(s, h) FROM r)) AS shard, n FROM k) SELECT shard, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS n_valid, 0 AS n_invalid FROM f GROUP BY shard""")
+def ingested_shards(spark, sf_dir):
+    rows = A.evidence(spark, sf_dir).withColumns({"user_id": F.lit(None).cast("string"), "run_context": F.expr("cast(null as struct<user_id:string,subject_id:string,run_id:string>)")})
+    return ingestion.ingested(ingestion.ingest(rows))
+
+
+@query(f"""WITH a AS ({A.ACTIONS}), p AS (SELECT run, bool_or(has_digest) AS x FROM a GROUP BY run), t AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 <> 0) AS m, count(*) FILTER (o_orderkey % 3 <> 0) AS c, count(run) AS d, count(*) FILTER (x) AS x FROM orders LEFT JOIN p ON run = o_orderkey),
+u AS (SELECT n, unnest([{', '.join(f"{{'control': '{c}', 'present': {v}}}" for c, v in (('OWASP-MCP-01', 'm'), ('OWASP-MCP-02', 'd'), ('OWASP-MCP-03', 'm'), ('OWASP-MCP-05', '0'), ('OWASP-MCP-07', 'c'), ('OTel-GenAI', '0'), ('AEP-Provenance', 'x')))}]) AS y FROM t)
+SELECT y.control AS control, y.present AS present, n, round(y.present / n * 100, 6) AS percent, CASE WHEN y.present / n >= 0.5 THEN 'covered' WHEN y.present > 0 THEN 'partial' ELSE 'gap' END AS status FROM u""")
+def standards_coverage(spark, sf_dir):
+    return rounded(reports.standards(A.evidence(spark, sf_dir)).select("control", "present", "n", "percent", "status"))
+
+
+@query("""WITH b AS (SELECT event_type AS t, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS y, count(DISTINCT user_id) AS u FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+h AS (SELECT event_type AS t, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-03') AS n, CAST(sum(length(props)) AS BIGINT) AS y, count(DISTINCT user_id) AS u FROM events WHERE event_id % 2 = 1 GROUP BY ALL),
+f AS (SELECT event_type AS t, count(DISTINCT user_id) AS u FROM events e WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id % 2 = 1 AND o.event_type = e.event_type AND o.user_id = e.user_id) GROUP BY ALL)
+SELECT b.t AS tenant_id, b.n AS n_records, b.y AS n_bytes, coalesce(f.u, 0) AS n_new, coalesce(h.n, 0) AS has_records, coalesce(h.y, 0) AS has_bytes, coalesce(h.u, 0) AS has_subjects,
+  CASE WHEN b.t = 'click' AND coalesce(h.n, 0) + b.n > 10 THEN 'records_per_day' WHEN b.t = 'view' AND coalesce(h.y, 0) + b.y > 100 THEN 'storage_bytes' END AS breach FROM b LEFT JOIN h USING (t) LEFT JOIN f USING (t)""")
+def tenant_admission(spark, sf_dir):
+    rows = A.events(spark, sf_dir).select(F.col("event_type").alias("tenant_id"), F.col("user_id").cast("string").alias("subject_id"), F.length("props").cast("long").alias("n_bytes"), F.to_date("ts").alias("day"), "event_id")
+    quotas = spark.createDataFrame([("click", 10, None, None), ("view", None, 100, None)], "tenant_id string, max_records_per_day long, max_storage_bytes long, max_subjects long")
+    out = tenancy.admit(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), quotas, F.lit("2024-01-03").cast("date"))
+    return out.select("tenant_id", "n_records", "n_bytes", "n_new", "has_records", "has_bytes", "has_subjects", "breach")
+
+
+@query("SELECT arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS checkpoint_id, substr(o_orderpriority, 1, 1) AS mode FROM orders WHERE substr(o_orderpriority, 1, 1) = '2' GROUP BY ALL")
+def latest_checkpoint(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("checkpoint_id"), F.substring("o_orderpriority", 1, 1).alias("mode"), F.col("o_totalprice").alias("created_at_ms"))
+    return registry.latest(rows, "2").select("checkpoint_id", "mode")
+
+
+@query(f"""WITH e AS ({A.EVALS}), g AS (SELECT "group" AS model_id, least(100, count(*) FILTER (WHERE final_pass)) AS pass_count FROM e GROUP BY ALL) SELECT model_id, pass_count, round(pass_count / 100, 6) AS pass_rate, {_bound('pass_count', '100', '-', _Z)} AS ci_lower, {_bound('pass_count', '100', '+', _Z)} AS ci_upper FROM g""")
+def benchmark_intervals(spark, sf_dir):
+    counts = metrics.pass_rates(A.evaluations(spark, sf_dir), "group").select(F.col("group").alias("model_id"), F.least(F.lit(100), "n_pass").cast("long").alias("pass_count"))
+    return rounded(reports.benchmark_intervals(counts, 100).select("model_id", "pass_count", "pass_rate", "ci_lower", "ci_upper"))
 
 
 # ---- events: streams, tenants, storage ---------------------------------------------------------
@@ -398,7 +454,7 @@ def compliance_feedback(spark, sf_dir):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(round_even(0.99 * (count(*) - 1), 0) AS BIGINT) + 1] AS p99, list_sort(list(value))[CAST(round_even(0.5 * (count(*) - 1), 0) AS BIGINT) + 1] AS p50 FROM events GROUP BY event_type")
 def latency_quantiles(spark, sf_dir):
-    return A.events(spark, sf_dir).groupBy("event_type").agg(metrics.nearest_rank(F.col("value"), 0.99).alias("p99"), metrics.nearest_rank(F.col("value"), 0.5).alias("p50"))
+    return metrics.nearest_rank(A.events(spark, sf_dir), ["event_type"], "value", {"p99": 0.99, "p50": 0.5}).select("event_type", "p99", "p50")
 
 
 @query("""WITH q AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n, least(ceil((count(*) + 1) * 0.9) / count(*), 1.0) * (count(*) - 1) AS h FROM events GROUP BY event_type)
@@ -451,6 +507,13 @@ def checkpoint_lineage(spark, sf_dir):
 
 @query()
 def bootstrap_labels(spark, sf_dir):
-    """Seeded resampling of a bounded comparison: the labels of each five hundred document ids."""
+    """Seeded resampling of a bounded comparison, 10,000 draws: the labels of each five hundred document ids."""
     rows = table(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 500).alias("block"), "doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))
     return stats.paired_bootstrap(rows, "block", "doc_id", "a", "b")
+
+
+@query("SELECT event_id AS id, CAST(0 AS BIGINT) AS root, CAST(event_id AS INT) AS depth FROM events")
+def long_lineage(spark, sf_dir):
+    """A chain of all events, each the child of the one before."""
+    nodes = A.events(spark, sf_dir).select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 0, F.col("event_id") - 1).alias("parent"))
+    return lineage.roots(nodes, "id", "parent").select("id", "root", F.col("depth").cast("int").alias("depth"))

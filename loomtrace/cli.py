@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -10,8 +11,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace import schemas
-from loomtrace.functions import stats, text
-from loomtrace.operators import capability, datasets, lineage, lint, metrics, quality, replay, router, training, trust
+from loomtrace.functions import scrub, stats, text
+from loomtrace.operators import capability, datasets, ingestion, lineage, lint, metrics, quality, registry, replay, reports, router, synthesis, training, trust
 from loomtrace.plans import export
 from loomtrace.sources import importers, jsonl
 from loomtrace.streaming import compliance
@@ -46,10 +47,15 @@ def main(argv: list[str] | None = None) -> int:
     add("validate-aep", "input!", fail_under=0.0)
     add("stream-eval", "input!", max_hard_per_subject=3, fail_under=0.0)
     add("trust-score", "aep!", "output")
-    add("replay", "aep!", "output")
+    add("replay", "aep!", "output", "debug-action")
+    add("audit-report", "aep", "task-dir", "receipt", "out", title="Audit report", date="")
+    add("registry-register", "root!", "id!", "type", "version", "path", "digest")
+    add("synthesize", "chat!", "out", n_good=5, n_bad=5, seed=42)
+    add("conformal", "input!", key="model_id", error="error", alpha=0.1)
+    add("audit", lottery_rate=0.0, first_class_rate=0.0, p=1.0)
     add("lint-benchmark", "task-dir!", fail_under=0.0)
     add("receipt", "run-id!", "input!", "output!", "model", "operator", "save")
-    add("registry-list", "log!")
+    add("registry-list", "log!", "type")
     add("scrub", "input!", "out")
     add("paired", "a!", "b!")
     add("truncation", "input!", max_new_tokens=768)
@@ -90,7 +96,24 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif name == "trust-score":
         _save(trust.trust(evidence(a.aep)), a.output)
     elif name == "replay":
-        _save(replay.replay(evidence(a.aep)), a.output)
+        _save(replay.replay(evidence(a.aep), stop_at=a.debug_action, stop_at_mismatch=a.debug_action is not None), a.output)
+    elif name == "audit-report":
+        records = evidence(a.aep) if a.aep else None
+        found = {a.task_dir: lint.findings(lint.listing(spark, a.task_dir))} if a.task_dir else None
+        receipts = [registry.load_json(spark, a.receipt)] if a.receipt else None
+        made = reports.audit(a.title, a.date, ingestion.validated(records) if records is not None else None, records, found, receipts)
+        print(made)
+        if a.out:
+            spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(a.out)
+    elif name == "registry-register":
+        registry.Registry(spark, a.root).register(**{k: v for k in ("id", "type", "version", "path", "digest") if (v := getattr(a, k))})
+    elif name == "synthesize":
+        module, _, function = a.chat.partition(":")
+        _save(synthesis.generate(synthesis.builtin(spark), getattr(importlib.import_module(module), function), a.n_good, a.n_bad, a.seed), a.out)
+    elif name == "conformal":
+        _show(stats.conformal(jsonl.read(spark, a.input, f"{a.key} string, {a.error} double"), a.key, a.error, a.alpha))
+    elif name == "audit":
+        print(reports.verdict(a.p, a.lottery_rate, a.first_class_rate))
     elif name == "lint-benchmark":
         found = lint.findings(lint.listing(spark, a.task_dir))
         _show(found)
@@ -104,13 +127,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         if a.save:
             spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(a.save)
     elif name == "registry-list":
-        _show(lineage.current(jsonl.read(spark, a.log, "id string, event string, type string, version string, digest string")))
+        rows = lineage.current(jsonl.read(spark, a.log, "id string, event string, type string, version string, digest string"))
+        _show(rows if a.type is None else rows.where(F.col("type") == a.type))
     elif name == "scrub":
-        _save(jsonl.lines(spark, a.input).select(text.redact(F.col("value")).alias("value")), a.out)
+        _save(jsonl.lines(spark, a.input).select(scrub.json_text(F.col("value")).alias("value")), a.out)
     elif name == "paired":
         x, y = jsonl.correctness(spark, a.a), jsonl.correctness(spark, a.b)
-        if x.count() != y.count():
-            print("[error] the files differ in length", file=sys.stderr)
+        n = x.count()
+        if n != y.count() or x.join(y, "position").count() != n:
+            print("[error] the files' lines don't pair up", file=sys.stderr)
             return 1
         _show(metrics.paired(x, y, "position"))
         both = x.withColumnRenamed("correct", "a").join(y.withColumnRenamed("correct", "b"), "position").withColumn("k", F.lit("a-b"))

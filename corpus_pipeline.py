@@ -1,8 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 Every stage works on all rows that its predecessor kept. All but the last return the columns of
-``documents``: quality rules and toxicity drop the documents they reject, near-dedup keeps the
-document of each group of near copies (five-word shingles, Jaccard >= 0.8) with the smallest id, PII replaces personal data in the texts by its kind
+``documents``: quality rules and toxicity drop the documents they reject, near-dedup (operator 7's trie
+join over five-word shingles, completed and verified at a Jaccard of 0.8) keeps the document of each group
+with the smallest id, PII replaces personal data in the texts by its kind
 (``n_chars`` follows the new text), and packing gives the pieces of the token sequences.
 """
 

@@ -14,8 +14,9 @@ copies are one node. Links are found three times, and each is verified on the wo
    sizes, places in the prefix and bitmaps, of which no more bits differ than shingles, reject most
    pairs, and pairs already in one component are left out.
 
-The order puts shingles of many texts last, by a table of counts hashed to ``COUNTERS`` places; any order
-is complete, so what the table leaves out or mixes up costs time and never a pair.
+The order puts shingles of many texts last, by a table of the counts of all texts' shingles, hashed to
+``COUNTERS`` places; any order is complete, so what the table mixes up costs time and never a pair. Copies
+that a task meets again are passed over, as their node is there already.
 
 Defined results: null texts count as empty; texts without words are copies of each other; very long texts
 cost time and memory in proportion to their length; repeated rows and rows of one id with equal texts are
@@ -25,6 +26,7 @@ one (``keep_one``), rows of one id with other texts are not; rows without an id
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +41,8 @@ from loomtrace.llm.simhash import links, majority
 
 WORDS, TABLE, ERRORS = 5, 300_000, 3
 BANDS, ROWS, BITS = 16, 3, 512
-#: Places of the counts, the least count that a task reports, and the most that are kept.
-COUNTERS, OFTEN, HELD = 1 << 24, 4, 300_000
+#: Places of the counts, places of a block of them, and texts by which a task knows copies before it begins anew.
+COUNTERS, BLOCK, KNOWN = 1 << 24, 1 << 16, 100_000
 _RNG = np.random.default_rng(5)
 _PLACE = _RNG.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,21 +115,52 @@ def prefix(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return h[order[: n + (-4 * n) // 5 + 1]]
 
 
+def fresh(p: pa.RecordBatch, known: set[int]) -> pa.RecordBatch:
+    """The rows whose node is not in ``known``, which takes it in; so a large group of copies is a row a task."""
+    if len(known) > KNOWN:
+        known.clear()
+    keep = []
+    for node in p.column("node").to_pylist():
+        keep.append(node not in known)
+        known.add(node)
+    return p.filter(pa.array(keep, pa.bool_()))
+
+
 def counts(nodes: DataFrame) -> np.ndarray:
-    """The logarithm of the count at each place, 0 where few texts have a shingle."""
+    """Four times the binary logarithm of the count at each place.
+
+    Each task sends the places it met, a block at a time, as packed distances and counts; blocks are added
+    up where they meet. The driver receives one byte a place, whatever the input's size.
+    """
 
-    def run(batches):
-        held, hashes = np.zeros(COUNTERS, np.uint32), Hashes()
+    def partial(batches):
+        held, hashes, known = np.zeros(COUNTERS, np.uint32), Hashes(), set()
         for p in slices(batches, "text"):
-            for t in p.column("text").to_pylist():
+            for t in fresh(p, known).column("text").to_pylist():
                 held[(shingle_hashes(t, hashes) & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-        at = np.flatnonzero(held >= OFTEN)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at].astype(np.int64), pa.int64())], names=["at", "n"])
-
-    most = nodes.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "at").limit(HELD)
+        for k in range(COUNTERS // BLOCK):
+            own = held[k * BLOCK : (k + 1) * BLOCK]
+            at = np.flatnonzero(own)
+            if len(at):
+                data = zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + own[at].astype("<u4").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
+
+    def added(batches):
+        held: dict[int, np.ndarray] = {}
+        for p in batches:
+            for k, data in zip(p.column("block").to_pylist(), p.column("data").to_pylist(), strict=True):
+                data = zlib.decompress(data)
+                n = len(data) // 6
+                total = held.setdefault(k, np.zeros(BLOCK, np.int64))
+                total[np.cumsum(np.frombuffer(data, "<u2", n), dtype=np.int64)] += np.frombuffer(data, "<u4", n, 2 * n)
+        for k, total in held.items():
+            data = zlib.compress(np.rint(4 * np.log2(1 + total)).astype(np.uint8).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
+
+    schema = "block int, data binary"
     weight = np.zeros(COUNTERS, np.uint8)
-    for r in most.collect():
-        weight[r["at"]] = r["n"].bit_length()
+    for r in nodes.mapInArrow(partial, schema).repartition("block").mapInArrow(added, schema).collect():  # a row a block
+        weight[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
     return weight
 
 
@@ -135,9 +168,10 @@ def _banded(nodes: DataFrame) -> DataFrame:
     """key, node: a row a band, the text's bitmap and fingerprint in the first."""
 
     def task():
-        hashes = Hashes()
+        hashes, known = Hashes(), set()
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
+            p = fresh(p, known)
             keys, bits, fps = [np.zeros(0, np.uint64)], [], []
             for t in p.column("text").to_pylist():
                 h = shingle_hashes(t, hashes)
@@ -156,9 +190,10 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     shared = nodes.sparkSession.sparkContext.broadcast(counts(nodes))
 
     def task():
-        weight, hashes = shared.value, Hashes()
+        weight, hashes, known = shared.value, Hashes(), set()
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
+            p = fresh(p, known)
             grams, n, size = [np.zeros(0, np.uint64)], [], []
             for t in p.column("text").to_pylist():
                 h = shingle_hashes(t, hashes)

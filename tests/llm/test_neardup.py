@@ -57,7 +57,6 @@ def test_prefixes_alone_find_every_pair(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts(9))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(neardup, "banded_links", lambda *_: spark.createDataFrame([], "a long, b long"))
-    monkeypatch.setattr(neardup, "OFTEN", 2)
     assert {r.doc_id: r.component_id for r in neardup.components(df).collect()} == brute(rows)
 
 
@@ -70,3 +69,19 @@ def test_stage_removes_near_copies(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_counts_cover_all_texts_over_any_partitions(spark):
+    import numpy as np
+
+    rows = [(i, t or "") for i, t in enumerate(texts(3))]
+    hashes = neardup.Hashes()
+    want = np.zeros(neardup.COUNTERS, np.int64)
+    for t in {t for _, t in rows}:
+        want[(neardup.shingle_hashes(t, hashes) & np.uint64(neardup.COUNTERS - 1)).astype(np.int64)] += 1
+    want = np.rint(4 * np.log2(1 + want)).astype(np.uint8)
+    nodes = spark.createDataFrame([r for r in rows for _ in range(3)], "node long, text string")
+    nodes = nodes.selectExpr("xxhash64(text) as node", "text")
+    for n in (1, 7):  # copies of a text lie in one partition
+        assert (neardup.counts(nodes.repartition(n, "node")) == want).all()
+    assert not neardup.counts(nodes.limit(0)).any()

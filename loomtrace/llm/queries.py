@@ -80,12 +80,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtrace.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force in tests/llm."""
-    from loomtrace.llm import secrets
+    from loomtrace.llm import filter_audit, secrets
 
-    return {"op6_secrets": secrets.oracle_sql()}
+    return {"op6_secrets": secrets.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql()}

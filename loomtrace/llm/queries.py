@@ -86,12 +86,24 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtrace.llm import piece_bpe
+
+    return piece_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtrace.llm import resampling
+
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force in tests/llm."""
-    from loomtrace.llm import filter_audit, secrets
+    from loomtrace.llm import filter_audit, resampling, secrets
 
-    return {"op6_secrets": secrets.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql()}
+    return {"op6_secrets": secrets.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql(), "op13_resampling": resampling.oracle_sql()}

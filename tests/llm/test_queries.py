@@ -16,6 +16,8 @@ COLUMNS = {
     "op8": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op9": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
     "op10": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op12": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op13": {"doc_id", "n_features", "weight", "score", "rank"},
 }
 
 

@@ -50,9 +50,9 @@ def main(argv: list[str] | None = None) -> int:
     add("replay", "aep!", "output", "debug-action")
     add("audit-report", "aep", "task-dir", "receipt", "out", title="Audit report", date="")
     add("registry-register", "root!", "id!", "type", "version", "path", "digest")
-    add("synthesize", "chat!", "out", n_good=5, n_bad=5, seed=42)
+    add("synthesize", "specs!", "chat!", "out", n_good=5, n_bad=5, seed=42)
     add("conformal", "input!", key="model_id", error="error", alpha=0.1)
-    add("audit", lottery_rate=0.0, first_class_rate=0.0, p=1.0)
+    add("audit", "winner!", "baseline!", "samples", "channels", "out")
     add("lint-benchmark", "task-dir!", fail_under=0.0)
     add("receipt", "run-id!", "input!", "output!", "model", "operator", "save")
     add("registry-list", "log!", "type")
@@ -109,11 +109,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         registry.Registry(spark, a.root).register(**{k: v for k in ("id", "type", "version", "path", "digest") if (v := getattr(a, k))})
     elif name == "synthesize":
         module, _, function = a.chat.partition(":")
-        _save(synthesis.generate(synthesis.builtin(spark), getattr(importlib.import_module(module), function), a.n_good, a.n_bad, a.seed), a.out)
+        _save(synthesis.generate(synthesis.load(spark, a.specs), getattr(importlib.import_module(module), function), a.n_good, a.n_bad, a.seed), a.out)
     elif name == "conformal":
         _show(stats.conformal(jsonl.read(spark, a.input, f"{a.key} string, {a.error} double"), a.key, a.error, a.alpha))
     elif name == "audit":
-        print(reports.verdict(a.p, a.lottery_rate, a.first_class_rate))
+        results = lambda path: jsonl.results(spark, path)
+        _save(reports.paired_audit(results(a.winner), results(a.baseline), reports.rates(spark, a.samples, a.channels)), a.out)
     elif name == "lint-benchmark":
         found = lint.findings(lint.listing(spark, a.task_dir))
         _show(found)

@@ -8,13 +8,15 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomtrace.functions.running import at_ranks
 
-#: Places that a resampling draws at once.
+#: Words that a resampling takes at once.
 DRAWN = 1 << 19
 
 
@@ -47,22 +49,67 @@ def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([mcnemar_p(int(x), int(y)) for x, y in zip(b, c, strict=True)])
 
 
-def draws(n: int, n_iter: int, seed: int):
-    """n_iter rows of n places, in blocks: what ``random.Random(seed).randrange(n)`` gives one by one.
+def _words(state: bytes) -> np.random.MT19937:
+    """A generator of 32-bit words from its 624 numbers and the place in them."""
+    words, numbers = np.random.MT19937(), np.frombuffer(state, np.uint32)
+    words.state = {"bit_generator": "MT19937", "state": {"key": numbers[:-1], "pos": int(numbers[-1])}}
+    return words
 
-    It takes the top bits of each 32-bit word of the generator and passes over values from n on.
+
+def _accepted(words: np.random.MT19937, n: int, many: int) -> np.ndarray:
+    """Places below n from the next ``many`` words, as ``random.randrange(n)`` has them: the top bits, values from n on passed over."""
+    fresh = (words.random_raw(many) >> np.uint64(32 - n.bit_length())).astype(np.int64)
+    return fresh[fresh < n]
+
+
+def shares(n: int, n_iter: int, seed: int, parts: int) -> list[tuple[bytes, int, int]]:
+    """Where each of ``parts`` shares of n_iter resamples of n items begins in the stream of ``random.Random(seed)``.
+
+    (state of the generator, accepted places to pass over from there, resamples of the share). The stream is
+    run through once, without looking anything up: how many words a share takes depends on those passed over.
     """
     _, state, _ = random.Random(seed).getstate()
-    words = np.random.MT19937()
-    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    rows, rest = max(1, DRAWN // n), np.zeros(0, np.int64)
-    while n_iter > 0:
-        rows = min(rows, n_iter)
-        while len(rest) < rows * n:
-            fresh = (words.random_raw(rows * n) >> np.uint64(32 - n.bit_length())).astype(np.int64)
-            rest = np.concatenate([rest, fresh[fresh < n]])
-        yield rest[: rows * n].reshape(rows, n)
-        rest, n_iter = rest[rows * n :], n_iter - rows
+    words = _words(np.array(state, np.uint32).tobytes())
+    per = -(-n_iter // parts)
+    begins = [k * per for k in range(parts) if k * per < n_iter]
+    out: list[tuple[bytes, int, int]] = []
+    seen = 0
+    while len(out) < len(begins):
+        held = words.state["state"]
+        before = np.append(held["key"].astype(np.uint32), np.uint32(held["pos"])).tobytes()
+        found = len(_accepted(words, n, DRAWN))
+        while len(out) < len(begins) and begins[len(out)] * n < seen + found:
+            k = begins[len(out)]
+            out.append((before, k * n - seen, min(per, n_iter - k)))
+        seen += found
+    return out
+
+
+def draws(n: int, share: tuple[bytes, int, int]):
+    """The rows of n places of a share, in blocks."""
+    state, skip, left = share
+    words, rest, rows = _words(state), np.zeros(0, np.int64), max(1, DRAWN // n)
+    while left:
+        rows = min(rows, left)
+        while len(rest) < skip + rows * n:
+            rest = np.concatenate([rest, _accepted(words, n, DRAWN)])
+        yield rest[skip : skip + rows * n].reshape(rows, n)
+        rest, skip, left = rest[skip + rows * n :], 0, left - rows
+
+
+def resampled(outcomes: np.ndarray, share: tuple[bytes, int, int]) -> np.ndarray:
+    """Differences of the two accuracies in the resamples of a share; an outcome is a's bit and twice b's."""
+    n = len(outcomes)
+    a, b = (outcomes & 1).astype(np.int64), (outcomes >> 1).astype(np.int64)
+    return np.concatenate([a[at].sum(axis=1) / n - b[at].sum(axis=1) / n for at in draws(n, share)])
+
+
+def interval(point: float, drawn: np.ndarray, counts: np.ndarray, conf: float = 0.95) -> dict[str, float]:
+    """Percentile interval and two-sided p from distinct differences in order and their counts."""
+    upto, n_iter, tail = np.cumsum(counts), int(counts.sum()), (1 - conf) / 2
+    at = lambda k: float(drawn[np.searchsorted(upto, k, "right")])
+    beyond = int(counts[drawn <= 0].sum()) if point > 0 else int(counts[drawn >= 0].sum()) if point < 0 else 0
+    return {"delta_acc": point, "ci_lo": at(max(0, int(tail * n_iter))), "ci_hi": at(min(n_iter - 1, int((1 - tail) * n_iter))), "p_two_sided": min(1.0, 2 * (beyond + 1) / (n_iter + 1))}
 
 
 def bootstrap(a: list[bool], b: list[bool], n_iter: int = 10_000, conf: float = 0.95, seed: int = 0) -> dict[str, float]:
@@ -70,23 +117,56 @@ def bootstrap(a: list[bool], b: list[bool], n_iter: int = 10_000, conf: float =
     n = len(a)
     if not n:
         return {"delta_acc": 0.0, "ci_lo": 0.0, "ci_hi": 0.0, "p_two_sided": 1.0}
-    acc_a, acc_b = (np.array([int(x) for x in c]) for c in (a, b))
-    point = int(acc_a.sum()) / n - int(acc_b.sum()) / n
-    drawn = sorted(d for at in draws(n, n_iter, seed) for d in (acc_a[at].sum(axis=1) / n - acc_b[at].sum(axis=1) / n).tolist())
-    tail = (1 - conf) / 2
-    beyond = sum(d <= 0 for d in drawn) if point > 0 else sum(d >= 0 for d in drawn) if point < 0 else 0
-    return {"delta_acc": point, "ci_lo": drawn[max(0, int(tail * n_iter))], "ci_hi": drawn[min(n_iter - 1, int((1 - tail) * n_iter))], "p_two_sided": min(1.0, 2 * (beyond + 1) / (n_iter + 1))}
+    outcomes = np.array([int(x) | int(y) << 1 for x, y in zip(a, b, strict=True)], np.uint8)
+    drawn, counts = np.unique(resampled(outcomes, shares(n, n_iter, seed, 1)[0]), return_counts=True)
+    return interval(sum(map(int, a)) / n - sum(map(int, b)) / n, drawn, counts, conf)
+
 
+#: Places that one task of a resampling draws, and the most tasks of a comparison.
+SHARE, TASKS = 1 << 26, 256
 
-def paired_bootstrap(pairs: DataFrame, key: str, order: str, a: str, b: str, n_iter: int = 10_000, seed: int = 0) -> DataFrame:
-    """One row a key; a key is one comparison's items, whose number the resampling bounds anyway."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        return pd.DataFrame([{key: g[key].iloc[0], "n": len(g), **bootstrap(g[a].tolist(), g[b].tolist(), n_iter, seed=seed)}])
+def paired_bootstrap(pairs: DataFrame, key: str, order: str, a: str, b: str, n_iter: int = 10_000, seed: int = 0, conf: float = 0.95, share: int = SHARE) -> DataFrame:
+    """One row a key: the interval that one generator gives, drawn by as many tasks as there are shares of its stream.
 
+    A comparison's outcomes are packed a byte an item in ``order`` and go to each of its tasks; tasks give
+    counts of distinct differences, at most n_iter a key, from which the percentiles are read. Null outcomes
+    count as wrong.
+    """
     kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, order, a, b).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, delta_acc double, ci_lo double, ci_hi double, p_two_sided double")
+    bit = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("int")
+
+    def pack(g: pa.Table) -> pa.Table:
+        g = g.take(pc.sort_indices(g, sort_keys=[("_o", "ascending")], null_placement="at_start"))
+        outcomes = g["_x"].to_numpy().astype(np.uint8)
+        n = len(outcomes)
+        found = shares(n, n_iter, seed, max(1, min(TASKS, -(-n * n_iter // share))))
+        at = g["_k"].combine_chunks().take(pa.array([0] * len(found)))
+        states, skips, rows = zip(*found, strict=True)
+        columns = [at, pa.array([outcomes.tobytes()] * len(found), pa.binary()), pa.array(range(len(found)), pa.int32()), pa.array(states, pa.binary()), pa.array(skips, pa.int64()), pa.array(rows, pa.int64())]
+        return pa.Table.from_arrays(columns, names=["_k", "outcomes", "part", "state", "skip", "rows"])
+
+    def draw(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                r = one.drop_columns(["_k"]).to_pylist()[0]
+                outcomes = np.frombuffer(r["outcomes"], np.uint8)
+                drawn, counts = np.unique(resampled(outcomes, (r["state"], r["skip"], r["rows"])), return_counts=True)
+                n, n_a, n_b = len(outcomes), int((outcomes & 1).sum()), int((outcomes >> 1).sum())
+                fixed = [pa.array(np.full(len(drawn), x), pa.int64()) for x in (n, n_a, n_b)]
+                yield pa.RecordBatch.from_arrays([one.column("_k").take(pa.array([0] * len(drawn))), *fixed, pa.array(drawn, pa.float64()), pa.array(counts, pa.int64())], names=["_k", "n", "n_a", "n_b", "delta", "times"])
+
+    def merge(g: pa.Table) -> pa.Table:
+        n, n_a, n_b = (g[c][0].as_py() for c in ("n", "n_a", "n_b"))
+        g = g.sort_by("delta")
+        found = interval(n_a / n - n_b / n, g["delta"].to_numpy(), g["times"].to_numpy(), conf)
+        return pa.Table.from_arrays([g["_k"].combine_chunks().slice(0, 1), pa.array([n], pa.int64()), *[pa.array([v], pa.float64()) for v in found.values()]], names=["_k", "n", *found])
+
+    packed = pairs.select(F.col(key).alias("_k"), F.col(order).alias("_o"), (bit(a) + 2 * bit(b)).alias("_x")).groupBy("_k").applyInArrow(pack, f"_k {kind}, outcomes binary, part int, state binary, skip long, rows long")
+    drawn = packed.repartition("_k", "part").mapInArrow(draw, f"_k {kind}, n long, n_a long, n_b long, delta double, times long")
+    drawn = drawn.groupBy("_k", "n", "n_a", "n_b", "delta").agg(F.sum("times").alias("times"))
+    return drawn.groupBy("_k").applyInArrow(merge, f"_k {kind}, n long, delta_acc double, ci_lo double, ci_hi double, p_two_sided double").withColumnRenamed("_k", key)
 
 
 def paired_outcomes(n: int, p_a: float, p_b: float, rho: float, seed: int) -> tuple[list[bool], list[bool]]:

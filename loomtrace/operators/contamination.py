@@ -8,20 +8,18 @@ of few evaluation texts need no join at all (``word_overlaps``).
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
-import zlib
 from collections import Counter
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from loomtrace.functions import text as T
+from loomtrace.shared import checkpointed
 
 #: Characters of evaluation texts up to which their grams (fewer than characters, 24 bytes each) are broadcast.
 BROADCAST_CHARS = 2_000_000
@@ -30,20 +28,24 @@ WORDS = re.compile(r"\w+")
 
 
 def _grams(df: DataFrame, id_col: str, out: str, gram) -> DataFrame:
-    """A row a distinct gram: id, the number of the text's grams, two hashes. The set is bound once by a lambda."""
+    """A row a distinct gram: id, row, the number of the text's grams, two hashes. The set is bound once by a lambda."""
     hashed = lambda s: F.transform(s, lambda g: F.struct(F.size(s).alias("n"), F.xxhash64(g).alias("h"), F.crc32(g.cast("binary")).alias("c")))
-    rows = df.select(F.col(id_col).alias(out), F.explode(F.element_at(F.transform(F.array(gram), hashed), 1)).alias("x"))
-    return rows.select(out, F.col("x.n").alias(f"{out}_n"), F.col("x.h").alias("_h"), F.col("x.c").alias("_c"))
+    numbered = df.select(F.col(id_col).alias(out), F.monotonically_increasing_id().alias(f"{out}_row"), gram.alias("gram"))  # before the explosion, so that it numbers texts
+    rows = numbered.select(out, f"{out}_row", F.explode(F.element_at(F.transform(F.array("gram"), hashed), 1)).alias("x"))
+    return rows.select(out, f"{out}_row", F.col("x.n").alias(f"{out}_n"), F.col("x.h").alias("_h"), F.col("x.c").alias("_c"))
 
 
 def overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, gram_of, text_col: str = "text") -> DataFrame:
-    """(train, item, jaccard) for every pair of texts with a common gram."""
+    """(train, item, jaccard) for every pair of texts with a common gram, once.
+
+    Rows are compared, not ids: a repeated id gives a row for each of its texts.
+    """
     gram = gram_of(F.col(text_col))
     a, b = _grams(train, train_id, "train", gram), _grams(items, item_id, "item", gram)
     if (items.agg(F.sum(F.length(text_col))).first()[0] or 0) <= BROADCAST_CHARS:
         b = F.broadcast(b)
-    shared = a.join(b, ["_h", "_c"]).groupBy("train", "item", "train_n", "item_n").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.select("train", "item", (F.col("shared") / (F.col("train_n") + F.col("item_n") - F.col("shared"))).alias("jaccard"))
+    shared = a.join(b, ["_h", "_c"]).groupBy("train_row", "item_row", "train", "item", "train_n", "item_n").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.select("train", "item", (F.col("shared") / (F.col("train_n") + F.col("item_n") - F.col("shared"))).alias("jaccard")).distinct()
 
 
 def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, n: int = 8, text_col: str = "text") -> DataFrame:
@@ -53,6 +55,7 @@ def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: st
     training text is looked through where it lies: nothing is exploded, joined or shuffled. With more,
     the join of ``overlaps`` is taken.
     """
+    items = items.dropDuplicates([item_id, text_col])
     if (items.agg(F.sum(F.length(text_col))).first()[0] or 0) > BROADCAST_CHARS:
         return overlaps(train, items, train_id, item_id, lambda t: T.word_ngrams(t, n), text_col)
     word: dict[str, int] = {}
@@ -73,7 +76,7 @@ def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: st
         word, grams, ids, sizes = shared.value
         for b in batches:
             rows, found, scores = [], [], []
-            for k, text in enumerate(b.column("t").to_pylist()):
+            for k, text in enumerate(t.as_py() for t in b.column("t")):
                 words = WORDS.findall(text or "")
                 w = [word.get(x, -1) for x in words]
                 met = {g for g in zip(*(w[j:] for j in range(n))) if g in grams}
@@ -86,7 +89,7 @@ def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: st
             names = pa.array(found, item_type)
             yield pa.RecordBatch.from_arrays([b.column("train").take(pa.array(rows, pa.int64())), names, pa.array(scores, pa.float64())], names=["train", "item", "jaccard"])
 
-    return train.select(F.col(train_id).alias("train"), F.lower(text_col).alias("t")).mapInArrow(run, f"train {kind}, item {item_kind}, jaccard double")
+    return train.select(F.col(train_id).alias("train"), F.lower(text_col).alias("t")).mapInArrow(run, f"train {kind}, item {item_kind}, jaccard double").distinct()
 
 
 def check(train: DataFrame, items: DataFrame, train_id: str, item_id: str, threshold: float = 0.2, n: int = 8, char_threshold: float = 0.7, char_sizes: tuple[int, ...] = (5, 6, 7, 8, 9, 10), normalize: bool = True) -> DataFrame:
@@ -94,51 +97,121 @@ def check(train: DataFrame, items: DataFrame, train_id: str, item_id: str, thres
     clean = (lambda d, i: d.select(i, T.normalize(F.col("text")).alias("text"))) if normalize else (lambda d, i: d.select(i, "text"))
     train, items = clean(train, train_id), clean(items, item_id)
     words = word_overlaps(train, items, train_id, item_id, n).groupBy("train").agg(F.max("jaccard").alias("jaccard"))
-    chars = None
-    for k in char_sizes:
-        one = char_candidates(train, items, train_id, item_id, k, char_threshold)
-        chars = one if chars is None else chars.unionByName(one)
-    best = chars.groupBy("train").agg(F.max("jaccard").alias("char_jaccard"))
+    best = char_pairs(train, items, train_id, item_id, char_sizes, char_threshold).groupBy("train").agg(F.max("jaccard").alias("char_jaccard"))
     joined = words.join(best, "train", "full_outer").na.fill(0.0, ["jaccard", "char_jaccard"])
     return joined.where((F.col("jaccard") >= threshold) | (F.col("char_jaccard") >= char_threshold))
 
 
-def _char_grams(text: str, k: int) -> set[str]:
-    low = text.lower()
-    return {low[i : i + k] for i in range(len(low) - k + 1)}
+#: Counters of the evaluation side's grams; they order grams, and those that count 0 are on that side in no text.
+SKETCH = 1 << 20
+#: Rows up to which candidate pairs are broadcast to the texts that verify them.
+BROADCAST_PAIRS = 500_000
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def char_candidates(train: DataFrame, items: DataFrame, train_id: str, item_id: str, k: int, threshold: float) -> DataFrame:
-    """Pairs whose character-gram Jaccard reaches the threshold, by size and prefix filters.
+def char_grams(text: str | None, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Sorted hashes of the distinct substrings of each size of the lower-cased text; a size's hash is the next smaller one's and one more character."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    rolled, power, out = np.zeros(len(codes), np.uint64), np.uint64(1), {}
+    for k in range(1, max(sizes) + 1):
+        if len(codes) < k:
+            break
+        rolled = rolled[: len(codes) - k + 1] + codes[k - 1 :] * power
+        power = np.uint64(int(power) * int(_STEP) % (1 << 64))
+        if k in sizes:
+            h = rolled + np.uint64(k)
+            for m in _MIX:
+                h = (h ^ (h >> np.uint64(31))) * m
+            out[k] = np.unique(h)
+    return out
 
-    Jaccard t needs sizes within a factor t, and a common gram among the first n - ceil(t n) + 1 of
-    each set in one fixed order (hash, then gram): only those grams' hashes join, then the few pairs
-    left are verified on their texts. Grams are cut in Arrow batches, as Spark's ``substring`` walks
-    a string from its start for each of them.
+
+def sketch(items: DataFrame, sizes: tuple[int, ...], text_col: str = "text") -> tuple[np.ndarray, dict[int, int]]:
+    """Texts of the evaluation side by each counter of their grams, and the most grams of a text of each size."""
+
+    def run(batches):
+        total, most = np.zeros(SKETCH, np.int64), dict.fromkeys(sizes, 0)
+        for b in batches:
+            for t in b.column(0):
+                for k, grams in char_grams(t.as_py(), sizes).items():
+                    np.add.at(total, (grams % np.uint64(SKETCH)).astype(np.int64), 1)
+                    most[k] = max(most[k], len(grams))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-k for k in sizes] + at.tolist(), pa.int64()), pa.array([most[k] for k in sizes] + total[at].tolist(), pa.int64())], names=["at", "n"])
+
+    found = items.select(text_col).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"), F.max("n").alias("most")).toArrow()
+    counts, most = np.zeros(SKETCH, np.int32), dict.fromkeys(sizes, 0)
+    for at, n, top in zip(found["at"].to_pylist(), found["n"].to_pylist(), found["most"].to_pylist(), strict=True):
+        if at < 0:
+            most[-at] = top
+        else:
+            counts[at] = min(n, (1 << 31) - 1)
+    return counts, most
+
+
+def _prefixes(df: DataFrame, id_col: str, out: str, sizes: tuple[int, ...], threshold: float, counts, most: dict[int, int] | None) -> DataFrame:
+    """A row a gram of a text's prefix that the evaluation side may have: rare grams first, with its place and the text's number of grams.
+
+    With ``most``, texts with too many grams of a size to come near any of the other side give none.
     """
+    kind = df.schema[id_col].dataType.simpleString()
 
-    @F.pandas_udf(StructType([StructField("n", LongType()), StructField("h", ArrayType(LongType()))]))
-    def prefix(text: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in text:
-            grams = _char_grams(t or "", k)
-            keep = len(grams) - math.ceil(len(grams) * threshold) + 1
-            out.append((len(grams), [h for h, _ in heapq.nsmallest(keep, ((zlib.crc32(g.encode()), g) for g in grams))] if grams else []))
-        return pd.DataFrame(out, columns=["n", "h"])
-
-    @F.pandas_udf(DoubleType())
-    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            s, t = _char_grams(x, k), _char_grams(y, k)
-            return len(s & t) / len(s | t) if s and t else 0.0
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-    def side(df: DataFrame, id_col: str, out: str) -> DataFrame:
-        p = df.select(F.col(id_col).alias(out), prefix("text").alias("p"))
-        return p.select(out, F.col("p.n").alias(f"{out}_n"), F.explode(F.array_distinct("p.h")).alias("_h"))
-
-    near = side(train, train_id, "train").join(side(items, item_id, "item"), "_h").where((F.col("train_n") >= F.col("item_n") * threshold) & (F.col("item_n") >= F.col("train_n") * threshold))
-    pairs = near.select("train", "item").distinct()
-    texts = pairs.join(train.select(F.col(train_id).alias("train"), F.col("text").alias("a")), "train").join(items.select(F.col(item_id).alias("item"), F.col("text").alias("b")), "item")
-    return texts.select("train", "item", exact("a", "b").alias("jaccard")).where(F.col("jaccard") >= threshold)
+    def run(batches):
+        known = counts.value
+        for b in batches:
+            rows, parts = [], []
+            for i, t in enumerate(b.column("text")):
+                for k, grams in char_grams(t.as_py(), sizes).items():
+                    n = len(grams)
+                    if most is not None and n * threshold > most[k] + 1e-9:
+                        continue
+                    keep = n - math.ceil(n * threshold - 1e-9) + 1
+                    often = known[(grams % np.uint64(SKETCH)).astype(np.int64)]
+                    if np.count_nonzero(often == 0) >= keep:
+                        continue
+                    order = np.argsort(often, kind="stable")[:keep]
+                    at = np.flatnonzero(often[order])
+                    rows += [i] * len(at)
+                    parts.append((np.full(len(at), k), np.full(len(at), n), at, grams[order[at]].view(np.int64)))
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]], names=[out, "k", f"{out}_n", f"{out}_at", "h"])
+
+    return df.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"{out} {kind}, k long, {out}_n long, {out}_at long, h long")
+
+
+def char_pairs(train: DataFrame, items: DataFrame, train_id: str, item_id: str, sizes: tuple[int, ...] = (5, 6, 7, 8, 9, 10), threshold: float = 0.7) -> DataFrame:
+    """(train, item, k, jaccard): pairs of texts whose sets of k characters reach the threshold, for each size.
+
+    One pass over each side hashes the grams of all sizes. A Jaccard of t needs a common gram among the first
+    n - ceil(t n) + 1 of both sets in one order of all grams: rare ones of the evaluation side first, those
+    that it lacks before all. Most training texts have a prefix of such grams alone and go no further; of the
+    rest, sizes and places bound what a pair can have in common, and what is left is verified on its texts.
+    """
+    spark = train.sparkSession
+    counts, most = sketch(items, sizes)
+    shared = spark.sparkContext.broadcast(counts)
+    a = _prefixes(train, train_id, "train", sizes, threshold, shared, most)
+    b = _prefixes(items, item_id, "item", sizes, threshold, shared, None)
+    n, m = F.col("train_n"), F.col("item_n")
+    reach = 1 + F.least(n - F.col("train_at"), m - F.col("item_at")) - 1 >= (n + m) * (threshold / (1 + threshold)) - 1e-6
+    near = a.join(b, ["k", "h"]).where((n >= m * threshold - 1e-6) & (m >= n * threshold - 1e-6) & reach)
+    pairs = checkpointed(near.select("train", "item", "k").distinct())
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((train, train_id), (items, item_id))]
+
+    def exact(batches):
+        for batch in batches:
+            found = []
+            for k, x, y in zip(batch.column("k"), batch.column("a"), batch.column("b"), strict=True):
+                s, t = (_char_set(v.as_py(), k.as_py()) for v in (x, y))
+                found.append(len(s & t) / len(s | t) if s and t else 0.0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("train", "item", "k")], pa.array(found, pa.float64())], names=["train", "item", "k", "jaccard"])
+
+    texts = train.select(F.col(train_id).alias("train"), F.col("text").alias("a")).join(few(pairs), "train").join(items.select(F.col(item_id).alias("item"), F.col("text").alias("b")), "item")
+    rows = texts.select("train", "item", "k", "a", "b").mapInArrow(exact, f"train {kinds[0]}, item {kinds[1]}, k long, jaccard double")
+    return rows.where(F.col("jaccard") >= threshold).distinct()
+
+
+def _char_set(text: str, k: int) -> set[str]:
+    low = text.lower()
+    return {low[i : i + k] for i in range(len(low) - k + 1)}

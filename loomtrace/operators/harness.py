@@ -1,4 +1,4 @@
-"""Operators around injected callables: evaluation runs, cascades and synthesis, by partition.
+"""Operators around injected callables: evaluation runs and cascades, by partition.
 
 The callables (a model, a verifier) are the user's; they run in ``mapInPandas``, so a lost executor's
 tasks are run again elsewhere, and the rows that they return are ordinary rows.
@@ -64,27 +64,3 @@ def cascade(tasks: DataFrame, small: Callable, repair: Callable, large: Callable
             yield pd.DataFrame(rows, columns=["task_id", "tier_used", "artifact", "final_pass", "repair_rounds", "escalated"])
 
     return tasks.mapInPandas(run, "task_id string, tier_used string, artifact string, final_pass boolean, repair_rounds int, escalated boolean")
-
-
-def synthesize(specs: DataFrame, chat: Callable[[list[dict]], str], n_good: int = 1, seed: int = 0) -> DataFrame:
-    """Per spec (task_id, intent, constraints array<struct<constraint_id,desc>>): good answers, and for each constraint a violating one with its repair."""
-    import random
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for task_id, intent, constraints in zip(f["task_id"], f["intent"], f["constraints"], strict=True):
-                rng = random.Random(f"{seed}:{task_id}")
-                rules = "\n".join(f"- {c['desc']}" for c in constraints)
-                ask = lambda text: chat([{"role": "user", "content": text}])
-                good = [ask(f"{intent}\nConstraints:\n{rules}\nVariant {rng.randrange(10**6)}") for _ in range(n_good)]
-                rows += [(task_id, "good", None, g, None) for g in good]
-                for c in constraints:
-                    bad = ask(f"{intent}\nViolate this constraint: {c['desc']}")
-                    fixed = ask(f"{intent}\nRepair so that it holds: {c['desc']}\n\n{bad}")
-                    rows += [(task_id, "preference", c["constraint_id"], good[0] if good else fixed, bad), (task_id, "repair", c["constraint_id"], fixed, bad)]
-            yield pd.DataFrame(rows, columns=["task_id", "kind", "constraint_id", "chosen", "rejected"])
-
-    return specs.select("task_id", "intent", "constraints").mapInPandas(run, "task_id string, kind string, constraint_id string, chosen string, rejected string")
-
-

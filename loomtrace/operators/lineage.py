@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.shared import checkpointed
+from loomtrace.shared import written
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    # a checkpoint would keep what is inferred of its rows, and that doubles with every self-join
+    return written(df, "lineage")
 
 
 def _doubled(own: DataFrame) -> tuple[DataFrame, bool]:
     """(id, at, depth) with pointers doubled until none moves, and whether some still do after as many hops as rows."""
-    own, step = checkpointed(own), 1
+    own, step = _cut(own), 1
     most = own.count()
     while True:
         hop = own.select(F.col("id").alias("h"), F.col("at").alias("to"), F.col("depth").alias("more"))
         next_ = own.join(hop, F.col("at") == F.col("h")).select("id", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("to") != F.col("at")).alias("moved"))
-        next_, step = checkpointed(next_), 2 * step
+        next_, step = _cut(next_), 2 * step
         own = next_.drop("moved")
         if next_.where("moved").isEmpty():
             return own, False
@@ -24,42 +29,27 @@ def _doubled(own: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
-    """(id, root, depth): the last ancestor present in the table, by pointer doubling (``_roots``).
-
-    The rounds run without constraint propagation: a cut-off table keeps what was inferred of it, and
-    that doubles with every self-join.
-    """
-    conf, name = nodes.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(name, "true")
-    conf.set(name, "false")
-    try:
-        return checkpointed(_roots(nodes, id_col, parent_col))
-    finally:
-        conf.set(name, before)
-
-
-def _roots(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """(id, root, depth): the last ancestor present in the table, by pointer doubling.
 
     Each round doubles the distance, so a chain of n takes log2(n) joins, however long it is. A chain
-    into a cycle ends before the first node that it would visit again. Each round is cut off by a
-    checkpoint.
+    into a cycle ends before the first node that it would visit again. Each round is written to the
+    shared folder and read from there. Rows of one id are one node; of several parents it has the least.
     """
-    rows = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("p"))
+    rows = nodes.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(parent_col).alias("p"))
     known = rows.select(F.col("id").alias("k"))
-    own = checkpointed(rows.join(known, F.col("p") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.when(F.col("k").isNull() | (F.col("p") == F.col("id")), 0).otherwise(1).alias("depth")))
+    own = _cut(rows.join(known, F.col("p") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.when(F.col("k").isNull() | (F.col("p") == F.col("id")), 0).otherwise(1).alias("depth")))
     ends, cyclic = _doubled(own)
     final = own.where(F.col("id") == F.col("at")).select(F.col("at").alias("c"))
     # pointers on a cycle come to rest too if its length is a power of two
     if not cyclic and ends.join(final, F.col("at") == F.col("c"), "left_anti").isEmpty():
         return ends.withColumnRenamed("at", "root")
     # as many hops as rows end on a cycle, and on each of its nodes if begun there
-    ring = checkpointed(ends.select(F.col("at").alias("c")).distinct().join(final, "c", "left_anti"))
+    ring = _cut(ends.select(F.col("at").alias("c")).distinct().join(final, "c", "left_anti"))
     turn = own.join(ring, F.col("id") == F.col("c")).select("id", F.col("at").alias("p"))
     least, step, most = turn.select("id", F.col("p").alias("at"), F.least("id", "p").alias("least")), 1, ring.count()
     while step < most:
         hop = least.select(F.col("id").alias("h"), F.col("at").alias("to"), F.col("least").alias("other"))
-        least, step = checkpointed(least.join(hop, F.col("at") == F.col("h")).select("id", F.col("to").alias("at"), F.least("least", "other").alias("least"))), 2 * step
+        least, step = _cut(least.join(hop, F.col("at") == F.col("h")).select("id", F.col("to").alias("at"), F.least("least", "other").alias("least"))), 2 * step
     length = least.groupBy("least").agg(F.count(F.lit(1)).alias("n"))
     last = least.join(length, "least").join(turn.select(F.col("id").alias("before"), F.col("p").alias("e")), F.col("id") == F.col("e")).select("e", "before", "n")
     # up to the first node on a cycle, then once around it

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions import text as T
-from loomtrace.functions.stats import quantile_of_normal, wilson
-from loomtrace.operators import quality
+from loomtrace.functions.stats import paired_bootstrap, quantile_of_normal, wilson
+from loomtrace.operators import metrics, quality
 from loomtrace.operators.lint import SURFACES
 
 # Controls of the coverage matrix, the risk and the field of evidence of each.
@@ -98,16 +98,16 @@ def surfaces(found: DataFrame) -> DataFrame:
     return found.where("surface_id is not null").groupBy("surface_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def benchmark_intervals(counts: DataFrame, n_trials: int, level: float = 0.95) -> DataFrame:
-    """counts (model_id, pass_count): pass rate and its Wilson interval."""
-    ci = wilson(F.col("pass_count"), F.lit(n_trials), z=quantile_of_normal(level))
-    rate = F.col("pass_count") / F.lit(n_trials) if n_trials else F.lit(0.0)
-    return counts.select("model_id", "pass_count", F.lit(n_trials).alias("n_trials"), rate.alias("pass_rate"), ci["lo"].alias("ci_lower"), ci["hi"].alias("ci_upper"), F.lit(level).alias("ci_level"))
+def benchmark_intervals(counts: DataFrame, level: float = 0.95) -> DataFrame:
+    """counts (model_id, pass_count, n_trials): pass rate and its Wilson interval."""
+    ci = wilson(F.col("pass_count"), F.col("n_trials"), z=quantile_of_normal(level))
+    rate = F.when(F.col("n_trials") > 0, F.col("pass_count") / F.col("n_trials")).otherwise(0.0)
+    return counts.select("model_id", "pass_count", "n_trials", rate.alias("pass_rate"), ci["lo"].alias("ci_lower"), ci["hi"].alias("ci_upper"), F.lit(level).alias("ci_level"))
 
 
-def benchmark_table(counts: DataFrame, n_trials: int, level: float = 0.95) -> str:
-    rows = benchmark_intervals(counts, n_trials, level).orderBy("model_id").collect()
-    return table(["Model", "Pass", "N", "Pass rate", f"Lower ({level:.0%})", f"Upper ({level:.0%})"], [[r["model_id"], r["pass_count"], n_trials, *(f"{r[c]:.3f}" for c in ("pass_rate", "ci_lower", "ci_upper"))] for r in rows])
+def benchmark_table(counts: DataFrame, level: float = 0.95) -> str:
+    rows = benchmark_intervals(counts, level).orderBy("model_id").collect()
+    return table(["Model", "Pass", "N", "Pass rate", f"Lower ({level:.0%})", f"Upper ({level:.0%})"], [[r["model_id"], r["pass_count"], r["n_trials"], *(f"{r[c]:.3f}" for c in ("pass_rate", "ci_lower", "ci_upper"))] for r in rows])
 
 
 def redaction(rows: DataFrame, fields: list[str], version: str = "redact/v1", source: str = "unknown") -> dict:
@@ -117,13 +117,41 @@ def redaction(rows: DataFrame, fields: list[str], version: str = "redact/v1", so
     return {"redaction_version": version, "evidence_source": source, "fields_redacted": fields, "patterns_applied": len(T.REDACTIONS), "n_records_scanned": r["_n"], "n_fields_modified": sum(r[f] for f in fields)}
 
 
-def verdict(p: float, lottery_rate: float, first_class_rate: float) -> str:
-    """The reading of a paired audit: significance, lottery, and where the errors lie."""
-    parts = ["not significant" if p > 0.10 else "significant" if p < 0.05 else "marginal (0.05 <= p <= 0.10)"]
-    if lottery_rate >= 0.15:
-        parts.append("high lottery: sample several answers before claiming" if lottery_rate >= 0.30 else f"moderate lottery ({lottery_rate:.0%})")
-    parts.append("alpha: surface artefacts" if first_class_rate >= 0.15 else "gamma: reasoning is the bottleneck")
-    return " | ".join(parts)
+# Bounds of the reading of a paired audit.
+SIGNIFICANT, MARGINAL, MODERATE, HIGH, FIRST_CLASS = 0.05, 0.10, 0.15, 0.30, 0.15
+
+
+def reading(p: Column, lottery_rate: Column, first_class_rate: Column) -> list[Column]:
+    """How to read a paired audit, as columns: significance, lottery, channel; null where the rate is unknown."""
+    known = lambda c, rest: F.when(c.isNotNull(), rest)
+    return [
+        known(p, F.when(p > MARGINAL, "not_significant").when(p < SIGNIFICANT, "significant").otherwise("marginal")).alias("significance"),
+        known(lottery_rate, F.when(lottery_rate >= HIGH, "high").when(lottery_rate >= MODERATE, "moderate").otherwise("low")).alias("lottery"),
+        known(first_class_rate, F.when(first_class_rate >= FIRST_CLASS, "alpha").otherwise("gamma")).alias("channel"),
+    ]
+
+
+def rates(spark: SparkSession, samples: str | None = None, channels: str | None = None) -> DataFrame:
+    """One row: the lottery rate of a file of resampled answers, and the rates of a file of error channels; null without one."""
+    fields = {samples: "n_tested long, lottery_count long, lottery_rate double", channels: "n_total long, n_wrong long, n_first_class long, first_class_rate_of_total double"}
+    out = spark.range(1).select()
+    for path, shape in fields.items():
+        read = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("r")).select("r.*") if path else spark.range(1).select(*[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in shape.split(", ")])
+        out = out.crossJoin(F.broadcast(read))  # a row each
+    return out
+
+
+def paired_audit(winner: DataFrame, baseline: DataFrame, other: DataFrame, n_iter: int = 10_000, seed: int = 42) -> DataFrame:
+    """Two runs' results (id, correct) over the ids of both: counts, intervals, exact p, the resampled difference, and how to read them beside ``rates``."""
+    both = winner.select("id", F.col("correct").alias("w")).join(baseline.select("id", F.col("correct").alias("b")), "id").withColumn("k", F.lit(0))
+    found = metrics.discordance(both, F.col("w"), F.col("b"))
+    drawn = paired_bootstrap(both, "k", "id", "w", "b", n_iter, seed).select((F.col("ci_lo") * 100).alias("delta_pp_lo"), (F.col("ci_hi") * 100).alias("delta_pp_hi"), "p_two_sided")
+    row = found.where("n > 0").crossJoin(F.broadcast(drawn)).crossJoin(F.broadcast(other))  # a row each
+    named = row.select(
+        "n", F.col("n_a").alias("winner_correct"), F.col("n_b").alias("baseline_correct"), (F.col("delta") * 100).alias("delta_pp"), F.col("a_lo").alias("winner_lo"), F.col("a_hi").alias("winner_hi"), F.col("b_lo").alias("baseline_lo"), F.col("b_hi").alias("baseline_hi"),
+        F.col("c").alias("baseline_only"), F.col("b").alias("winner_only"), "p", "delta_pp_lo", "delta_pp_hi", "p_two_sided", *other.columns,
+    )
+    return named.select("*", *reading(F.col("p"), F.col("lottery_rate"), F.col("first_class_rate_of_total")))
 
 
 def card(name: str, totals: dict[str, int], date: str = "", template: str | None = None) -> str:

@@ -1,4 +1,4 @@
-"""Consistent-hash shards, tenants, quotas, and retention."""
+"""Consistent-hash shards, tenants, and retention."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.functions.running import running
 from loomtrace.functions.times import age_days
 
 
@@ -66,18 +65,10 @@ def allows(prefixes: list[str], subject: Column) -> Column:
     return out
 
 
-def within_quota(rows: DataFrame, tenant_col: str, day: str, order: str, size: Column, per_day: int | None = None, storage: int | None = None) -> DataFrame:
-    """Each row's running records of the day and bytes of the tenant, and whether both limits hold."""
-    out = running(rows, [tenant_col, day], order, {"records_today": F.lit(1).cast("long")})
-    out = running(out, [tenant_col], order, {"storage_bytes": size.cast("long")})
-    over = F.when(F.col("records_today") > per_day, "records_per_day") if per_day is not None else F.lit(None).cast("string")
-    if storage is not None:
-        over = F.coalesce(over, F.when(F.col("storage_bytes") > storage, "storage_bytes"))
-    return out.withColumn("breach", over)
-
-
 def retention(partitions: DataFrame, bucket: str, now: Column, hot_days: float, delete_after: float | None = None, granularity: str = "day", tier: str = "hot") -> DataFrame:
     """Planned action of each partition: keep, migrate or delete; cold ones are only deleted or kept."""
+    if hot_days < 0 or (delete_after is not None and delete_after < hot_days):
+        raise ValueError("ages can't be negative, nor can a partition be deleted before it leaves the hot store")
     age = age_days(F.col(bucket), now, granularity)
     gone = F.col("age_days") >= delete_after if delete_after is not None else F.lit(False)
     action = F.when(gone, "delete").when((F.col("age_days") >= hot_days) & F.lit(tier == "hot"), "migrate").otherwise("keep")

@@ -1,14 +1,16 @@
 """Raw benchmark runs: loading with seeds, summaries, evaluation records, and training of routers.
 
-Training uses Spark ML's random forest over folds dealt by task, so every fold is a distributed job.
+Training is boosted trees over stratified folds (``boosting``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace import schemas
+from loomtrace.operators import boosting
 from loomtrace.schemas import LABELS
 from loomtrace.sources import jsonl
 
@@ -35,10 +37,9 @@ def load(spark: SparkSession, folders: dict[str, int | None], root: str) -> Data
 
 
 def first_lines(runs: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` runs of each folder."""
-    rows = F.slice(F.sort_array(F.collect_list(F.struct("seq", F.struct(*[c for c in runs.columns if c != "seq"]).alias("r")))), 1, most)
-    near = runs.where(F.col("seq") <= most * 4) if "line" in runs.columns else runs
-    return near.groupBy("subdir").agg(F.explode(rows).alias("x")).select("x.seq", "x.r.*")
+    """The first ``most`` runs of each folder; each task keeps no more than that of its own."""
+    place = F.row_number().over(W.partitionBy("subdir").orderBy("seq"))
+    return runs.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
 def summary(runs: DataFrame) -> DataFrame:
@@ -113,30 +114,11 @@ def load_router_records(spark: SparkSession, path: str) -> DataFrame:
     return jsonl.read(spark, path, f"task_id string, features struct<{fields}>, label string, provenance struct<source:string,task_id:string,task_hash:string>")
 
 
-def train(rows: DataFrame, columns: tuple[str, ...] = FEATURES, folds: int = 5, trees: int = 50, depth: int = 4, seed: int = 42) -> dict:
-    """Cross-validated accuracy and macro F1 of a forest over ``columns``, and its importances on all rows.
-
-    Rows are dealt to folds within their label by a hash, so folds are stratified without a shuffle.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import Window as W
-
-    names = sorted(r["label"] for r in rows.select("label").distinct().collect())
-    index = F.coalesce(*[F.when(F.col("label") == x, F.lit(float(k))) for k, x in enumerate(names)])
-    by = W.partitionBy("label", F.pmod(F.xxhash64("task_id"), F.lit(64))).orderBy("task_id")
-    dealt = rows.withColumn("y", index).withColumn("fold", F.pmod(F.row_number().over(by) + F.xxhash64("task_id"), F.lit(folds)))
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="x"), RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, maxDepth=depth, seed=seed)])
-    scores: dict[str, list[float]] = {"accuracy": [], "f1": []}
-    for k in range(folds):
-        own, other = dealt.where(F.col("fold") == k), dealt.where(F.col("fold") != k)
-        if own.isEmpty() or other.isEmpty():
-            continue
-        found = model.fit(other).transform(own)
-        for name, out in scores.items():
-            out.append(MulticlassClassificationEvaluator(labelCol="y", metricName=name).evaluate(found))
-    whole = model.fit(dealt).stages[-1]
-    mean = {k: sum(v) / len(v) if v else 0.0 for k, v in scores.items()}
-    return {"labels": names, "folds": len(scores["accuracy"]), **mean, "importances": dict(zip(columns, whole.featureImportances.toArray().tolist(), strict=True))}
+def static_features(records: DataFrame) -> DataFrame:
+    """What is known of a router record before a run, as columns, beside its task and label."""
+    return records.select("task_id", "label", *[F.coalesce(F.col(f"features.{c}").cast("double"), F.lit(0.0)).alias(c) for c in STATIC])
+
+
+def train(rows: DataFrame, columns: tuple[str, ...] = FEATURES, folds: int = 5, settings: boosting.Settings = boosting.Settings()) -> dict:
+    """Cross-validated scores of boosted trees over ``columns``, and the importances of the model of all rows."""
+    return boosting.cross_validated(rows, list(columns), folds=folds, settings=settings)

@@ -190,7 +190,8 @@ def compliance_sft(records: DataFrame, include_failures: bool = False) -> DataFr
     user = F.when(F.col("final_pass") & (F.size("violations") > 0), F.concat(task_context(), F.lit("\n\nConstraint violations:\n"), hints(F.col("violations")))).otherwise(task_context())
     shaped = lambda kind, content, weight, part: F.struct(part.alias("part"), F.array(message("user", content), message("assistant", F.col("artifact"))).alias("messages"), F.lit(kind).alias("output_type"), weight.alias("loss_weight_tokens"))
     answers = F.array(shaped("final_answer", user, F.when(F.col("final_pass"), "default").otherwise("recovery"), F.lit(0)))
-    rounds = F.filter("repair_trace", lambda r: r["ok"] & F.exists("violations", lambda v: F.array_contains(r["violation_ids"], v["constraint_id"])))
+    trace = F.coalesce("repair_trace", F.expr(f"cast(array() as {records.schema['repair_trace'].dataType.simpleString()})"))
+    rounds = F.filter(trace, lambda r: r["ok"] & F.exists("violations", lambda v: F.array_contains(r["violation_ids"], v["constraint_id"])))
 
     def repaired(r: Column, i: Column) -> Column:
         own = F.filter("violations", lambda v: F.array_contains(r["violation_ids"], v["constraint_id"]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions import stats, text, times
-from loomtrace.operators import capability, contamination, ingestion, lineage, metrics, quality, registry, replay, reports, router, routing, storage, tenancy, training, trust
+from loomtrace.operators import boosting, capability, contamination, ingestion, lineage, metrics, quality, quota, registry, replay, reports, router, routing, storage, tenancy, training, trust
 from loomtrace.plans import adapters as A
 from loomtrace.streaming import compliance
 
@@ -66,6 +66,17 @@ def contamination_full(spark, sf_dir):
     return contamination.check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
+@query(r"""WITH t AS (SELECT 'd' AS side, doc_id AS id, lower(text) AS x FROM documents UNION ALL SELECT 'i', item_id, lower(text) FROM benchmark),
+k AS (SELECT unnest([5, 8, 10])::BIGINT AS k), most AS (SELECT max(length(text)) AS m FROM benchmark),
+g AS (SELECT DISTINCT side, id, k, substr(x, i::INT, k::INT) AS g FROM (SELECT side, id, k, x, unnest(range(1, length(x) - k + 2)) AS i FROM t, k, most)),
+n AS (SELECT side, id, k, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT d.id AS doc_id, i.id AS item_id, k, count(*) AS s FROM g d JOIN g i USING (k, g) WHERE d.side = 'd' AND i.side = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, k, round(s / (a.n + b.n - s), 6) AS jaccard FROM p JOIN n a ON a.side = 'd' AND a.id = doc_id AND a.k = p.k JOIN n b ON b.side = 'i' AND b.id = item_id AND b.k = p.k WHERE s / (a.n + b.n - s) >= 0.3""".replace("doc_id, item_id, k, round", "doc_id, item_id, p.k AS k, round"))
+def contamination_characters(spark, sf_dir):
+    found = contamination.char_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", (5, 8, 10), 0.3)
+    return rounded(found.select(F.col("train").alias("doc_id"), F.col("item").alias("item_id"), "k", "jaccard"))
+
+
 # The patterns of ``text.REDACTIONS`` in DuckDB's syntax.
 _REDACT = "text"
 for _p, _flags in (
@@ -393,11 +404,29 @@ def evidence_labels(spark, sf_dir):
     return rounded(rows.select("run_id", "eval_tool_calls_total", "eval_tool_calls_valid", "eval_violation_count", "eval_tool_validity_rate", "label"))
 
 
-@query("""WITH r AS (SELECT md5(concat('shard-', s, '-vnode-', v)) AS h, CAST(s AS INT) AS s FROM range(16) a(s), range(150) b(v)), k AS (SELECT o_custkey, md5(CAST(o_custkey AS STRING)) AS h, count(*) AS n FROM orders GROUP BY ALL),
-f AS (SELECT coalesce((SELECT arg_min(r.s, r.h) FROM r WHERE r.h >= k.h), (SELECT arg_min(s, h) FROM r)) AS shard, n FROM k) SELECT shard, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS n_valid, 0 AS n_invalid FROM f GROUP BY shard""")
+@query("""WITH l AS (SELECT CAST(o_orderkey AS STRING) AS id, substr(o_orderpriority, 1, 1) AS label FROM orders),
+f AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY md5(id), id) - 1) % 5 AS fold FROM l) SELECT label, CAST(fold AS INT) AS fold, count(*) AS n FROM f GROUP BY ALL""")
+def router_folds(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("task_id"), F.substring("o_orderpriority", 1, 1).alias("label"))
+    return boosting.dealt(rows, "label", "task_id").groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def router_confusion(spark, sf_dir):
+    """Boosted routers of five folds and of all rows over what is known of evidence records, by true and predicted label (tests/test_boosting.py has the plain loop)."""
+    rows = router.evidence_features(A.evidence(spark, sf_dir)).withColumnRenamed("run_id", "task_id")
+    model, binned = boosting.fit(boosting.dealt(rows, "label", "task_id"), ["eval_tool_calls_total", "eval_tool_calls_valid", "eval_tool_validity_rate"], settings=boosting.Settings(rounds=10, depth=3, rate=0.3))
+    return boosting.confusion(model, binned)
+
+
+@query("""WITH r AS (SELECT md5(concat('shard-', s, '-vnode-', v)) AS h, CAST(s AS INT) AS s FROM range(16) a(s), range(150) b(v)), k AS (SELECT o_custkey, md5(CAST(o_custkey AS STRING)) AS h, count(*) AS n, count(*) FILTER (o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) AS bad FROM orders GROUP BY ALL),
+f AS (SELECT coalesce((SELECT arg_min(r.s, r.h) FROM r WHERE r.h >= k.h), (SELECT arg_min(s, h) FROM r)) AS shard, n, bad FROM k) SELECT shard, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n - bad) AS BIGINT) AS n_valid, CAST(sum(bad) AS BIGINT) AS n_invalid FROM f GROUP BY shard""")
 def ingested_shards(spark, sf_dir):
+    """Every eleventh record is of an unknown version, and every thirteenth has no time."""
     rows = A.evidence(spark, sf_dir).withColumns({"user_id": F.lit(None).cast("string"), "run_context": F.expr("cast(null as struct<user_id:string,subject_id:string,run_id:string>)")})
-    return ingestion.ingested(ingestion.ingest(rows))
+    o = F.col("seq")
+    broken = rows.withColumns({"schema_version": F.when(o % 11 == 0, "aep/v9").otherwise(F.col("schema_version")), "created_at_ms": F.when(o % 13 != 0, F.col("created_at_ms"))})
+    return ingestion.ingested(ingestion.ingest(broken))
 
 
 @query(f"""WITH a AS ({A.ACTIONS}), p AS (SELECT run, bool_or(has_digest) AS x FROM a GROUP BY run), t AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 <> 0) AS m, count(*) FILTER (o_orderkey % 3 <> 0) AS c, count(run) AS d, count(*) FILTER (x) AS x FROM orders LEFT JOIN p ON run = o_orderkey),
@@ -425,10 +454,10 @@ def latest_checkpoint(spark, sf_dir):
     return registry.latest(rows, "2").select("checkpoint_id", "mode")
 
 
-@query(f"""WITH e AS ({A.EVALS}), g AS (SELECT "group" AS model_id, least(100, count(*) FILTER (WHERE final_pass)) AS pass_count FROM e GROUP BY ALL) SELECT model_id, pass_count, round(pass_count / 100, 6) AS pass_rate, {_bound('pass_count', '100', '-', _Z)} AS ci_lower, {_bound('pass_count', '100', '+', _Z)} AS ci_upper FROM g""")
+@query(f"""WITH e AS ({A.EVALS}), g AS (SELECT "group" AS model_id, count(*) FILTER (WHERE final_pass) AS pass_count, count(*) AS n_trials FROM e GROUP BY ALL) SELECT model_id, pass_count, n_trials, round(pass_count / n_trials, 6) AS pass_rate, {_bound('pass_count', 'n_trials', '-', _Z)} AS ci_lower, {_bound('pass_count', 'n_trials', '+', _Z)} AS ci_upper FROM g""")
 def benchmark_intervals(spark, sf_dir):
-    counts = metrics.pass_rates(A.evaluations(spark, sf_dir), "group").select(F.col("group").alias("model_id"), F.least(F.lit(100), "n_pass").cast("long").alias("pass_count"))
-    return rounded(reports.benchmark_intervals(counts, 100).select("model_id", "pass_count", "pass_rate", "ci_lower", "ci_upper"))
+    counts = metrics.pass_rates(A.evaluations(spark, sf_dir), "group").select(F.col("group").alias("model_id"), F.col("n_pass").alias("pass_count"), F.col("n").alias("n_trials"))
+    return rounded(reports.benchmark_intervals(counts).select("model_id", "pass_count", "n_trials", "pass_rate", "ci_lower", "ci_upper"))
 
 
 # ---- events: streams, tenants, storage ---------------------------------------------------------
@@ -470,11 +499,15 @@ def sharded_users(spark, sf_dir):
     return rows.select("user_id", routing.shard_of(F.col("user_id").cast("string")).alias("shard"), "n")
 
 
-@query("""WITH w AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) AS records_today, CAST(sum(length(props)) OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS storage_bytes FROM events)
-SELECT *, CASE WHEN records_today > 20 THEN 'records_per_day' WHEN storage_bytes > 15000 THEN 'storage_bytes' END AS breach FROM w""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(ts AS DATE) AS day, CAST(floor(value) AS BIGINT) + length(props) AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+w AS (SELECT event_type, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DATE) AS day, CAST(0 AS BIGINT) AS records_today, CAST(0 AS BIGINT) AS storage_bytes, CAST(NULL AS STRING) AS breach FROM (SELECT DISTINCT event_type FROM e)
+UNION ALL SELECT event_type, k, event_id, day, r + (b IS NULL)::INT, s + CASE WHEN b IS NULL THEN size ELSE 0 END, b FROM (
+  SELECT *, CASE WHEN r + 1 > 20 THEN 'records_per_day' WHEN s + size > 12000 THEN 'storage_bytes' END AS b FROM (
+    SELECT e.event_type, e.k, e.event_id, e.day, e.size, CASE WHEN w.day = e.day THEN w.records_today ELSE 0 END AS r, w.storage_bytes AS s FROM w JOIN e ON e.event_type = w.event_type AND e.k = w.k + 1)))
+SELECT event_id, event_type, records_today, storage_bytes, breach FROM w WHERE k > 0""")
 def tenant_quota(spark, sf_dir):
-    rows = A.events(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    out = routing.within_quota(rows, "event_type", "day", "event_id", F.length("props"), 20, 15_000)
+    rows = A.events(spark, sf_dir)
+    out = quota.within_quota(rows, "event_type", F.to_date("ts"), "event_id", F.floor("value") + F.length("props"), 20, 12_000)
     return out.select("event_id", "event_type", "records_today", "storage_bytes", "breach")
 
 

@@ -90,6 +90,12 @@ def correctness(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(inner)).alias("position", "correct"))
 
 
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """(id, correct) of one JSON object with ``results``: the last of an id, those without a verdict left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "results array<struct<id:string,correct:boolean>>")["results"]).alias("seq", "r"))
+    return whole.where("r.correct is not null").groupBy(F.col("r.id").alias("id")).agg(F.max_by("r.correct", "seq").alias("correct"))
+
+
 def evaluation_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Harness samples as id, expected, predicted, correct and gen_text; rows without an id are dropped."""
     schema = "doc_id string, id string, sample_id string, doc struct<idx:string,answer:string>, target string, answer string, filtered_resps string, resps string, acc double, exact_match double"

@@ -23,3 +23,10 @@ def test_roots_with_cycles(spark):
     parents = {i: i - 1 for i in range(1, 90)} | {200: 203, 201: 200, 202: 201, 203: 202, 300: 202, 301: 300, 400: 401, 401: 400, 500: 500, 501: 500}
     got = lineage.roots(spark.createDataFrame(list(parents.items()), "id long, p long"), "id", "p")
     assert {(r.id, r.root, r.depth) for r in got.collect()} == walked(parents)
+
+
+def test_repeated_ids_are_one_node(spark):
+    rows = [(i, i - 1) for i in range(1, 33)] + [(5, 4), (5, 4), (9, None), (None, 3)]
+    got = [(r.id, r.root, r.depth) for r in lineage.roots(spark.createDataFrame(rows, "id long, p long"), "id", "p").collect()]
+    assert len(got) == 32 and set(got) == walked({i: i - 1 for i in range(1, 33)})
+    assert spark.conf.get("spark.sql.constraintPropagation.enabled", "true") == "true"

@@ -22,7 +22,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else round(float(v), 5) if isinstance(v, float) else v
+    clean = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else round(float(v), 5) if isinstance(v, float) else v
     return sorted((tuple(clean(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 

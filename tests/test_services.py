@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace import schema_files, schemas
 from loomtrace.functions import scrub, stats
-from loomtrace.operators import ingestion, lint, registry, replay, reports, runs, storage, store, synthesis, tenancy
+from loomtrace.operators import boosting, ingestion, lint, registry, replay, reports, runs, storage, store, synthesis, tenancy
 from loomtrace.sources import jsonl
 
 AEP = schemas.AEP.replace("\n", " ")
@@ -87,16 +87,19 @@ def test_runs_and_router_training(spark, tmp_path):
     assert {r.label: r["count"] for r in found.groupBy("label").count().collect()} == {"small_model_can_handle": 10, "need_repair": 10, "need_large_model": 20}
     record = runs.router_records(found).where("task_id = 't.3@one'").first()
     assert record.features.eval_generation_tokens == 6 and record.features.taskspec_n_hard == 3
-    assert runs.train(found, folds=2, trees=10)["accuracy"] > 0.8
+    trained = runs.train(found, folds=2, settings=boosting.Settings(rounds=6, depth=3, rate=0.5, share=1.0, least=1))
+    assert trained["accuracy"] > 0.8 and abs(sum(trained["importances"].values()) - 1) < 1e-9
+    fixed = runs.static_features(runs.router_records(found))
+    assert fixed.columns == ["task_id", "label", *runs.STATIC] and fixed.where("task_id = 't.3@one'").first().taskspec_n_hard == 3.0
     assert runs.evaluation(rows, F.lit("A")).where("task_id = 't.5'").first().prompt_tokens == 5
     assert [r.task_id for r in runs.held_out(rows, 2).collect()] == ["t.39", "t.38"]
     assert runs.summary(rows).where("mode is null and model is null").first().n == 80
-    assert runs.first_lines(rows, 7).count() == 7
+    assert runs.first_lines(rows.withColumn("line", F.lit(1)), 7).orderBy("seq").select("seq").collect() == rows.orderBy("seq").select("seq").limit(7).collect()
 
 
 def test_reports(spark, tmp_path):
-    rows = spark.createDataFrame([("m", 13)], "model_id string, pass_count int")
-    assert "0.591 | 0.387 | 0.767" in reports.benchmark_table(rows, 22)
+    rows = spark.createDataFrame([("m", 13, 22), ("none", 0, 0)], "model_id string, pass_count int, n_trials int")
+    assert "0.591 | 0.387 | 0.767" in reports.benchmark_table(rows) and "| none | 0 | 0 | 0.000 |" in reports.benchmark_table(rows)
     (tmp_path / "task").mkdir()
     (tmp_path / "task" / "answer.txt").write_text("42")
     found = lint.findings(lint.listing(spark, str(tmp_path / "task")))
@@ -106,16 +109,34 @@ def test_reports(spark, tmp_path):
     assert "S1" in reports.taxonomy() and reports.surfaces(found).count() == 2
     texts = spark.createDataFrame([("write a@b.com",), ("none",)], "t string")
     assert reports.redaction(texts, ["t"])["n_fields_modified"] == 1
-    assert reports.verdict(0.01, 0.4, 0.0).startswith("significant | high lottery")
+    read = spark.createDataFrame([(0.01, 0.4, 0.0), (0.05, 0.15, 0.2), (0.2, 0.1, None)], "p double, lottery_rate double, first_class_rate double")
+    assert [tuple(r) for r in read.select(*reports.reading(F.col("p"), F.col("lottery_rate"), F.col("first_class_rate"))).collect()] == [("significant", "high", "gamma"), ("marginal", "moderate", "alpha"), ("not_significant", "low", None)]
+    put(tmp_path / "w.json", [])
+    said = lambda *v: [{"id": f"q{k}", "correct": x} if x is not None else {"id": f"q{k}"} for k, x in enumerate(v)]
+    for name, rows_ in (("w", said(True, True, True, False, None, True)), ("b", said(True, False, False, True, True) + [{"id": "q0", "correct": False}])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"results": rows_}))
+    (tmp_path / "sc.json").write_text(json.dumps({"n_tested": 65, "lottery_count": 25, "lottery_rate": 0.3846}))
+    one = reports.paired_audit(jsonl.results(spark, str(tmp_path / "w.json")), jsonl.results(spark, str(tmp_path / "b.json")), reports.rates(spark, str(tmp_path / "sc.json"))).first()
+    assert (one.n, one.winner_correct, one.baseline_correct, one.baseline_only, one.winner_only) == (4, 3, 1, 1, 3)
+    assert one.p == 0.625 and one.lottery == "high" and one.channel is None and one.significance == "not_significant"
     assert reports.unfilled(reports.card("n", {"a": 1}, template="{name} {other}")) == ["{other}"]
 
 
-def test_synthesis_and_scrubbing(spark):
-    specs = synthesis.builtin(spark)
-    made = synthesis.generate(specs, lambda m: m[0]["content"][:20], 2, 3).collect()
-    assert len(made) == 5 * (2 + 3 + 3)
-    failing = spark.createDataFrame([("t", "bad", False, [("c", "hard", "format", "fix it")])], f"task_id string, artifact string, final_pass boolean, violations array<{schemas.VIOLATION}>")
-    assert synthesis.from_compliance(failing, lambda m: "patch").first().assistant == "patch"
+def test_synthesis_and_scrubbing(spark, tmp_path):
+    tasks = spark.createDataFrame([("a", "write", None), ("b", "search", ["web"])], "task_id string, intent string, allowed_tools array<string>")
+    rules = spark.createDataFrame([("a", "c1", "be short", "content", None), ("a", "c2", "be right", "style", 90), ("a", "c3", "cite", "content", 95)], "task_id string, constraint_id string, desc string, category string, priority int")
+    specs = synthesis.specs(tasks, rules)
+    a, b = specs.orderBy("task_id").collect()
+    assert [(c.constraint_id, c.level, c.verify_method, c.priority) for c in a.constraints] == [("c3", "hard", "section_presence", 95), ("c2", "hard", "schema_validate", 90), ("c1", "hard", "section_presence", 70)]
+    assert (b.constraints, b.allowed_tools, b.language, b.max_rounds) == ([], ["web"], "en", 3)
+    specs.coalesce(1).write.json(str(tmp_path / "specs"))
+    loaded = synthesis.load(spark, str(tmp_path / "specs"))
+    made = synthesis.generate(loaded, lambda m: m[0]["content"][:20], 2, 2).collect()
+    assert sorted((r.task_id, r.output_type) for r in made) == [("a", "final_answer")] * 2 + [("a", "preference")] * 2 + [("a", "repair_patch")] * 2 + [("b", "final_answer")] * 2
+    assert {tuple(r) for r in made} == {tuple(r) for r in synthesis.generate(loaded.repartition(3), lambda m: m[0]["content"][:20], 2, 2).collect()}
+    line = {"task_id": "t", "model": "m", "mode": "full", "artifact": "bad", "final_pass": False, "violations": [{"constraint_id": "c", "level": "hard", "category": "format", "hint": "fix it"}]}
+    runs_ = jsonl.read(spark, put(tmp_path / "r.jsonl", [line, line | {"task_id": "u", "final_pass": True, "violations": [], "artifact": "good"}]), schemas.COMPLIANCE.replace("\n", " "))
+    assert {(r.task_id, r.assistant) for r in synthesis.from_compliance(runs_, lambda m: "patch").collect()} == {("t", "patch"), ("u", "good")}
     notes = spark.createDataFrame([([("recovery",), ("high_value",)],), ([],), (None,)], "a array<struct<loss_weight_tokens:string>>")
     assert [r.x for r in notes.select(synthesis.collapsed(F.col("a")).alias("x")).collect()] == ["high_value", "default", "default"]
     message = {"role": "a@b.com", "content": [{"x-api-key": "z", "deep": ["mail a@b.com", 3]}]}

@@ -6,6 +6,7 @@ import argparse
 import importlib
 import json
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from loomtrace.functions import scrub, stats, text
 from loomtrace.operators import capability, datasets, ingestion, lineage, lint, metrics, quality, registry, replay, reports, router, synthesis, training, trust
 from loomtrace.plans import export
 from loomtrace.sources import importers, jsonl
-from loomtrace.streaming import compliance
+from loomtrace.shared import shared_dir
+from loomtrace.streaming import compliance, service
 
 
 def _show(rows) -> None:
@@ -31,12 +33,13 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="loomtrace", description=__doc__)
     sub = ap.add_subparsers(dest="command", required=True)
 
-    def add(name: str, *flags: str, **typed) -> None:
+    def add(name: str, *flags: str, **typed) -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         for f in flags:
             p.add_argument(f"--{f.rstrip('!')}", required=f.endswith("!"))
         for k, v in typed.items():
             p.add_argument(f"--{k.replace('_', '-')}", type=type(v), default=v)
+        return p
 
     add("export", "rollout", "compliance", "out-dir!", "eval-items", contamination_threshold=0.2)
     for name in ("adp-export", "rl-export", "mine-gaps"):
@@ -45,7 +48,9 @@ def main(argv: list[str] | None = None) -> int:
     add("router", "input!", "out", max_repair_rounds=3, max_violations=3, min_tool_validity=0.8, max_latency_ms=30_000.0, hard_constraint_limit=10)
     add("validate", "input!", "out")
     add("validate-aep", "input!", fail_under=0.0)
-    add("stream-eval", "input!", max_hard_per_subject=3, fail_under=0.0)
+    p = add("stream-eval", "input!", "out", "checkpoint", "verifier", max_hard_per_subject=3, fail_under=0.0, fail_under_sla=0.0, evidence_completeness_threshold=1.0, sla_ms=1000.0, most_files=100)
+    p.add_argument("--require-signature", action="store_true")
+    p.add_argument("--no-admission", action="store_true")
     add("trust-score", "aep!", "output")
     add("replay", "aep!", "output", "debug-action")
     add("audit-report", "aep", "task-dir", "receipt", "out", title="Audit report", date="")
@@ -86,9 +91,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif name == "validate":
         rows = jsonl.read(spark, a.input, f"messages array<{schemas.MESSAGE}>, chosen string, rejected string, reward double", strict=False)
         _save(quality.validate_rows(rows).where(F.size("errors") > 0), a.out)
-    elif name in ("validate-aep", "stream-eval"):
-        limit = a.max_hard_per_subject if name == "stream-eval" else 1 << 30
-        rows = compliance.batch(compliance.checks(evidence(a.input), "seq"), limit)
+    elif name == "stream-eval":
+        return stream_eval(spark, a)
+    elif name == "validate-aep":
+        rows = compliance.batch(compliance.checks(evidence(a.input), "seq"), 1 << 30)
         _show(rows)
         total = compliance.stats(rows).first()
         print(json.dumps(total.asDict()))
@@ -149,5 +155,29 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def stream_eval(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Evaluate what a file or folder has; with the same --out and --checkpoint again, what came since."""
+    root = (a.out or f"{shared_dir(spark).rstrip('/')}/stream-eval-{uuid.uuid4().hex}").rstrip("/")
+    signature = None
+    if a.require_signature:
+        if not a.verifier:
+            print("[error] --require-signature needs --verifier module:function", file=sys.stderr)
+            return 2
+        module, _, function = a.verifier.partition(":")
+        signature = ingestion.signatures(F.col("value"), getattr(importlib.import_module(module), function))
+    records = service.source(spark, a.input, a.most_files)
+    q = service.evaluate(records, root, a.checkpoint or f"{root}/_checkpoint", a.max_hard_per_subject, a.evidence_completeness_threshold, signature, not a.no_admission, a.sla_ms)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    try:
+        total = service.stats(spark, root).first()
+    except FileNotFoundError:  # no record has come yet
+        return 0
+    _show(spark.read.parquet(f"{root}/feedback").orderBy("batch", "seq"))
+    print(json.dumps(total.asDict()))
+    return int(total["n"] > 0 and (total["n_pass"] / total["n"] < a.fail_under or total["within_sla"] < a.fail_under_sla))
+
+
 if __name__ == "__main__":
     sys.exit(main())

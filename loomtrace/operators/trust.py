@@ -34,8 +34,8 @@ def evidenced() -> Column:
     return F.filter(changing(), lambda a: _text(a["result_digest"]) | (_n(a["evidence_refs"]) > 0))
 
 
-def admission(records: DataFrame) -> DataFrame:
-    """run_id, score, category and the six dimensions."""
+def admission(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """run_id, score, category, the six dimensions, and the columns to ``keep``."""
     n = _n(changing())
     with_digest = _n(F.filter(changing(), lambda a: _text(a["result_digest"]) | _text(a["precondition_digest"])))
     verifiers = _n("verifier_results")
@@ -65,7 +65,7 @@ def admission(records: DataFrame) -> DataFrame:
         .when(passed & (F.col("evidence_completeness") >= 0.8), "train_sft")
         .otherwise("train_router")
     )
-    return rows.select("run_id", F.round("score", 4).alias("score"), category.alias("category"), *[F.when(valid, F.col(d)).alias(d) for d in WEIGHTS])
+    return rows.select("run_id", F.round("score", 4).alias("score"), category.alias("category"), *[F.when(valid, F.col(d)).alias(d) for d in WEIGHTS], *keep)
 
 
 def admission_summary(records: DataFrame) -> DataFrame:
@@ -130,11 +130,20 @@ def calibrated(records: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(c >= 0.8, "high_trust").when(c >= 0.6, "medium_trust").when(c >= 0.4, "low_trust").otherwise("untrusted"))
 
 
+def scored(records: DataFrame, subject: str, order: str) -> DataFrame:
+    """The subject, order, run_id and overall trust of each record that has one."""
+    return trust(records, keep=tuple(dict.fromkeys((subject, order)))).where(F.col("overall").isNotNull()).select(subject, order, "run_id", "overall")
+
+
 def by_subject(records: DataFrame, subject: str, order: str) -> DataFrame:
     """Trust of each subject over its records in order: means, spread, extremes, and the drift between halves."""
-    scored = trust(records, keep=tuple(dict.fromkeys((subject, order)))).where(F.col("overall").isNotNull())
+    return over_time(scored(records, subject, order), subject, order)
+
+
+def over_time(scored: DataFrame, subject: str, order: str) -> DataFrame:
+    """``by_subject`` of rows that are scored."""
     many = scored.groupBy(subject).agg(F.count(F.lit(1)).alias("m"))
-    ranked = running(scored.select(subject, order, "run_id", "overall"), [subject], order, {"k": F.lit(1).cast("long")}, ties=("run_id",)).join(many, subject)
+    ranked = running(scored, [subject], order, {"k": F.lit(1).cast("long")}, ties=("run_id",)).join(many, subject)
     first = F.col("k") <= F.floor(F.col("m") / 2)
     s = F.col("overall")
     half = F.abs(F.avg(F.when(~first, s)) - F.avg(F.when(first, s)))

@@ -27,8 +27,8 @@ def subject() -> Column:
     return F.coalesce(*named, F.lit("<unknown>"))
 
 
-def checks(records: DataFrame, seq: str, floor: float = 1.0, signature: Column | None = None) -> DataFrame:
-    """subject, run_id, seq, the first hard violation, and a soft one: the part without state."""
+def checks(records: DataFrame, seq: str, floor: float = 1.0, signature: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """subject, run_id, seq, the first hard violation, and a soft one: the part without state; and the columns to ``keep``."""
     schema = ~F.coalesce(F.col("schema_version").isin(*trust.VERSIONS), F.lit(False)) | F.col("run_id").isNull() | F.col("created_at_ms").isNull()
     joined = F.array_join(text_fields(), "\n")
     hard = F.when(schema, "aep_schema")
@@ -37,7 +37,7 @@ def checks(records: DataFrame, seq: str, floor: float = 1.0, signature: Column |
     hard = hard.when(anomalous_score(F.col("objective_score")), "objective_score_in_range").when(injection_signal(joined).isNotNull(), "no_injection_signal")
     n = F.size(trust.changing())
     soft = F.when((n > 0) & (F.size(trust.evidenced()) / n < floor), "evidence_complete")
-    rows = records.select(subject().alias("subject"), F.coalesce("run_id", "trace_id", F.concat(F.lit("<seq-"), F.col(seq).cast("string"), F.lit(">"))).alias("run_id"), F.col(seq).cast("long").alias("seq"), hard.alias("hard"), soft.alias("soft"))
+    rows = records.select(subject().alias("subject"), F.coalesce("run_id", "trace_id", F.concat(F.lit("<seq-"), F.col(seq).cast("string"), F.lit(">"))).alias("run_id"), F.col(seq).cast("long").alias("seq"), hard.alias("hard"), soft.alias("soft"), *keep)
     return rows.withColumn("soft", F.when(F.col("hard").isNull(), F.col("soft")))
 
 
@@ -68,8 +68,8 @@ def feedback(checked: DataFrame, scores: DataFrame | None = None, budget: int =
 
 
 class _Budget(StatefulProcessor):
-    def __init__(self, budget: int):
-        self.budget = budget
+    def __init__(self, budget: int, columns: list[str]):
+        self.budget, self.columns = budget, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("n_hard", "n long")
@@ -83,15 +83,18 @@ class _Budget(StatefulProcessor):
         f.loc[f["soft"].notna() | over, "verdict"] = "quarantine"
         f.loc[f["hard"].notna(), "verdict"] = "reject"
         self.count.update((int(f["n_hard"].iloc[-1]),))
-        yield f[["subject", "run_id", "seq", "hard", "soft", "n_hard", "verdict"]]
+        yield f[self.columns]
 
     def close(self) -> None:
         pass
 
 
 def stream(checked: DataFrame, budget: int = 3) -> DataFrame:
-    """The same feedback from a stream; the counts live in the state store, one long a subject."""
-    return checked.groupBy("subject").transformWithStateInPandas(_Budget(budget), FEEDBACK, "append", "none")
+    """The same feedback from a stream, further columns kept; the counts live in the state store, one long a subject."""
+    own = [f.split()[0] for f in FEEDBACK.split(", ")]
+    more = [f for f in checked.schema.fields if f.name not in own]
+    schema = ", ".join([FEEDBACK, *[f"{f.name} {f.dataType.simpleString()}" for f in more]])
+    return checked.groupBy("subject").transformWithStateInPandas(_Budget(budget, [*own, *[f.name for f in more]]), schema, "append", "none")
 
 
 def stats(feedback: DataFrame, latency: Column | None = None, sla_ms: float = 1000.0) -> DataFrame:

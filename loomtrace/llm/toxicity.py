@@ -3,19 +3,20 @@
 Model. A word is the bag of its hashed character n-grams (3 to 5, with word-boundary marks) and the
 word itself; a window of ``WINDOW`` words is the average of its words' averaged vectors; a linear
 two-class softmax scores it. A text's logit is its largest window's, so a long text does not dilute a
-few words, and a misspelt or inflected word shares its n-grams' vectors. A run of more than ``LONG``
-characters (text without spaces, chained words) enters the windows as overlapping pieces, which hold
-all its n-grams, and as the words that it chains. Vectors and softmax are fitted
+few words, and a misspelt or inflected word shares its n-grams' vectors. Within a word too there are
+windows: stretches of ``PIECE`` characters, half of them new, of the word with its marks. A word no longer
+than one is its only stretch; any other (text without spaces, chained words) enters whole, by its stretches,
+which hold all its n-grams, and by the words that it chains. Vectors and softmax are fitted
 together by Adagrad on whole batches; in fitting, windows are pooled by a soft maximum that sharpens,
 as a label says that some window is toxic, not which.
 
 Because averaging and the linear layer commute, the executors need one number a bucket (vector times
 weight difference): scoring is a look-up per distinct word and a running mean.
 
-Sample. Of the labelled rows that ``train`` lets through and whose text has up to ``SAMPLE_CHARS``
-characters, at most ``SAMPLE`` a class, those of least hash of their id: a bound on rows and, as the
-driver fits, on bytes. Longer texts are left out before the choice, so they take no place in it. Only
-fitting is bounded: every whole text is scored. ids, sources, languages and labels never enter a score.
+Sample. Of the labelled rows that ``train`` lets through, at most ``SAMPLE`` a class, those of least hash of
+their id, as far as their texts together have up to ``SAMPLE_CHARS`` characters: the driver fits, so rows and
+bytes are bounded, and long texts teach as others do at the price of rows. One that is longer than all may be
+takes no place. Only fitting is bounded: every whole text is scored. ids, sources, languages and labels never enter a score.
 ``WINDOW`` and ``ROUNDS`` are those of the least cross-validated log loss (three folds) among the rows
 that may be learnt from; the held-out rows had no part in it.
 
@@ -35,37 +36,41 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import checkpointed, map_slices
 
 BUCKETS, WIDTH, WINDOW = 1 << 18, 16, 2
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 8_000_000
 ROUNDS, RATE = 80, 0.5
 THRESHOLD = 0.7
 TABLE = 300_000
-#: Characters of the longest run that is one word; length and step of the pieces of a longer one.
-LONG, PIECE, STEP = 60, 16, 8
+#: Characters of a word's stretches, and from one to the next.
+PIECE, STEP = 16, 8
 _WORD = re.compile(r"[^\W_]+(?:[*@$!'.-]+[^\W_]+)*")
 _JOINED = re.compile(r"[*@$!'.-]+")
 
 
 def words(text: str | None) -> list[str]:
     found = _WORD.findall((text or "").lower())
-    if max(map(len, found), default=0) <= LONG:
+    if max(map(len, found), default=0) <= PIECE - 2:
         return found
-    return [x for w in found for x in ([w] if len(w) <= LONG else pieces(w))]
+    return [x for w in found for x in stretches(w)]
 
 
-def pieces(run: str) -> list[str]:
-    """An overlong run's overlapping pieces, then the words that it chains."""
-    cut = [run[i : i + PIECE] for i in range(0, len(run) - PIECE + STEP, STEP)]
-    return cut + [w for w in _JOINED.split(run) if len(w) <= LONG and w != run]
+def stretches(word: str) -> list[str]:
+    """The word, and if it is longer than a stretch, its stretches (with a sign before them) and the words that it chains."""
+    marked = f"<{word}>"
+    if len(marked) <= PIECE:
+        return [word]
+    cut = [f"\0{marked[i : i + PIECE]}" for i in range(0, len(marked) - PIECE + STEP, STEP)]
+    return [word, *cut, *[w for w in _JOINED.split(word) if w != word]]
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word."""
-    marked = f"<{word}>"
+    """Buckets of the n-grams of a word or stretch, and of itself."""
+    marked = word[1:] if word.startswith("\0") else f"<{word}>"
     parts = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
     return sorted(zlib.crc32(p.encode()) % BUCKETS for p in parts)
 
@@ -184,9 +189,11 @@ def sampled(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "do
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     own = own.where(train).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= sample_chars)
-    own = own.join(texts.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi")
-    least = lambda y: own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = checkpointed(least(0).unionByName(least(1)))  # 2 * sample rows at most
+    sizes = texts.join(own.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi").groupBy("id").agg(F.length(F.min("t")).cast("long").alias("size"))
+    known = own.join(sizes, "id").withColumn("h", F.xxhash64("id"))
+    least = lambda y: known.where(F.col("y") == y).orderBy("h", "id").limit(sample)
+    upto = F.sum("size").over(W.partitionBy("y").orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0))
+    chosen = checkpointed(least(0).unionByName(least(1)).withColumn("upto", upto).where(F.col("upto") <= sample_chars).select("id", "y"))  # 2 * sample rows at most
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
     rows = sorted((r["id"], r["t"], r["y"]) for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows]

@@ -98,11 +98,15 @@ def test_long_texts_of_numbers_are_linear():
     assert time.process_time() - began < 60
 
 
-def test_sample_leaves_long_texts_out_before_the_choice(spark):
+def test_sample_is_bounded_in_rows_and_characters(spark):
     docs = spark.createDataFrame([(i, "x " * (30 if i % 2 else 3000)) for i in range(40)] + [(41, "a"), (41, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(42)], "doc_id long, toxic int")
     texts, y = toxicity.sampled(docs, labels, F.lit(True), sample=8, sample_chars=100)
-    assert sorted(y) == [0] * 8 + [1] * 8 and max(map(len, texts)) <= 100
+    assert sorted(y) == [0, 1] and max(map(len, texts)) <= 100  # longer ones than all may be take no place
+    texts, y = toxicity.sampled(docs, labels, F.lit(True), sample=8, sample_chars=20_000)
+    assert max(map(len, texts)) == 6000 and all(sum(len(t) for t, k in zip(texts, y) if k == c) <= 20_000 for c in (0, 1)) and len(y) > 4
+    texts, y = toxicity.sampled(docs, labels, F.lit(True), sample=8)
+    assert sorted(y) == [0] * 8 + [1] * 8
     texts, _ = toxicity.sampled(docs.where("doc_id = 41"), labels, F.lit(True))
     assert texts == ["a"]
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.shared import checkpointed, forgotten, shared_dir
 
-__all__ = ["SLICE_BYTES", "checkpointed", "forgotten", "map_slices", "numbered", "salts_for", "shared_dir", "slices", "written"]
+__all__ = ["SLICE_BYTES", "checkpointed", "forgotten", "free", "map_slices", "numbered", "salts_for", "shared_dir", "slices", "written"]
 
 #: Text bytes that a Python worker holds at once, beyond a single longer document.
 SLICE_BYTES = 1 << 20
@@ -41,6 +41,14 @@ def map_slices(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores behind it as no column of the frames has."""
+    used = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again; for rows that carry texts. The driver's end deletes it."""
     path = forgotten(df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")

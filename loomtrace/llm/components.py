@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import checkpointed
+from loomtrace.llm.common import checkpointed, free
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -52,14 +52,12 @@ def first_of_each(df: DataFrame, components: Callable[[DataFrame], DataFrame], i
     row = lambda: F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
     own = df.where(F.col(id_col).isNotNull()).select(row().alias("doc_id"), F.col(text_col).alias("text"))
     kept = components(own).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = checkpointed(kept.select(F.col("doc_id").alias("_kept"), "_n"))
+    own_row, key, n = (free(name, df) for name in ("_row", "_kept", "_n"))
+    kept = checkpointed(kept.select(F.col("doc_id").alias(key), F.col("_n").alias(n)))
     columns = [F.col(f"`{c}`") for c in df.columns]
-    names = {"_row", "_kept", "_n"} & set(df.columns)
-    if names:
-        raise ValueError(f"columns of these names are in use here: {sorted(names)}")
-    joined = df.withColumn("_row", row()).join(kept.hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left")
-    joined = joined.where(F.col("_kept").isNotNull() | F.col(id_col).isNull())
-    if kept.where("_n > 1").isEmpty():
+    joined = df.withColumn(own_row, row()).join(kept.hint("shuffle_hash"), F.col(own_row) == F.col(key), "left")
+    joined = joined.where(F.col(key).isNotNull() | F.col(id_col).isNull())
+    if kept.where(F.col(n) > 1).isEmpty():
         return joined.select(*columns)
-    again = joined.where("_n > 1").dropDuplicates(["_row"])
-    return joined.where("_n is null or _n = 1").unionByName(again).select(*columns)
+    again = joined.where(F.col(n) > 1).dropDuplicates([own_row])
+    return joined.where(F.col(n).isNull() | (F.col(n) == 1)).unionByName(again).select(*columns)

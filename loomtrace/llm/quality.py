@@ -10,7 +10,8 @@ better than chance, which fixes the classes' names. Two base rules always reject
 
 Defined results: null texts count as empty; a text without words has all counts 0 and fails the base
 rules; very long texts cost time and memory in proportion to their length, at any number of distinct
-words; repeated rows count as often as they occur; equal texts get equal verdicts; an empty table
+words; repeated rows count as often as they occur; equal texts get equal verdicts, and a posterior of
+exactly ``KEEP`` keeps; an empty table
 gives an empty table; further columns are ignored (``rules``) or kept as they are (``keep``).
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtrace.llm.common import checkpointed, map_slices, written
+from loomtrace.llm.common import checkpointed, free, map_slices, written
 
 KEEP, ROUNDS = 0.5, 60
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -141,10 +142,10 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]
     return dict(zip(names, post.tolist(), strict=True))
 
 
-def _posteriors(voted: DataFrame, votes_col: str) -> DataFrame:
-    """One row a vote pattern: at most 3 ** len(RULES)."""
+def _posteriors(voted: DataFrame, votes_col: str, pattern: str = "_pattern", posterior: str = "posterior") -> DataFrame:
+    """One row a vote pattern, at most 3 ** len(RULES), under the given names."""
     patterns = {r["v"]: r["n"] for r in voted.groupBy(F.col(votes_col).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return F.broadcast(voted.sparkSession.createDataFrame(list(estimate(patterns).items()), "_pattern string, posterior double"))
+    return F.broadcast(voted.sparkSession.createDataFrame(list(estimate(patterns).items()), f"{pattern} string, {posterior} double"))
 
 
 def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = KEEP) -> DataFrame:
@@ -167,9 +168,7 @@ def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
 
 def keep(df: DataFrame, text_col: str = "text", threshold: float = KEEP) -> DataFrame:
     """The rows of ``df``, with all their columns, that the rules keep."""
-    name = "_votes"
-    while name in df.columns:
-        name += "_"
+    name, pattern, posterior = (free(c, df) for c in ("_votes", "_pattern", "_posterior"))
 
     def task():
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
@@ -179,6 +178,6 @@ def keep(df: DataFrame, text_col: str = "text", threshold: float = KEEP) -> Data
         return each
 
     rows = written(map_slices(df, task, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]), text_col), "quality")
-    known = _posteriors(rows.select(F.ltrim(F.col(name), F.lit("!")).alias("v")), "v").where(F.col("posterior") >= threshold)
+    known = _posteriors(rows.select(F.ltrim(F.col(name), F.lit("!")).alias("v")), "v", pattern, posterior).where(F.col(posterior) >= threshold)
     # a failed base rule's mark keeps a row from meeting any pattern
-    return rows.join(known, F.col(name) == F.col("_pattern"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows.join(known, F.col(name) == F.col(pattern), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

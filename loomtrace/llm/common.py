@@ -10,12 +10,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.shared import checkpointed, forgotten, shared_dir
 
-__all__ = ["SLICE_BYTES", "checkpointed", "forgotten", "free", "map_slices", "numbered", "salts_for", "shared_dir", "slices", "written"]
+__all__ = ["SLICE_BYTES", "checkpointed", "forgotten", "free", "map_slices", "numbered", "removed", "salts_for", "scratch", "shared_dir", "slices", "written"]
 
 #: Text bytes that a Python worker holds at once, beyond a single longer document.
 SLICE_BYTES = 1 << 20
@@ -49,11 +49,22 @@ def free(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again; for rows that carry texts. The driver's end deletes it."""
+def scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into the shared folder and read it again; for rows that carry texts. Also the folder, for ``removed``."""
     path = forgotten(df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``scratch``, which the driver's end deletes."""
+    return scratch(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of a part of a group.

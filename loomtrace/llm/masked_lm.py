@@ -292,27 +292,31 @@ class Slots(dict):
         self.words: list[str] = []
         self.token, self.more, self.left = array("i"), array("d"), array("b")
 
-    def __missing__(self, word: str) -> int:
-        vocab = self.vocab
-        token = vocab[word]
-        more, left = 0.0, False
-        if token >= WORDS and vocab.totals is not None:
-            held = vocab.held.get(word)
-            more, left = (held or 0.0) - vocab.totals[token - WORDS], held is None
-        self[word] = slot = len(self.words)
-        self.words.append(word)
-        self.token.append(token)
-        self.more.append(more)
-        self.left.append(left)
-        return slot
+    def met(self, found: list[str]) -> None:
+        """Give slots to the words that have none."""
+        vocab, new = self.vocab, [w for w in dict.fromkeys(found) if w not in self]
+        tokens = np.fromiter((dict.get(vocab, w, -1) for w in new), np.int32, len(new))
+        more, left, other = np.zeros(len(new)), np.zeros(len(new), np.int8), np.flatnonzero(tokens < 0)
+        outside = [new[k] for k in other.tolist()]
+        bucket = np.fromiter(map(zlib.crc32, map(str.encode, outside)), np.uint32, len(outside)) % BUCKETS
+        tokens[other] = WORDS + bucket
+        if vocab.totals is not None:
+            held = np.fromiter((vocab.held.get(w, np.nan) for w in outside), np.float64, len(outside))
+            left[other] = np.isnan(held)
+            more[other] = np.nan_to_num(held) - vocab.totals[bucket]
+        self.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.words += new
+        for column, values in ((self.token, tokens), (self.more, more), (self.left, left)):
+            column.frombytes(values.tobytes())
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The slots of all words of the texts, and the words of each text."""
         if len(self) > HELD:
             self.empty()
         cut = [words(t) for t in texts]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum())), n
+        found = list(chain.from_iterable(cut))
+        self.met(found)
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found)), np.fromiter(map(len, cut), np.int64, len(cut))
 
 
 def placed(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,10 +327,11 @@ def placed(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def positions(texts: list[str | None], slots: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def positions(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts with SIDE pads around each, the places of real tokens, and tokens by text."""
-    own, n = slots.of(texts)
-    return *placed(np.array(slots.token, np.int32)[own], n), n
+    cut = [words(t) for t in texts]
+    n = np.fromiter(map(len, cut), np.int64, len(cut))
+    return *placed(np.fromiter(map(vocab.__getitem__, chain.from_iterable(cut)), np.int32, int(n.sum())), n), n
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -350,11 +355,11 @@ def train(df: DataFrame, vocab: Vocabulary, net: Network, text_col: str = "text"
 
     def local(batches):
         vocab, flat = shared.value
-        own, slots, room = Network(flat.copy()), Slots(vocab), np.empty_like(flat)
+        own, room = Network(flat.copy()), np.empty_like(flat)
         seen, slope = np.full_like(flat, 1e-4), Network(np.zeros_like(flat))
         steps, row = 0, 0
         for p in slices(batches, "text"):
-            tokens, at, n = positions(p.column("text").to_pylist(), slots)
+            tokens, at, n = positions(p.column("text").to_pylist(), vocab)
             rng = np.random.default_rng([seed, row, len(at)])
             row += p.num_rows
             at = rng.permutation(targets(at, n, max(1, round(1 / masked)), seed))

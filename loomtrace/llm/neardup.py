@@ -9,10 +9,11 @@ copies are one node. Links are found three times, and each is verified on the wo
 2. Min-hash bands link every text to the first of its bucket and to the one before it, in an order of the
    bucket's own. That is linear in the texts and joins the members of large groups. Copies at a Jaccard of
    0.8 differ in some ten of 64 bits, beyond any budget that a trie can traverse, so both miss pairs.
+   Sizes and bitmaps, of which no more bits differ than shingles, reject pairs before texts move; of the
+   rest each text's likeliest partner comes first, and then only pairs that are not yet in one component.
 3. A prefix filter finds every pair that is left. In one global order of the shingles, two sets of
    Jaccard t share one of the first n - ceil(t n) + 1 of each, so a join of those prefixes misses none;
-   sizes, places in the prefix and bitmaps, of which no more bits differ than shingles, reject most
-   pairs, and pairs already in one component are left out.
+   sizes, places in the prefix and bitmaps reject most pairs, and those already in one component are left out.
 
 The order puts shingles of many texts last, by a table of the counts of all texts' shingles, hashed to
 ``COUNTERS`` places; any order is complete, so what the table mixes up costs time and never a pair. Copies
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import checkpointed, map_slices, slices, written
+from loomtrace.llm.common import checkpointed, map_slices, removed, scratch, slices
 from loomtrace.llm.components import first_of_each, stars
 from loomtrace.llm.simhash import links, majority
 
@@ -165,24 +166,25 @@ def counts(nodes: DataFrame) -> np.ndarray:
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """key, node: a row a band, the text's bitmap and fingerprint in the first."""
+    """key, node: a row a band, the text's bitmap, fingerprint and number of shingles in the first."""
 
     def task():
         hashes, known = Hashes(), set()
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
             p = fresh(p, known)
-            keys, bits, fps = [np.zeros(0, np.uint64)], [], []
+            keys, bits, fps, sizes = [np.zeros(0, np.uint64)], [], [], []
             for t in p.column("text").to_pylist():
                 h = shingle_hashes(t, hashes)
                 keys.append(bands(h))
                 bits += [bitmap(h), *[None] * (BANDS - 1)]
                 fps += [int(majority(h).view(np.int64)), *[None] * (BANDS - 1)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(np.repeat(p.column("node").to_numpy(), BANDS), pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["key", "node", "bits", "fp"])
+                sizes += [len(h), *[None] * (BANDS - 1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(np.repeat(p.column("node").to_numpy(), BANDS), pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "node", "bits", "fp", "n"])
 
         return each
 
-    return checkpointed(map_slices(nodes, task, "key long, node long, bits array<bigint>, fp long"))
+    return checkpointed(map_slices(nodes, task, "key long, node long, bits array<bigint>, fp long, n int"))
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -209,11 +211,20 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     return map_slices(nodes, task, "gram long, node long, n int, place int")
 
 
+def plausible(pairs: DataFrame, banded: DataFrame) -> DataFrame:
+    """The pairs (a, b), with all their columns, that sizes and bitmaps don't rule out."""
+    one = banded.where("bits is not null").select("node", "n", "bits").dropDuplicates(["node"])
+    side = lambda c: one.select(*[F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "bits")])
+    differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(BITS // 64))
+    joined = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    return joined.where(f"5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * ({differ}) <= n_a + n_b").select(*pairs.columns)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are near copies."""
-    pairs = written(pairs, "pairs")
+    pairs = checkpointed(pairs)
     wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    texts = written(nodes.join(wanted, F.col("node") == F.col("k"), "left_semi").dropDuplicates(["node"]), "texts")
+    texts, folder = scratch(nodes.join(wanted, F.col("node") == F.col("k"), "left_semi").dropDuplicates(["node"]), "texts")
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text")), "b")
 
     def task():
@@ -223,7 +234,9 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
         return each
 
-    return checkpointed(map_slices(sides.select("a", "b", "x", "text"), task, "a long, b long"))
+    found = checkpointed(map_slices(sides.select("a", "b", "x", "text"), task, "a long, b long"))
+    removed(nodes.sparkSession, folder)
+    return found
 
 
 def trie_pairs(banded: DataFrame) -> DataFrame:
@@ -239,8 +252,19 @@ def trie_pairs(banded: DataFrame) -> DataFrame:
 def banded_links(nodes: DataFrame, banded: DataFrame) -> DataFrame:
     by = W.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     rows = banded.select("node", F.array(F.first("node").over(by), F.lag("node").over(by)).alias("other"))
-    pairs = rows.select(F.col("node").alias("a"), F.explode("other").alias("b")).where("a <> b").unionByName(trie_pairs(banded))
-    return verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes)
+    pairs = rows.select(F.col("node").alias("a"), F.explode("other").alias("b"), F.lit(1).alias("k")).where("a <> b").unionByName(trie_pairs(banded).withColumn("k", F.lit(BANDS)))
+    pairs = pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.sum("k").alias("k"))
+    pairs = checkpointed(plausible(pairs, banded))
+    likeliest = pairs.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+    found = verified(likeliest, nodes)
+    return found.unionByName(verified(apart(pairs.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), stars(found)), nodes))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``roots`` (a, b) does not hold in one component."""
+    root = lambda c: roots.select(F.col("a").alias(f"node_{c}"), F.col("b").alias(f"root_{c}"))
+    joined = pairs.join(root("a"), F.col("a") == F.col("node_a"), "left").join(root("b"), F.col("b") == F.col("node_b"), "left")
+    return joined.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
 
 
 def other_links(nodes: DataFrame, banded: DataFrame, roots: DataFrame) -> DataFrame:
@@ -251,13 +275,10 @@ def other_links(nodes: DataFrame, banded: DataFrame, roots: DataFrame) -> DataFr
     rows = rows.join(roots.select(F.col("a").alias("k"), F.col("b").alias("root")), F.col("node") == F.col("k"), "left").select("gram", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     among = W.partitionBy("gram")
     rows = checkpointed(rows.withColumn("low", F.min("root").over(among)).withColumn("high", F.max("root").over(among)).where("low <> high").drop("low", "high"))
-    bits = banded.where("bits is not null").select(F.col("node").alias("k"), "bits").dropDuplicates(["k"])
-    rows = checkpointed(rows.join(bits, F.col("node") == F.col("k")).drop("k"))
-    a, b = (rows.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root", "bits")]) for s in "ab")
-    differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(BITS // 64))
+    a, b = (rows.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root")]) for s in "ab")
     left = "least(n_a - place_a, n_b - place_b)"  # the most that sets can share from this gram on
-    pairs = a.join(b, "gram").where(f"node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * ({left}) >= 4 * (n_a + n_b) and 9 * ({differ}) <= n_a + n_b")
-    return verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), nodes)
+    pairs = a.join(b, "gram").where(f"node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * ({left}) >= 4 * (n_a + n_b)")
+    return verified(plausible(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), banded), nodes)
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,7 +78,7 @@ def test_repeated_ids_clashing_names_and_empty_tables(spark, tmp_path):
     rows, bad = documents()
     other = rows[5][1]
     rows = rows[:60] + [(3, other + " but with some more words at the end of it here", "en", "s", 9), (3, other + " but with some more words at the end of it here", "en", "s", 9), (None, rows[7][1], "en", "s", 1)]
-    more = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'x' as votes", "1 as node", "2 as component_id", "3 as fp", "'y' as spans", "4 as score", "5 as size", "6 as n")
+    more = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'x' as votes", "1 as node", "2 as component_id", "3 as fp", "'y' as spans", "4 as score", "5 as size", "6 as n", "7 as _pattern", "8 as _n", "9 as _kept", "10 as _row", "'z' as _votes", "11 as posterior", "12 as _posterior")
     labels = spark.createDataFrame([(r[0], 1, int(r[0] in bad)) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs = more

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.functions import phrases
 from loomtrace.operators.training import episode_steps
 
 # Parts of tool names and the tag each stands for.
@@ -31,12 +32,16 @@ def _any(text: Column, parts: tuple[str, ...]) -> Column:
     return found
 
 
-def tags(has_arguments: Column, verifier_keys: Column | None = None) -> Column:
-    """Sorted tags of a step with columns role, content, tool_name and step_index."""
+def tags(has_arguments: Column, verifier_keys: Column | None = None, tools: DataFrame | None = None, verifiers: DataFrame | None = None) -> Column:
+    """Sorted tags of a step with columns role, content, tool_name and step_index.
+
+    ``tools`` and ``verifiers`` are tables (phrase, tag) in place of ``TOOL_TAGS`` (parts of the lower-cased
+    tool's name) and ``VERIFIER_TAGS`` (whole keys).
+    """
     tool, content = F.lower(F.coalesce("tool_name", F.lit(""))), F.coalesce("content", F.lit(""))
     named, agent = tool != "", F.col("role") == "agent"
     low = F.lower(content)
-    rules = [F.when(F.contains(tool, F.lit(k)), F.lit(v)) for k, v in TOOL_TAGS.items()]
+    rules = [F.when(F.contains(tool, F.lit(k)), F.lit(v)) for k, v in TOOL_TAGS.items()] if tools is None else []
     rules += [
         F.when(named, F.lit("tool_selection")),
         F.when(has_arguments, F.lit("argument_generation")),
@@ -46,21 +51,25 @@ def tags(has_arguments: Column, verifier_keys: Column | None = None) -> Column:
         F.when(agent & (F.col("step_index") > 0), F.lit("state_tracking")),
     ]
     if verifier_keys is not None:
-        rules += [F.when(F.array_contains(verifier_keys, k), F.lit(v)) for k, v in VERIFIER_TAGS.items()]
-    return F.sort_array(F.array_distinct(F.array_compact(F.array(*rules))))
+        known = VERIFIER_TAGS.items() if verifiers is None else phrases.rules(verifiers)
+        rules += [F.when(F.array_contains(verifier_keys, k), F.lit(v)) for k, v in known]
+    found = F.array_compact(F.array(*rules))
+    if tools is not None:
+        found = F.concat(found, phrases.tags(tool, phrases.rules(tools), fold=False))
+    return F.sort_array(F.array_distinct(found))
 
 
-def tagged_steps(rollouts: DataFrame) -> DataFrame:
+def tagged_steps(rollouts: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """Every step of every branch with its tags, reference and first 120 characters."""
     steps = episode_steps(rollouts)
     has_arguments = F.col("tool_name").isNotNull() & ~F.col("content").endswith('"arguments": {}}')
     snippet = F.substring(F.when(F.coalesce("tool_name", F.lit("")) != "", F.col("tool_name")).otherwise(F.col("content")), 1, 120)
-    return steps.select("rollout_id", "branch_index", "step_index", F.concat_ws("/", "episode_id", "step_index").alias("step_ref"), tags(has_arguments).alias("tags"), snippet.alias("snippet"))
+    return steps.select("rollout_id", "branch_index", "step_index", F.concat_ws("/", "episode_id", "step_index").alias("step_ref"), tags(has_arguments, tools=tools).alias("tags"), snippet.alias("snippet"))
 
 
-def gaps(rollouts: DataFrame) -> DataFrame:
-    """Each failing branch against its rollout's best passing one, where tags are missing."""
-    steps = tagged_steps(rollouts)
+def gaps(rollouts: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """Each failing branch against its rollout's best passing one, where tags are missing; ``tools`` as for ``tags``."""
+    steps = tagged_steps(rollouts, tools)
     step = F.struct("step_index", "step_ref", "tags", "snippet")
     branches = steps.groupBy("rollout_id", "branch_index").agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"), F.sort_array(F.collect_list(step)).alias("steps"))
     rows = rollouts.select("rollout_id", "branch_index", "objective_score", "objective_status", F.coalesce("total_score", F.lit(0.0)).alias("total_score"), F.size("tools").alias("n_calls")).join(branches, ["rollout_id", "branch_index"])

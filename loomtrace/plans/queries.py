@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.functions import stats, text, times
+from loomtrace.functions import phrases, stats, text, times
 from loomtrace.operators import boosting, capability, contamination, ingestion, lineage, metrics, quality, quota, registry, replay, reports, router, routing, storage, tenancy, training, trust
 from loomtrace.plans import adapters as A
 from loomtrace.streaming import compliance
@@ -102,6 +102,15 @@ def sanitized_documents(spark, sf_dir):
 _SIGNALS = ("all rights reserved", "licensed under", "public license", "ignore previous instructions")
 
 
+@query(r"""WITH p AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:2], ' ') AS phrase FROM benchmark)
+SELECT DISTINCT doc_id, CAST(item_id AS STRING) AS tag FROM documents JOIN p ON phrase <> '' AND contains(lower(text), phrase)""")
+def phrase_tags(spark, sf_dir):
+    """Texts that hold the first two words of an item, all items' in one pass."""
+    table_of = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 2), " ").alias("phrase"), F.col("item_id").alias("tag"))
+    found = phrases.tags(F.col("text"), phrases.rules(table_of))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("tag")).distinct()
+
+
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{s}') THEN '{s}'" for s in _SIGNALS) + " END AS signal FROM documents WHERE signal IS NOT NULL")
 def signal_phrases(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.injection_signal(F.col("text"), _SIGNALS, normalized=True).alias("signal")).where("signal is not null")
@@ -232,12 +241,43 @@ def critic_rows(spark, sf_dir):
     return rows.select("rollout_id", "branch_index", "step_index", "record_id", "decision", F.sha2("evidence", 256).alias("evidence_sha256"), "n_remaining_steps")
 
 
-@query()
+def _contains(text: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{x}')" for x in parts) + ")"
+
+
+_TAGS = ", ".join(
+    [f"CASE WHEN contains(tool, '{k}') THEN '{v}' END" for k, v in capability.TOOL_TAGS.items()]
+    + [
+        "CASE WHEN tool <> '' THEN 'tool_selection' END",
+        """CASE WHEN tool <> '' AND NOT ends_with(content, '"arguments": {}}') THEN 'argument_generation' END""",
+        f"CASE WHEN role = 'agent' AND tool = '' AND {_contains('lower(content)', capability.PLANNING)} THEN 'planning' END",
+        f"CASE WHEN role = 'agent' AND tool = '' AND {_contains('lower(content)', capability.INSUFFICIENT)} THEN 'insufficient_context_detection' END",
+        f"CASE WHEN role = 'environment' AND {_contains('content', capability.ERRORS)} THEN 'recovery_after_error' END",
+        "CASE WHEN role = 'agent' AND step_index > 0 THEN 'state_tracking' END",
+    ]
+)
+_GAPS = _ROLLOUTS + f""", steps AS (SELECT rollout_id, branch_index, n_calls, final_answer, tools, unnest(range(2 * n_calls + 1)) AS step_index FROM r),
+of_step AS (SELECT rollout_id, branch_index, step_index, CASE WHEN step_index % 2 = 0 THEN 'agent' ELSE 'environment' END AS role, step_index = 2 * n_calls AS done, final_answer, tools[step_index // 2 + 1] AS c FROM steps),
+shown AS (SELECT *, CASE WHEN NOT done AND role = 'agent' THEN lower(c.tool_name) ELSE '' END AS tool,
+  CASE WHEN done THEN final_answer WHEN role = 'agent' THEN concat('{{"name": "', c.tool_name, '", "arguments": ', c.arguments, '}}') ELSE coalesce(c.result, c.error) END AS content FROM of_step),
+tagged AS (SELECT rollout_id, branch_index, step_index, list_filter([{_TAGS}], lambda v: v IS NOT NULL) AS tags FROM shown),
+of_branch AS (SELECT rollout_id, branch_index, list_distinct(flatten(list(tags))) AS tags FROM tagged GROUP BY ALL),
+placed AS (SELECT rollout_id, branch_index, objective_score, objective_status, n_calls, tags, row_number() OVER (PARTITION BY rollout_id, objective_score ORDER BY total_score DESC, branch_index) AS place FROM r JOIN of_branch USING (rollout_id, branch_index)),
+diffs AS (SELECT f.rollout_id, p.branch_index AS passing_branch, f.branch_index AS failing_branch, f.objective_status, f.n_calls, list_sort(list_filter(p.tags, lambda v: NOT list_contains(f.tags, v))) AS diff
+  FROM placed p JOIN placed f ON p.rollout_id = f.rollout_id AND p.objective_score = 1 AND p.place = 1 AND f.objective_score = 0),
+hits AS (SELECT g.rollout_id, failing_branch, arg_min(concat(g.rollout_id, '/', passing_branch, '/', step_index), step_index) AS ref FROM diffs g JOIN tagged t ON t.rollout_id = g.rollout_id AND t.branch_index = passing_branch AND list_has_any(t.tags, diff) GROUP BY ALL),
+gaps AS (SELECT rollout_id, passing_branch, failing_branch, array_to_string(diff, ',') AS tag_diff, coalesce(list_filter({list(capability.FAILURES)}, lambda v: list_contains(diff, v))[1], 'unknown') AS failure_class,
+  CASE WHEN objective_status IN ('pass', 'fail') THEN 'dpo_pair' ELSE 'sft_targeted' END AS suggested_training_type, ref AS positive_step_ref, round(greatest(-0.1, -0.01 * greatest(0, n_calls - 1)), 6)::DOUBLE AS reward_cost
+  FROM diffs g JOIN hits USING (rollout_id, failing_branch) WHERE len(diff) > 0)
+"""
+
+
+@query(_GAPS + "SELECT * FROM gaps")
 def capability_gaps(spark, sf_dir):
-    return capability.gaps(A.rollouts(spark, sf_dir))
+    return rounded(capability.gaps(A.rollouts(spark, sf_dir)))
 
 
-@query()
+@query(_GAPS + "SELECT failure_class, suggested_training_type, count(*) AS n FROM gaps GROUP BY ALL")
 def capability_gap_summary(spark, sf_dir):
     return capability.gap_summary(A.rollouts(spark, sf_dir))
 

@@ -46,6 +46,7 @@ ROUNDS, BATCH, RATE = 2, 1024, 0.08
 #: Distinct words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
 COUNTED, BLOCK, SALTS = 100_000, 1 << 14, 32
 PAD = TOKENS
+LOG_BUCKETS, LOG_BYTES = float(np.log(BUCKETS)), float(np.log(257))
 #: Words whose counts every executor holds, and slots of a task beyond which it begins anew.
 KNOWN, HELD = 100_000, 300_000
 
@@ -94,9 +95,9 @@ class Vocabulary(dict):
         return {"held": self.held, "totals": self.totals}  # the table stays with the driver
 
 
-def spelt(word: str) -> float:
-    """log p(word | bucket, the corpus lacks it), up to the bucket's count."""
-    return float(np.log(BUCKETS) - (len(word.encode()) + 1) * np.log(257))
+def spelt(size):
+    """log p(word | bucket, the corpus lacks it), up to the bucket's count, of words of so many bytes."""
+    return LOG_BUCKETS - (size + 1) * LOG_BYTES
 
 
 def most_frequent(counted: DataFrame, most: int) -> tuple[list, DataFrame]:
@@ -290,7 +291,7 @@ class Slots(dict):
     def empty(self) -> None:
         self.clear()
         self.words: list[str] = []
-        self.token, self.more, self.left = array("i"), array("d"), array("b")
+        self.token, self.more, self.left, self.size = array("i"), array("d"), array("b"), array("i")
 
     def met(self, found: list[str]) -> None:
         """Give slots to the words that have none."""
@@ -298,15 +299,18 @@ class Slots(dict):
         tokens = np.fromiter((dict.get(vocab, w, -1) for w in new), np.int32, len(new))
         more, left, other = np.zeros(len(new)), np.zeros(len(new), np.int8), np.flatnonzero(tokens < 0)
         outside = [new[k] for k in other.tolist()]
-        bucket = np.fromiter(map(zlib.crc32, map(str.encode, outside)), np.uint32, len(outside)) % BUCKETS
+        raw = list(map(str.encode, outside))
+        bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % BUCKETS
         tokens[other] = WORDS + bucket
+        size = np.zeros(len(new), np.int32)
+        size[other] = np.fromiter(map(len, raw), np.int32, len(raw))
         if vocab.totals is not None:
             held = np.fromiter((vocab.held.get(w, np.nan) for w in outside), np.float64, len(outside))
             left[other] = np.isnan(held)
             more[other] = np.nan_to_num(held) - vocab.totals[bucket]
         self.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
         self.words += new
-        for column, values in ((self.token, tokens), (self.more, more), (self.left, left)):
+        for column, values in ((self.token, tokens), (self.more, more), (self.left, left), (self.size, size)):
             column.frombytes(values.tobytes())
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -413,7 +417,7 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vo
 
 def _summed(own: np.ndarray, n: np.ndarray, slots: Slots, net: Network) -> np.ndarray:
     """Summed conditional log-probabilities of the texts whose words' slots are given."""
-    tokens, at = placed(np.array(slots.token, np.int32)[own], n)
+    tokens, at = placed(np.frombuffer(slots.token, np.int32)[own], n)
     logs = np.zeros(len(at) + 1)
     for a in range(0, len(at), 8 * BATCH):
         part = at[a : a + 8 * BATCH]
@@ -445,16 +449,16 @@ def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id"
             own, n = slots.of(p.column("text").to_pylist())
             total = _summed(own, n, slots, net)
             of_text = np.repeat(np.arange(len(n)), n)
-            total += np.bincount(of_text, np.array(slots.more)[own], len(n))
-            left = np.array(slots.left, bool)[own]
+            total += np.bincount(of_text, np.frombuffer(slots.more)[own], len(n))
+            left = np.frombuffer(slots.left, np.int8)[own] != 0
             found, times = np.unique(of_text[left] * np.int64(len(slots.words)) + own[left], return_counts=True)
             text, slot = np.divmod(found, max(len(slots.words), 1))
-            place, key, times = p.column("row").to_numpy()[text].tolist(), [slots.words[k] for k in slot.tolist()], times.tolist()
-            unseen = list(map(spelt, key))
-            none = [None] * len(key)
-            ids = pa.concat_arrays([p.column("doc_id"), pa.array(none, p.column("doc_id").type)])
-            columns = [pa.array(row + place, pa.int64()), ids, pa.array(n.tolist() + none, pa.int64()), pa.array(total.tolist() + none, pa.float64())]
-            columns += [pa.array([f" {r}" for r in row] + key, pa.string()), pa.array([0] * len(row) + times, pa.int64()), pa.array([0.0] * len(row) + unseen, pa.float64())]
+            unseen = spelt(np.frombuffer(slots.size, np.int32)[slot])
+            key = list(map(slots.words.__getitem__, slot.tolist()))
+            none = lambda column: pa.concat_arrays([column, pa.nulls(len(key), column.type)])
+            both = lambda a, b: pa.array(np.concatenate([a, b]))
+            columns = [both(p.column("row").to_numpy(), p.column("row").to_numpy()[text]), none(p.column("doc_id")), none(pa.array(n, pa.int64())), none(pa.array(total, pa.float64()))]
+            columns += [pa.array([f" {r}" for r in row] + key, pa.string()), both(np.zeros(len(row), np.int64), times), both(np.zeros(len(row)), unseen)]
             return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "log_prob", "word", "times", "unseen"])
 
         return each

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtrace import schemas
 from loomtrace.functions import scrub, stats, text
-from loomtrace.operators import capability, datasets, ingestion, lineage, lint, metrics, quality, registry, replay, reports, router, synthesis, training, trust
+from loomtrace.operators import capability, contamination, datasets, ingestion, lineage, lint, metrics, quality, registry, replay, reports, router, synthesis, training, trust
 from loomtrace.plans import export
 from loomtrace.sources import importers, jsonl
 from loomtrace.shared import shared_dir
@@ -41,12 +41,13 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument(f"--{k.replace('_', '-')}", type=type(v), default=v)
         return p
 
-    add("export", "rollout", "compliance", "out-dir!", "eval-items", contamination_threshold=0.2)
-    for name in ("adp-export", "rl-export", "mine-gaps"):
+    add("export", "rollout", "compliance", "out-dir!", "eval-items", contamination_threshold=0.2).add_argument("--include-failing", action="store_true")
+    for name in ("adp-export", "mine-gaps"):
         add(name, "rollout!", "out")
+    add("rl-export", "rollout!", "out", reward="build,policy,cost")
     add("compile-context", "rollout!", "out", mode="long_context_qa", min_tool_calls=1)
     add("router", "input!", "out", max_repair_rounds=3, max_violations=3, min_tool_validity=0.8, max_latency_ms=30_000.0, hard_constraint_limit=10)
-    add("validate", "input!", "out")
+    add("validate", "input!", "out", "eval-items", contamination_threshold=0.2).add_argument("--strict", action="store_true")
     add("validate-aep", "input!", fail_under=0.0)
     p = add("stream-eval", "input!", "out", "checkpoint", "verifier", max_hard_per_subject=3, fail_under=0.0, fail_under_sla=0.0, evidence_completeness_threshold=1.0, sla_ms=1000.0, most_files=100)
     p.add_argument("--require-signature", action="store_true")
@@ -75,10 +76,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     name = a.command
     evidence = lambda path: jsonl.read(spark, path, schemas.AEP, strict=False)
     if name == "export":
-        items = jsonl.read(spark, a.eval_items, "item_id string, text string, task string").select("item_id", F.coalesce("text", "task").alias("text")) if a.eval_items else None
-        print(json.dumps(export.run(spark, a.out_dir, a.rollout, a.compliance, items, a.contamination_threshold), default=str))
+        print(json.dumps(export.run(spark, a.out_dir, a.rollout, a.compliance, items_of(spark, a), a.contamination_threshold, not a.include_failing), default=str))
     elif name in ("adp-export", "rl-export", "mine-gaps"):
-        make = {"adp-export": training.episode_steps, "rl-export": training.transitions, "mine-gaps": capability.gaps}[name]
+        make = {"adp-export": training.episode_steps, "rl-export": lambda r: training.transitions(r, tuple(a.reward.split(","))), "mine-gaps": capability.gaps}[name]
         _save(make(jsonl.rollouts(spark, a.rollout)), a.out)
     elif name == "compile-context":
         make = training.context_qa if a.mode == "long_context_qa" else training.router_critic
@@ -90,7 +90,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         _save(rows.select("task_id", router.decide(limits).alias("d")).select("task_id", "d.*"), a.out)
     elif name == "validate":
         rows = jsonl.read(spark, a.input, f"messages array<{schemas.MESSAGE}>, chosen string, rejected string, reward double", strict=False)
-        _save(quality.validate_rows(rows).where(F.size("errors") > 0), a.out)
+        checked = quality.validate_rows(rows).where(F.size("errors") > 0)
+        _save(checked, a.out)
+        if (items := items_of(spark, a)) is not None:
+            said = F.coalesce(F.try_element_at("messages", F.lit(-1))["content"], "chosen", F.lit(""))
+            _show(contamination.check(rows.select("seq", said.alias("text")), items, "seq", "item_id", a.contamination_threshold))
+        return int(a.strict and not checked.isEmpty())
     elif name == "stream-eval":
         return stream_eval(spark, a)
     elif name == "validate-aep":
@@ -155,6 +160,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def items_of(spark: SparkSession, a: argparse.Namespace):
+    """The evaluation items of --eval-items, or None."""
+    if not a.eval_items:
+        return None
+    return jsonl.read(spark, a.eval_items, "item_id string, text string, task string").select("item_id", F.coalesce("text", "task").alias("text"))
+
+
 def stream_eval(spark: SparkSession, a: argparse.Namespace) -> int:
     """Evaluate what a file or folder has; with the same --out and --checkpoint again, what came since."""
     root = (a.out or f"{shared_dir(spark).rstrip('/')}/stream-eval-{uuid.uuid4().hex}").rstrip("/")

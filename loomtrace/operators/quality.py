@@ -138,6 +138,13 @@ def verifier_audit(records: DataFrame) -> DataFrame:
     return row.select("verifier_id", "total", "pass_rate", F.array_join(findings, ",").alias("findings"), F.greatest(F.lit(0.0), 1.0 - lost).alias("strength"))
 
 
+def output_types(rows: DataFrame, by: str = "output_type") -> DataFrame:
+    """Rows of each type and their share; null is a type."""
+    counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n").alias("_all"))  # a row
+    return counted.crossJoin(F.broadcast(total)).select(by, "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
 def benchmark_trust(findings: DataFrame) -> DataFrame:
     """1 less the weights of severities, 0 at least; findings: severity."""
     weight = F.coalesce(*[F.when(F.col("severity") == k, F.lit(v)) for k, v in SEVERITY.items()], F.lit(0.0))

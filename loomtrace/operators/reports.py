@@ -94,8 +94,9 @@ def taxonomy() -> str:
 
 
 def surfaces(found: DataFrame) -> DataFrame:
-    """Each exploit surface of the findings once, in the order of its first check."""
-    return found.where("surface_id is not null").groupBy("surface_id").agg(F.count(F.lit(1)).alias("n"))
+    """Each exploit surface of the findings once, with its findings, in the order of its first check."""
+    place = F.coalesce(*[F.when(F.col("check_id") == c, F.lit(k)) for k, c in enumerate(SURFACES)], F.lit(len(SURFACES)))
+    return found.where("surface_id is not null").groupBy("surface_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).orderBy("first", "surface_id").drop("first")
 
 
 def benchmark_intervals(counts: DataFrame, level: float = 0.95) -> DataFrame:

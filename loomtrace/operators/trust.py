@@ -13,6 +13,11 @@ VERSIONS = ("aep/v0.1", "aep/v0.2", "aep/v0.3", "aep/v0.4")
 CATEGORIES = ("train_sft", "train_dpo", "train_repair", "train_router", "audit_only", "reject")
 WEIGHTS = {"schema_validity": 0.20, "evidence_completeness": 0.25, "policy_compliance": 0.20, "verifier_strength": 0.15, "provenance": 0.10, "contamination_risk": 0.10}
 REQUIRED = ("schema_version", "run_id", "model_id", "repo_commit", "tool_manifest_digest", "actions", "capability_decisions", "verifier_results", "created_at_ms")
+# What lowers an admission score, in the order in which it is said; the last takes the score.
+REASONS = (
+    "invalid schema_version", "no capability_decisions for state-changing run", "no verifier_results", "missing repo_commit or model_id",
+    "missing tool_manifest_digest \u2014 contamination risk elevated", "score %.2f below reject threshold 0.40",
+)
 BUCKETS = (0.0, 0.25, 0.5, 0.6, 0.75, 0.9, 1.0)
 
 
@@ -35,7 +40,7 @@ def evidenced() -> Column:
 
 
 def admission(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """run_id, score, category, the six dimensions, and the columns to ``keep``."""
+    """run_id, score, category, the six dimensions, the reasons, and the columns to ``keep``."""
     n = _n(changing())
     with_digest = _n(F.filter(changing(), lambda a: _text(a["result_digest"]) | _text(a["precondition_digest"])))
     verifiers = _n("verifier_results")
@@ -65,7 +70,10 @@ def admission(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         .when(passed & (F.col("evidence_completeness") >= 0.8), "train_sft")
         .otherwise("train_router")
     )
-    return rows.select("run_id", F.round("score", 4).alias("score"), category.alias("category"), *[F.when(valid, F.col(d)).alias(d) for d in WEIGHTS], *keep)
+    low = [F.col("policy_compliance") < 1, F.col("verifier_strength") == 0, F.col("provenance") < 1, F.col("contamination_risk") < 1]
+    said = F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in zip(low, REASONS[1:5], strict=True)], F.when(F.col("score") < 0.4, F.format_string(REASONS[5], "score"))))
+    reasons = F.when(valid, said).otherwise(F.array(F.lit(REASONS[0])))
+    return rows.select("run_id", F.round("score", 4).alias("score"), category.alias("category"), *[F.when(valid, F.col(d)).alias(d) for d in WEIGHTS], reasons.alias("reasons"), *keep)
 
 
 def admission_summary(records: DataFrame) -> DataFrame:

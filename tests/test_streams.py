@@ -149,3 +149,22 @@ def test_stream_eval_checks_signatures(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["stream-eval", "--input", str(tmp_path / "in"), "--require-signature", "--verifier", "tests.test_streams:refuses", "--no-admission"]) == 0
     row = next(json.loads(x) for x in capsys.readouterr().out.splitlines() if "verdict" in x)
     assert (row["verdict"], row["hard"]) == ("reject", "aep_signature") and "admission" not in row
+
+
+def test_commands_with_their_flags(spark, tmp_path, capsys):
+    records(tmp_path / "v", "rows.jsonl", [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "the quick brown fox jumps over the lazy dog today"}]}, {"messages": []}])
+    records(tmp_path / "v", "items.jsonl", [{"item_id": "i", "text": "the quick brown fox jumps over the lazy dog today"}])
+    flags = ["validate", "--input", str(tmp_path / "v" / "rows.jsonl"), "--eval-items", str(tmp_path / "v" / "items.jsonl")]
+    assert cli.main(flags) == 0 and cli.main([*flags, "--strict"]) == 1
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert any(r.get("jaccard") == 1.0 for r in lines)
+
+
+def test_reasons_and_types(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "output_type string")
+    from loomtrace.operators import quality
+
+    assert {r.output_type: (r.n, r.share) for r in quality.output_types(rows).collect()} == {"a": (1, 0.25), "b": (2, 0.5), None: (1, 0.25)}
+    scored = {r.run_id: r for r in trust.admission(adapters.evidence(spark, SF)).collect()}
+    for r in scored.values():
+        assert (trust.REASONS[3] in r.reasons) == (r.provenance == 0.5) and (trust.REASONS[2] in r.reasons) == (r.verifier_strength == 0.0)

@@ -6,6 +6,7 @@ names, so further columns of any name cannot clash with what it computes.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.shared import checkpointed, forgotten, shared_dir
 
-__all__ = ["SLICE_BYTES", "checkpointed", "forgotten", "free", "map_slices", "numbered", "removed", "salts_for", "scratch", "shared_dir", "slices", "written"]
+__all__ = ["SLICE_BYTES", "checkpointed", "forgotten", "free", "map_slices", "numbered", "released", "removed", "salts_for", "scratch", "shared_dir", "slices", "written"]
 
 #: Text bytes that a Python worker holds at once, beyond a single longer document.
 SLICE_BYTES = 1 << 20
@@ -67,6 +68,12 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that shuffle files and checkpoints of finished steps go now and not at some time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a part of a group.
 PART = 100_000
 

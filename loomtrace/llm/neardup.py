@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import checkpointed, map_slices, removed, scratch, slices
+from loomtrace.llm.common import checkpointed, map_slices, released, removed, scratch, slices
 from loomtrace.llm.components import first_of_each, stars
 from loomtrace.llm.simhash import links, majority
 
@@ -184,7 +184,7 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
         return each
 
-    return checkpointed(map_slices(nodes, task, "key long, node long, bits array<bigint>, fp long, n int"))
+    return map_slices(nodes, task, "key long, node long, bits array<bigint>, fp long, n int")
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -255,6 +255,7 @@ def banded_links(nodes: DataFrame, banded: DataFrame) -> DataFrame:
     pairs = rows.select(F.col("node").alias("a"), F.explode("other").alias("b"), F.lit(1).alias("k")).where("a <> b").unionByName(trie_pairs(banded).withColumn("k", F.lit(BANDS)))
     pairs = pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.sum("k").alias("k"))
     pairs = checkpointed(plausible(pairs, banded))
+    released(nodes.sparkSession)
     likeliest = pairs.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
     found = verified(likeliest, nodes)
     return found.unionByName(verified(apart(pairs.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), stars(found)), nodes))
@@ -274,22 +275,28 @@ def other_links(nodes: DataFrame, banded: DataFrame, roots: DataFrame) -> DataFr
     rows = rows.drop("low", "high").dropDuplicates(["gram", "node"])
     rows = rows.join(roots.select(F.col("a").alias("k"), F.col("b").alias("root")), F.col("node") == F.col("k"), "left").select("gram", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     among = W.partitionBy("gram")
-    rows = checkpointed(rows.withColumn("low", F.min("root").over(among)).withColumn("high", F.max("root").over(among)).where("low <> high").drop("low", "high"))
+    rows, folder = scratch(rows.withColumn("low", F.min("root").over(among)).withColumn("high", F.max("root").over(among)).where("low <> high").drop("low", "high"), "grams")
+    released(nodes.sparkSession)
     a, b = (rows.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root")]) for s in "ab")
     left = "least(n_a - place_a, n_b - place_b)"  # the most that sets can share from this gram on
     pairs = a.join(b, "gram").where(f"node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * ({left}) >= 4 * (n_a + n_b)")
-    return verified(plausible(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), banded), nodes)
+    found = verified(plausible(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), banded), nodes)
+    removed(nodes.sparkSession, folder)
+    return found
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest id among the near copies reachable."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     nodes = df.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    banded = _banded(nodes)
+    banded, folder = scratch(_banded(nodes), "bands")
     roots = stars(banded_links(nodes, banded))
+    released(df.sparkSession)
     roots = stars(roots.unionByName(other_links(nodes, banded, roots)))
+    removed(df.sparkSession, folder)
     ids = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"))
     classes = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
+    released(df.sparkSession)
     rooted = checkpointed(classes.join(roots.select(F.col("a").alias("k"), F.col("b").alias("root")), F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = rooted.join(named, "root").select(F.col("node").alias("k"), "component_id")

@@ -79,3 +79,33 @@ def test_degenerate_tables(spark):
     assert got == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
     none = df.limit(0)
     assert lm.score(none, *lm.fit(none, rounds=1)).count() == 0
+
+
+def test_a_round_equals_a_plain_loop(spark):
+    """Partitions walk their batches position by position; their parameters are averaged by positions."""
+    texts = [corpus(3, 5), corpus(5, 6)]
+    vocab = lm.Vocabulary({w: k for k, w in enumerate(sorted({w for part in texts for t in part for w in t.split()})[:90])})
+    net = lm.Network.initial(np.full(lm.TOKENS, 1 / lm.TOKENS))
+    total, weight = np.zeros(len(net.flat)), 0
+    for part in texts:
+        own, seen = lm.Network(net.flat.copy()), np.full(len(net.flat), 1e-4)
+        ids = [[vocab[w] for w in t.lower().split()] for t in part]
+        at = [(k, i) for k, x in enumerate(ids) for i in range(len(x)) if (i + len(x)) % 2 == 1]
+        order = np.random.default_rng([1, 0, len(at)]).permutation(len(at))
+        size = max(lm.BATCH, len(at) // 16)
+        for a in range(0, len(order), size):
+            chosen = [at[j] for j in order[a : a + size]]
+            mean = np.zeros(len(net.flat))
+            for k, i in chosen:
+                one = lm.Network(np.zeros(len(net.flat), np.float32))
+                side = [ids[k][j] if 0 <= j < len(ids[k]) else lm.PAD for j in (i - 2, i - 1, i + 1, i + 2)]
+                own.gradient(np.array([side]), np.array([ids[k][i]]), one)
+                mean += one.flat / len(chosen)
+            seen += mean**2
+            own.flat -= (lm.RATE * mean / np.sqrt(seen)).astype(np.float32)
+        total += own.flat.astype(np.float64) * len(at)
+        weight += len(at)
+    rows = [(t,) for part in texts for t in part]
+    parts = spark.sparkContext.parallelize([rows[:3], rows[3:]], 2).flatMap(lambda x: x).toDF("text string")
+    got = lm.train(parts, vocab, net, masked=0.5, seed=1)
+    assert np.abs(got.flat - total / weight).max() < 2e-3 and np.abs(got.flat - net.flat).max() > 0.05

@@ -65,3 +65,56 @@ def test_no_labels_and_no_rows(spark):
     assert [r.score for r in toxicity.score(docs, model).collect()] == [0.0]
     assert toxicity.keep(docs, model).count() == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def plain_fit(texts, labels, rounds):
+    """The fitting word by word and window by window; (vectors by bucket, weights, biases)."""
+    kept = [(toxicity.words(t), y) for t, y in zip(texts, labels) if toxicity.words(t)]
+    bags = {w: toxicity.grams(w) for x, _ in kept for w in x}
+    used = sorted({b for bag in bags.values() for b in bag})
+    rng = np.random.default_rng(7)
+    v = dict(zip(used, rng.uniform(-1, 1, (len(used), toxicity.WIDTH)) / toxicity.WIDTH))
+    weights, biases = rng.uniform(-1, 1, (2, toxicity.WIDTH)), np.zeros(2)
+    seen_v, seen_w, seen_b = dict.fromkeys(used, 1e-8), np.full(2, 1e-8), 1e-8
+    for step in range(rounds):
+        sharp = 1 + 9 * min(1.0, step / (0.6 * toxicity.ROUNDS))
+        d = weights[1] - weights[0]
+        score = {w: np.mean([v[b] @ d for b in bag]) for w, bag in bags.items()}
+        slope_word, slope_b = dict.fromkeys(bags, 0.0), 0.0
+        for x, y in kept:
+            n = min(toxicity.WINDOW, len(x))
+            spans = [x[i : i + n] for i in range(len(x) - n + 1)]
+            logit = np.array([np.mean([score[w] for w in s]) for s in spans]) + biases[1] - biases[0]
+            share = np.exp(sharp * (logit - logit.max()))
+            share /= share.sum()
+            r = (1 / (1 + np.exp(-share @ logit)) - y) / len(kept)
+            slope_b += r
+            for s, p in zip(spans, share):
+                for w in s:
+                    slope_word[w] += p * r / n
+        slope_gram = dict.fromkeys(used, 0.0)
+        for w, bag in bags.items():
+            for b in bag:
+                slope_gram[b] += slope_word[w] / len(bag)
+        slope = sum(g * v[b] for b, g in slope_gram.items())
+        for b, g in slope_gram.items():
+            seen_v[b] += g**2 * (d @ d) / toxicity.WIDTH
+            v[b] = v[b] - toxicity.RATE * g / np.sqrt(seen_v[b]) * d
+        g = np.stack([-slope, slope])
+        seen_w += (g**2).mean(axis=1)
+        weights = weights - toxicity.RATE * 0.2 * g / np.sqrt(seen_w)[:, None]
+        seen_b += slope_b**2
+        biases = biases + toxicity.RATE * np.array([1, -1]) * slope_b / np.sqrt(seen_b)
+    return v, weights, biases
+
+
+def test_fitting_equals_a_plain_loop(monkeypatch):
+    texts = ["the house idiot", "river and the", "moron", "", "an unbroken-andverylong-word is idiot here", "the the the river", None, "blend is"]
+    labels = [1, 0, 1, 0, 1, 0, 1, 0]
+    rounds = 6
+    monkeypatch.setattr(toxicity, "ROUNDS", rounds)
+    model = toxicity.fit(texts, labels)
+    v, weights, biases = plain_fit(texts, labels, rounds)
+    assert np.allclose(model.weights, weights, atol=1e-5) and np.allclose(model.biases, biases, atol=1e-6)
+    assert all(np.allclose(model.vectors[b], x, atol=1e-5) for b, x in v.items())
+    assert np.count_nonzero(model.vectors.any(axis=1)) == len(v)

@@ -9,6 +9,7 @@ from loomtrace.functions.running import at_ranks
 from loomtrace.functions.text import injection_signal, short_hash
 
 ISSUE = "struct<level:string,check:string,value:double,threshold:double>"
+# What a finding of each severity costs; the checks' names, levels and bounds below are fixed too.
 SEVERITY = {"critical": 0.4, "high": 0.2, "medium": 0.1, "low": 0.05, "info": 0.0}
 
 

@@ -16,11 +16,13 @@ ENTRY = "id string, type string, version string, digest string, path string, met
 EVENT = f"seq long, event string, ts timestamp, {ENTRY}"
 CHECKPOINT = "checkpoint_id string, mode string, dataset_version string, base_ref string, status string, path string, metrics map<string,double>, created_at_ms long"
 MODES = ("sft", "dpo", "ppo")
+#: Entries of an index.
+MOST = 100_000
 ORCHESTRATORS = ("local", "slurm", "kubernetes", "ray")
 
 
 class Registry:
-    """Entries by id; the log has every change, ``save`` writes the index of what is live."""
+    """Entries by id; the log has every change, ``save`` writes the index of what is live. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str, types: tuple[str, ...] = ()):
         self.spark, self.root, self.types = spark, root.rstrip("/"), types
@@ -64,7 +66,12 @@ class Registry:
         return self.entries().where(F.col("type") == kind)
 
     def save(self, sign=None) -> str:
-        """Write the index as one JSON text, signed by ``sign`` (bytes -> text) if given; its digest."""
+        """Write the index as one JSON text, signed by ``sign`` (bytes -> text) if given; its digest.
+
+        The index is one signed document, so it passes through the driver: ``MOST`` entries at most, else an error.
+        """
+        if self.entries().limit(MOST + 1).count() > MOST:
+            raise ValueError(f"an index has at most {MOST} entries; read the live ones with entries()")
         text = json.dumps({"entries": [r.asDict() for r in self.entries().collect()]}, indent=2, ensure_ascii=False, default=str)
         parts = {"index": text} | ({"signature": sign(text.encode())} if sign else {})
         for name, value in parts.items():

@@ -56,6 +56,7 @@ def label(max_rounds: int = 3, failed_rounds: int = 2) -> Column:
 def decide(limits: Limits = Limits()) -> Column:
     """struct(label, reason) by the ordered rules over the feature columns."""
     f = F.col
+    # The order of the rules and the texts of their reasons.
     rules = [
         (f("eval_escalated") != 0, LARGE, F.lit("already escalated in prior round")),
         (f("eval_repair_rounds") > limits.max_repair_rounds, LARGE, F.format_string(f"repair_rounds=%d > threshold={limits.max_repair_rounds}", "eval_repair_rounds")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Channels that a repair of the surface can mend.
 FIRST_CLASS = ("A_truncated", "A_extract_v2", "B_stepwise", "B_selfcorrect_regress", "C_token")
 
 

@@ -45,7 +45,8 @@ def admit(batch: DataFrame, admitted: DataFrame, quotas: DataFrame, today: Colum
     """Per tenant of the batch: what it asks for, what it has, and the first limit that it would exceed.
 
     ``batch`` and ``admitted`` have tenant_id, subject_id, n_bytes and day; quotas: tenant_id and the
-    three limits, null for none. A tenant's batch is admitted whole or not at all, each on its own.
+    three limits, null for none, a row a tenant, which is a dimension small enough to broadcast. A tenant's
+    batch is admitted whole or not at all, each on its own.
     """
     named = F.when(F.col("subject_id") != "", F.col("subject_id"))
     asked = batch.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_bytes").cast("long").alias("n_bytes"), F.count_distinct(named).alias("n_subjects"))

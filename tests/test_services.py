@@ -191,3 +191,19 @@ def test_positions_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r.position, r.correct) for r in rows] == [(i, i % 3 == 0) for i in range(2000)]
+
+
+def test_smaller_parts(spark, tmp_path):
+    from loomtrace.functions import scrub as s
+    from loomtrace.streaming import compliance
+
+    p = put(tmp_path / "router.jsonl", [{"task_id": "t", "features": {"taskspec_n_hard": 2}, "label": "need_repair", "provenance": {"source": "x"}}])
+    r = runs.load_router_records(spark, p).first()
+    assert (r.features.taskspec_n_hard, r.label, r.provenance.source) == (2, "need_repair", "x")
+    found = stats.self_test(spark, 60, 0.6, 0.6, seeds=3, n_iter=50)
+    assert stats.self_test_summary(found).first().n_seeds == 3 and all(x.ci_lo <= x.delta <= x.ci_hi for x in found.collect())
+    checked = spark.createDataFrame([("s", "1", 1, "aep_schema", None), ("s", "2", 2, None, "evidence_complete"), ("s", "3", 3, "no_injection_signal", None), ("s", "4", 4, None, None)], "subject string, run_id string, seq long, hard string, soft string")
+    scores = spark.createDataFrame([("2", 0.5, "audit_only"), ("1", 0.1, "reject")], "run_id string, score double, category string")
+    got = {x.run_id: x for x in compliance.feedback(checked, scores, 1).collect()}
+    assert [v.constraint_id for v in got["3"].violations] == ["no_injection_signal", "subject_violation_budget"] and got["1"].violations[0].category == "format"
+    assert got["2"].category == "audit_only" and got["1"].score is None and got["4"].verdict == "quarantine"

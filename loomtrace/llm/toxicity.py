@@ -45,6 +45,8 @@ BUCKETS, WIDTH, WINDOW = 1 << 18, 16, 2
 SAMPLE, SAMPLE_CHARS = 2000, 8_000_000
 ROUNDS, RATE = 80, 0.5
 THRESHOLD = 0.7
+#: n-grams that fitting looks at at once.
+BLOCK = 1 << 20
 TABLE = 300_000
 #: Characters of a word's stretches, and from one to the next.
 PIECE, STEP = 16, 8
@@ -138,10 +140,14 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     n_grams, flat = np.frombuffer(n_list, np.int32), np.frombuffer(flat_list, np.int32)
     n_words = len(n_grams)
     starts = np.cumsum(n_grams) - n_grams
-    used = np.unique(flat)
-    flat = np.searchsorted(used, flat).astype(np.int32)
-    own = np.repeat((1.0 / n_grams).astype(np.float32), n_grams)
-    of_word = np.repeat(np.arange(n_words, dtype=np.int32), n_grams)
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    flat = place[flat]
+    del flat_list, index
+    # n-grams are looked at in blocks of words, so that what a step makes of them stays small
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(flat), BLOCK)), n_words))
+    blocks = [(slice(a, b), slice(int(starts[a]), int(starts[b - 1] + n_grams[b - 1]))) for a, b in zip(cuts[:-1], cuts[1:])]
     # one window begins at each word of a text that has WINDOW words after it, at least one a text
     width = np.minimum(WINDOW, sizes)
     n_windows = sizes - width + 1
@@ -156,7 +162,9 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     for step in range(ROUNDS):
         sharp = 1.0 + 9.0 * min(1.0, step / (0.6 * ROUNDS))
         d = weights[1] - weights[0]
-        score = np.add.reduceat((vectors @ d)[flat] * own, starts)
+        value, score = vectors @ d, np.empty(n_words)
+        for w, g in blocks:
+            score[w] = np.add.reduceat(value[flat[g]], starts[w] - starts[w][0]) / n_grams[w]
         sums = np.concatenate([[0.0], np.cumsum(score[tokens])])
         logit = (sums[end] - sums[begin]) / width[of_text] + biases[1] - biases[0]
         most = np.maximum.reduceat(logit, first)
@@ -169,7 +177,9 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         at_window = share * r[of_text] / width[of_text]
         steps = np.bincount(begin, at_window, len(tokens) + 1) - np.bincount(end, at_window, len(tokens) + 1)
         at_word = np.bincount(tokens, np.cumsum(steps)[:-1], n_words)
-        at_gram = np.bincount(flat, at_word[of_word] * own, len(used))
+        at_gram = np.zeros(len(used))
+        for w, g in blocks:
+            at_gram += np.bincount(flat[g], np.repeat(at_word[w] / n_grams[w], n_grams[w]), len(used))
         slope = at_gram @ vectors
         seen_v += at_gram**2 * (d @ d) / WIDTH
         vectors -= RATE * (at_gram / np.sqrt(seen_v))[:, None] * d
@@ -189,7 +199,7 @@ def sampled(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "do
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     own = own.where(train).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= sample_chars)
-    sizes = texts.join(own.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi").groupBy("id").agg(F.length(F.min("t")).cast("long").alias("size"))
+    sizes = texts.select("id", F.length("t").alias("n")).join(own.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi").groupBy("id").agg(F.max("n").cast("long").alias("size"))
     known = own.join(sizes, "id").withColumn("h", F.xxhash64("id"))
     least = lambda y: known.where(F.col("y") == y).orderBy("h", "id").limit(sample)
     upto = F.sum("size").over(W.partitionBy("y").orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0))

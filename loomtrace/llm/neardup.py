@@ -44,6 +44,8 @@ WORDS, TABLE, ERRORS = 5, 300_000, 3
 BANDS, ROWS, BITS = 16, 3, 512
 #: Places of the counts, places of a block of them, and texts by which a task knows copies before it begins anew.
 COUNTERS, BLOCK, KNOWN = 1 << 24, 1 << 16, 100_000
+#: Nodes of pairs up to which they are broadcast to the texts.
+BROADCAST = 2_000_000
 _RNG = np.random.default_rng(5)
 _PLACE = _RNG.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -213,18 +215,24 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
 
 def plausible(pairs: DataFrame, banded: DataFrame) -> DataFrame:
     """The pairs (a, b), with all their columns, that sizes and bitmaps don't rule out."""
-    one = banded.where("bits is not null").select("node", "n", "bits").dropDuplicates(["node"])
+    pairs = checkpointed(pairs)
+    one = _of_pairs(pairs, banded.where("bits is not null").select("node", "n", "bits"))
     side = lambda c: one.select(*[F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "bits")])
     differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(BITS // 64))
     joined = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
     return joined.where(f"5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * ({differ}) <= n_a + n_b").select(*pairs.columns)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _of_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of the nodes of the pairs (a, b), once each; other rows move only where those nodes are too many to broadcast."""
+    wanted = checkpointed(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, F.col("node") == F.col("k"), "left_semi").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are near copies."""
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    texts, folder = scratch(nodes.join(wanted, F.col("node") == F.col("k"), "left_semi").dropDuplicates(["node"]), "texts")
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text")), "b")
 
     def task():
@@ -234,9 +242,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
         return each
 
-    found = checkpointed(map_slices(sides.select("a", "b", "x", "text"), task, "a long, b long"))
-    removed(nodes.sparkSession, folder)
-    return found
+    return checkpointed(map_slices(sides.select("a", "b", "x", "text"), task, "a long, b long"))
 
 
 def trie_pairs(banded: DataFrame) -> DataFrame:
@@ -256,9 +262,12 @@ def banded_links(nodes: DataFrame, banded: DataFrame) -> DataFrame:
     pairs = pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.sum("k").alias("k"))
     pairs = checkpointed(plausible(pairs, banded))
     released(nodes.sparkSession)
+    texts, folder = scratch(_of_pairs(pairs, nodes), "texts")
     likeliest = pairs.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
-    found = verified(likeliest, nodes)
-    return found.unionByName(verified(apart(pairs.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), stars(found)), nodes))
+    found = verified(likeliest, texts)
+    found = found.unionByName(verified(apart(pairs.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), stars(found)), texts))
+    removed(nodes.sparkSession, folder)
+    return found
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -280,8 +289,11 @@ def other_links(nodes: DataFrame, banded: DataFrame, roots: DataFrame) -> DataFr
     a, b = (rows.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root")]) for s in "ab")
     left = "least(n_a - place_a, n_b - place_b)"  # the most that sets can share from this gram on
     pairs = a.join(b, "gram").where(f"node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * ({left}) >= 4 * (n_a + n_b)")
-    found = verified(plausible(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), banded), nodes)
-    removed(nodes.sparkSession, folder)
+    pairs = checkpointed(plausible(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), banded))
+    texts, text_folder = scratch(_of_pairs(pairs, nodes), "texts")
+    found = verified(pairs, texts)
+    for path in (folder, text_folder):
+        removed(nodes.sparkSession, path)
     return found
 
 

@@ -4,7 +4,13 @@ Every stage works on all rows that its predecessor kept. All but the last return
 ``documents``: quality rules and toxicity drop the documents they reject, near-dedup (operator 7's trie
 join over five-word shingles, completed and verified at a Jaccard of 0.8) keeps the document of each group
 with the smallest id, PII replaces personal data in the texts by its kind
-(``n_chars`` follows the new text), and packing gives the pieces of the token sequences.
+(``n_chars`` follows the new text, if there is such a column), and packing gives the pieces of the token
+sequences.
+
+Null texts count as empty: quality rules reject them, so no later stage has one. Equal texts get equal
+verdicts, and of rows equal in id and text one stays; of a group of near copies the smallest id stays, and
+rows without an id stay. Very long texts cost time and memory in proportion to their length. An empty table
+passes through every stage. Further columns of any name are kept, and no stage computes with them.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

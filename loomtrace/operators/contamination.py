@@ -109,8 +109,11 @@ BROADCAST_PAIRS = 500_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def char_grams(text: str | None, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Sorted hashes of the distinct substrings of each size of the lower-cased text; a size's hash is the next smaller one's and one more character."""
+def char_grams(text: str | None, sizes: tuple[int, ...], most: dict[int, int] | None = None) -> dict[int, np.ndarray]:
+    """Sorted hashes of the distinct substrings of each size of the lower-cased text; a size's hash is the next smaller one's and one more character.
+
+    A size of which the text's beginning alone has more than ``most`` is left out.
+    """
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     rolled, power, out = np.zeros(len(codes), np.uint64), np.uint64(1), {}
     for k in range(1, max(sizes) + 1):
@@ -122,7 +125,8 @@ def char_grams(text: str | None, sizes: tuple[int, ...]) -> dict[int, np.ndarray
             h = rolled + np.uint64(k)
             for m in _MIX:
                 h = (h ^ (h >> np.uint64(31))) * m
-            out[k] = np.unique(h)
+            if most is None or len(np.unique(h[: most[k] + most[k] // 2 + 64])) <= most[k]:
+                out[k] = np.unique(h)
     return out
 
 
@@ -156,14 +160,16 @@ def _prefixes(df: DataFrame, id_col: str, out: str, sizes: tuple[int, ...], thre
     """
     kind = df.schema[id_col].dataType.simpleString()
 
+    limit = None if most is None else {k: math.floor(m / threshold + 1e-6) for k, m in most.items()}
+
     def run(batches):
         known = counts.value
         for b in batches:
             rows, parts = [], []
             for i, t in enumerate(b.column("text")):
-                for k, grams in char_grams(t.as_py(), sizes).items():
+                for k, grams in char_grams(t.as_py(), sizes, limit).items():
                     n = len(grams)
-                    if most is not None and n * threshold > most[k] + 1e-9:
+                    if limit is not None and n > limit[k]:
                         continue
                     keep = n - math.ceil(n * threshold - 1e-9) + 1
                     often = known[(grams % np.uint64(SKETCH)).astype(np.int64)]

@@ -148,13 +148,11 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     # n-grams are looked at in blocks of words, so that what a step makes of them stays small
     cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(flat), BLOCK)), n_words))
     blocks = [(slice(a, b), slice(int(starts[a]), int(starts[b - 1] + n_grams[b - 1]))) for a, b in zip(cuts[:-1], cuts[1:])]
-    # one window begins at each word of a text that has WINDOW words after it, at least one a text
+    # one window begins at each word of a text that has WINDOW words after it, at least one a text; texts too in blocks
     width = np.minimum(WINDOW, sizes)
-    n_windows = sizes - width + 1
-    first = np.cumsum(n_windows) - n_windows
-    of_text = np.repeat(np.arange(len(y), dtype=np.int32), n_windows)
-    begin = np.arange(int(n_windows.sum())) - first[of_text] + (np.cumsum(sizes) - sizes)[of_text]
-    end = begin + width[of_text]
+    n_windows, offset = sizes - width + 1, np.cumsum(sizes) - sizes
+    cuts = np.unique(np.append(np.searchsorted(offset, np.arange(0, len(tokens), BLOCK // 4)), len(y)))
+    parts_of = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (len(used), WIDTH)) / WIDTH
     weights, biases = rng.uniform(-1, 1, (2, WIDTH)), np.zeros(2)
@@ -165,18 +163,25 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         value, score = vectors @ d, np.empty(n_words)
         for w, g in blocks:
             score[w] = np.add.reduceat(value[flat[g]], starts[w] - starts[w][0]) / n_grams[w]
-        sums = np.concatenate([[0.0], np.cumsum(score[tokens])])
-        logit = (sums[end] - sums[begin]) / width[of_text] + biases[1] - biases[0]
-        most = np.maximum.reduceat(logit, first)
-        soft = np.exp(sharp * (logit - most[of_text]))
-        total = np.add.reduceat(soft, first)
-        # a soft maximum between the mean (at first) and the largest window
-        share = soft / total[of_text]
-        z = np.add.reduceat(share * logit, first)
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        at_window = share * r[of_text] / width[of_text]
-        steps = np.bincount(begin, at_window, len(tokens) + 1) - np.bincount(end, at_window, len(tokens) + 1)
-        at_word = np.bincount(tokens, np.cumsum(steps)[:-1], n_words)
+        at_word, slope_b = np.zeros(n_words), 0.0
+        for t in parts_of:
+            own, first = tokens[offset[t][0] : offset[t][-1] + sizes[t][-1]], np.cumsum(n_windows[t]) - n_windows[t]
+            of_text = np.repeat(np.arange(len(first), dtype=np.int32), n_windows[t])
+            begin = np.arange(len(of_text)) + (offset[t] - offset[t][0] - first)[of_text]
+            wide = width[t][of_text]
+            end = begin + wide
+            sums = np.concatenate([[0.0], np.cumsum(score[own])])
+            logit = (sums[end] - sums[begin]) / wide + biases[1] - biases[0]
+            most = np.maximum.reduceat(logit, first)
+            soft = np.exp(sharp * (logit - most[of_text]))
+            # a soft maximum between the mean (at first) and the largest window
+            share = soft / np.add.reduceat(soft, first)[of_text]
+            z = np.add.reduceat(share * logit, first)
+            r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[t]) / len(y)
+            at_window = share * r[of_text] / wide
+            steps = np.bincount(begin, at_window, len(own) + 1) - np.bincount(end, at_window, len(own) + 1)
+            at_word += np.bincount(own, np.cumsum(steps)[:-1], n_words)
+            slope_b += r.sum()
         at_gram = np.zeros(len(used))
         for w, g in blocks:
             at_gram += np.bincount(flat[g], np.repeat(at_word[w] / n_grams[w], n_grams[w]), len(used))
@@ -186,7 +191,6 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         g = np.stack([-slope, slope])
         seen_w += (g**2).mean(axis=1)
         weights -= RATE * 0.2 * g / np.sqrt(seen_w)[:, None]
-        slope_b = r.sum()
         seen_b += slope_b**2
         biases += RATE * np.array([1, -1]) * slope_b / np.sqrt(seen_b)
     full = np.zeros((BUCKETS, WIDTH), np.float32)

@@ -48,6 +48,14 @@ def test_equals_a_loop(spark, per_day, storage, sizes, hot):
     assert found(spark, rows, per_day, storage, hot) == by_hand(rows, per_day, storage)
 
 
+@pytest.mark.parametrize(("per_day", "storage", "hot"), [(3, 900, 30), (3, None, 30), (2, 300, 1000), (None, 700, 25), (20, 2000, 30)])
+@pytest.mark.parametrize("length", [1, 7, 45])
+def test_a_day_that_comes_back_is_counted_anew(spark, per_day, storage, hot, length):
+    rng = random.Random(length)
+    rows = [(rng.choice(["a", "a", "a", "b"]), k, f"2024-01-0{k // length % 3 + 1}", rng.choice([1, 5, 30])) for k in range(300)]
+    assert found(spark, rows, per_day, storage, hot) == by_hand(rows, per_day, storage)
+
+
 def test_empty_and_null_orders(spark):
     empty = spark.createDataFrame([], "tenant string, seq long, day string, size long")
     assert quota.within_quota(empty, "tenant", F.col("day"), "seq", F.col("size"), 1, 1).count() == 0

@@ -102,8 +102,8 @@ def episode_reward() -> Column:
     return F.when(F.col("objective_status") == "unknown", 0.0).otherwise(F.least(F.lit(1.0), F.col("objective_score") + bonus))
 
 
-def episode_steps(rollouts: DataFrame) -> DataFrame:
-    """Two steps a tool call (agent, environment) and a terminal agent step: 2k + 1 rows a branch."""
+def branch_steps() -> Column:
+    """The steps of a branch as an array: two a tool call (agent, environment) and a terminal agent step."""
     step = lambda role, content, tool, index, error: F.struct(F.lit(role).alias("role"), content.alias("content"), tool.alias("tool_name"), index.alias("tool_call_index"), error.alias("is_error"))
     null = F.lit(None)
     calls = F.flatten(
@@ -115,8 +115,12 @@ def episode_steps(rollouts: DataFrame) -> DataFrame:
             ),
         )
     )
-    last = F.array(step("agent", F.col("final_answer"), null.cast("string"), null.cast("int"), null.cast("boolean")))
-    rows = rollouts.select("rollout_id", "branch_index", F.concat_ws("/", "rollout_id", "branch_index").alias("episode_id"), (2 * F.size("tools")).alias("_last"), episode_reward().alias("_reward"), F.posexplode(F.concat(calls, last)).alias("step_index", "_s"))
+    return F.concat(calls, F.array(step("agent", F.col("final_answer"), null.cast("string"), null.cast("int"), null.cast("boolean"))))
+
+
+def episode_steps(rollouts: DataFrame) -> DataFrame:
+    """2k + 1 rows a branch of k tool calls, as ``branch_steps`` has them."""
+    rows = rollouts.select("rollout_id", "branch_index", F.concat_ws("/", "rollout_id", "branch_index").alias("episode_id"), (2 * F.size("tools")).alias("_last"), episode_reward().alias("_reward"), F.posexplode(branch_steps()).alias("step_index", "_s"))
     done = F.col("step_index") == F.col("_last")
     return rows.select("rollout_id", "branch_index", "episode_id", "step_index", "_s.*", F.when(done, F.col("_reward")).alias("reward"), done.alias("done"))
 

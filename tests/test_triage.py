@@ -81,3 +81,22 @@ def test_a_changed_table_changes_tags(spark):
     assert tagged(tools=own) == [["release", "risk", "tool_selection"], ["tool_selection"]]
     keys = F.array(F.lit("sealed"))
     assert tagged(verifier_keys=keys, verifiers=spark.createDataFrame([("sealed", "custody")], "phrase string, tag string"))[0] == ["custody", "tool_selection"]
+
+
+def test_gaps_as_bits_equal_gaps_as_strings(spark):
+    """The table of tools that the built-in one is gives the same gaps, also where a branch has two rows; steps as bits make no rows."""
+    import io
+    from contextlib import redirect_stdout
+
+    from loomtrace.plans import adapters
+
+    rolled = adapters.rollouts(spark, "/root/testdata/sf0.001").where("p % 3 = 0")
+    twice = rolled.unionByName(rolled.where("p % 2 = 0").withColumn("branch_index", F.lit(1)))
+    table = spark.createDataFrame(list(capability.TOOL_TAGS.items()), "phrase string, tag string")
+    bits = capability.gaps(twice)
+    got, want = (sorted(map(tuple, d.collect())) for d in (bits, capability.gaps(twice, table)))
+    assert got == want and len(got) > 20
+    plan = io.StringIO()
+    with redirect_stdout(plan):
+        bits.explain()
+    assert "posexplode" not in plan.getvalue()

@@ -57,12 +57,13 @@ def ranges(rows: DataFrame, keys: list[str], order: str, hot: int = HOT, most: i
     kept = written(rows, "running")
     kept = kept.withColumn("_place", place(kept, order))
     large = hot_keys(kept, keys, hot).drop("_rows")
-    own = kept.join(large, same_keys(keys)).groupBy(*large.columns)
+    # few keys are hot, so both tables go to the rows: a join by key would read a whole key in one task
+    own = kept.join(F.broadcast(large), same_keys(keys)).groupBy(*large.columns)
     cuts = own.agg(F.percentile_approx("_place", [k / parts for k in range(1, parts)], 20 * parts).alias("_cuts"), F.count(F.lit(1)).alias("_rows"))
     # the last cut below the row's place, by halving
     steps = F.array(*[F.lit(1 << k) for k in range(parts.bit_length() - 1, -1, -1)])
     part = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_cuts", at + step - 1) < F.col("_place"), step).otherwise(0))
-    return kept.join(cuts, same_keys(keys), "left").withColumn("_part", F.when(F.col("_rows").isNotNull(), part)).select(*rows.columns, "_part")
+    return kept.join(F.broadcast(cuts), same_keys(keys), "left").withColumn("_part", F.when(F.col("_rows").isNotNull(), part)).select(*rows.columns, "_part")
 
 
 def running(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column], ties: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:

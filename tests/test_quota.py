@@ -115,3 +115,18 @@ def test_retention_refuses_ages_that_cross(spark):
     for hot, gone in ((-1, None), (10, 5)):
         with pytest.raises(ValueError):
             routing.retention(days, "dt", F.current_timestamp(), hot, gone)
+
+
+def test_no_task_of_the_ranges_reads_a_whole_key(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = ranges(spark.createDataFrame([("a", k) for k in range(300)], "key string, at long"), ["key"], "at", 50)
+        plan = io.StringIO()
+        with redirect_stdout(plan):
+            cut.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan.getvalue() and "SortMergeJoin" not in plan.getvalue()

@@ -14,7 +14,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 def _mapped(one):
     @F.pandas_udf(StringType())
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else one(json.loads(t)))
+        known = {t: one(json.loads(t)) for t in text.unique() if t is not None}  # a text that recurs in the batch is read once
+        return text.map(lambda t: None if t is None else known[t])
 
     return run
 

@@ -127,7 +127,8 @@ def episode_steps(rollouts: DataFrame) -> DataFrame:
 
 def transitions(rollouts: DataFrame, dims: tuple[str, ...] = ("build", "policy", "cost")) -> DataFrame:
     """One transition a tool call and a terminal one that carries the reward's parts."""
-    ref = lambda end: F.format_string(f"trace://%s/%d/step/%d/{end}", "rollout_id", "branch_index", "step_index")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    ref = lambda end: F.concat(F.lit("trace://"), named("rollout_id"), F.lit("/"), named("branch_index"), F.lit("/step/"), named("step_index"), F.lit(f"/{end}"))
     total = F.size("tools")
     build = F.when(F.col("objective_status") == "pass", 1.0).otherwise(0.0) if "build" in dims else F.lit(0.0)
     cost = F.greatest(F.lit(-0.1), -0.01 * F.greatest(F.lit(0), total - 1)) if "cost" in dims else F.lit(0.0)
@@ -254,8 +255,9 @@ def cross_mode_dpo(records: DataFrame, seq: str, include_boundary: bool = True)
 
 def cross_mode_summary(records: DataFrame, seq: str) -> DataFrame:
     """Counts over tasks and models that have all three modes."""
-    last = records.groupBy("task_id", "model", "mode").agg(F.max_by("final_pass", seq).alias("p"))
-    wide = last.groupBy("task_id", "model").pivot("mode", list(MODES)).agg(F.first("p")).where("direct is not null and prompt_retry is not null and full_pcl is not null")
+    # one aggregation with a mode's last outcome a column, as a row a mode would be held in two tables of a task
+    last = [F.max_by("final_pass", F.when(F.col("mode") == m, F.col(seq))).alias(m) for m in MODES]
+    wide = records.groupBy("task_id", "model").agg(*last).where(" and ".join(f"{m} is not null" for m in MODES))
     count = lambda text: F.count_if(F.expr(text))
     return wide.agg(
         F.count(F.lit(1)).alias("tasks_with_all_3_modes"),

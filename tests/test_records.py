@@ -199,3 +199,36 @@ def test_telemetry_datasets_and_harness(spark, tmp_path):
     assert ran.where("error is not null").count() == 5
     m = metrics.group_metrics(ran.where("error is null")).first()
     assert m.taskspec_pass_rate == 0.4 and m.tool_call_validity == 0.5
+
+
+def test_transitions_without_formatters_and_null_ids(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from loomtrace.operators import training
+    from loomtrace.plans import adapters
+
+    rolled = adapters.rollouts(spark, "/root/testdata/sf0.001").where("rollout_id = '1'")
+    rows = training.transitions(rolled)
+    plan = io.StringIO()
+    with redirect_stdout(plan):
+        rows.explain()
+    assert "format_string" not in plan.getvalue()
+    assert all(r.state_ref == f"trace://1/{r.branch_index}/step/{r.step_index}/pre" for r in rows.collect())
+    null = training.transitions(rolled.withColumn("rollout_id", F.lit(None).cast("string")))
+    assert all(r.state_ref.startswith(f"trace://null/{r.branch_index}/") for r in null.collect())
+
+
+def test_mode_summary_is_one_aggregation(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from loomtrace.operators import training
+
+    rows = spark.createDataFrame([("t", "m", mode, seq, ok) for seq, (mode, ok) in enumerate([("direct", True), ("direct", False), ("prompt_retry", False), ("full_pcl", True), ("other", True)])] + [("u", "m", "direct", 9, True)], "task_id string, model string, mode string, seq long, final_pass boolean")
+    found = training.cross_mode_summary(rows, "seq")
+    plan = io.StringIO()
+    with redirect_stdout(plan):
+        found.explain()
+    assert "pivot" not in plan.getvalue()
+    assert found.first().asDict() == {"tasks_with_all_3_modes": 1, "pcl_beats_direct": 1, "pcl_beats_retry": 1, "retry_beats_pcl": 0, "direct_beats_retry": 0, "all_pass_no_signal": 0, "all_fail_no_signal": 0, "only_pcl_passes": 1}

@@ -1,11 +1,13 @@
 """Boosted trees for more than two classes, over Spark: all folds and classes of a round grow together.
 
-Features are cut into bins once, at quantiles, and written with the label and the fold as a narrow table. For
-each level of a round's trees, one job adds up, for every model, class, node, feature and bin, the rows, their
+Features are cut into bins once, at quantiles, and written with the label and the fold as a narrow table. Rows of
+one label, fold and bins have the same gradients, so every ``KEPT`` rounds they are counted once, with those that
+take part in each of these rounds, and the counts are what is learnt from. For each level of a round's trees, one
+job over the counts adds up, for every model, class, node, feature and bin, the rows, their
 gradients and their curvatures of the multinomial loss; the driver picks the splits from these sums, whose
 number depends on the parameters alone. Sums are taken in fixed point, so they don't depend on how rows are
-dealt to tasks or on a task that ran twice. A row's margins follow from the trees; every ``KEPT`` rounds they
-are written with it, so a job looks at few trees.
+dealt to tasks or on a task that ran twice. Margins follow from the trees; those of the rounds before the counts
+are written with them, so a job looks at few trees.
 
 Model k of the folds learns from all rows but those of fold k, the last from all.
 """
@@ -110,20 +112,21 @@ class Boosted:
                     out[:, m, k] += self.settings.rate * tree.value[tree.leaf(x, self.settings.depth)]
         return out
 
-    def sums(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, h: np.ndarray, before: np.ndarray, growing: list[list[Tree]], level: int) -> tuple[np.ndarray, ...]:
-        """Rows, gradients and curvatures by model, class, node of the level, feature and bin."""
+    def sums(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, times: np.ndarray, before: np.ndarray, growing: list[list[Tree]], level: int) -> tuple[np.ndarray, ...]:
+        """Rows, gradients and curvatures by model, class, node of the level, feature and bin; ``times``: how many rows of each kind take part."""
         nodes, features, classes = 1 << level, x.shape[1], len(self.labels)
         shape = (self.models, classes, nodes, features, BINS)
         out = [np.zeros(shape, np.int64) for _ in range(3)]
-        margins, own = self.margins(x, before), drawn(h, len(self.trees), self.settings)
+        margins = self.margins(x, before)
         for m in range(self.models):
-            use = own & (fold != m)
+            use = (times > 0) & (fold != m)
+            n = times[use]
             g, s = gradients(margins[use, m], y[use])
             for k in range(classes):
                 node = growing[m][k].leaf(x[use], level)
                 for f in range(features):
                     at = node * BINS + x[use, f]
-                    for o, w in zip(out, (None, g[:, k], s[:, k]), strict=True):
+                    for o, w in zip(out, (n, g[:, k] * n, s[:, k] * n), strict=True):
                         o[m, k, :, f] += np.rint(np.bincount(at, w, nodes * BINS)).astype(np.int64).reshape(nodes, BINS)
         return tuple(out)
 
@@ -160,45 +163,75 @@ class Boosted:
         return dict(zip(self.columns, (total / max(1, total.sum())).tolist(), strict=True))
 
 
-_BINNED = "y int, fold int, h long, x binary, margins array<double>"
+_BINNED = "y int, fold int, h long, x binary"
 
 
 def _arrays(batch: pa.RecordBatch, features: int):
     x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(batch.num_rows, features)
-    y, fold, h = (batch.column(c).to_numpy() for c in ("y", "fold", "h"))
-    before = batch.column("margins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    return x, y, fold, h, before
+    return x, batch.column("y").to_numpy(), batch.column("fold").to_numpy()
 
 
-def binned(rows: DataFrame, model: Boosted, label: str, id_col: str) -> DataFrame:
-    """One row a sample: class, fold, hash, a byte a feature, and margins of 0."""
-    y = F.coalesce(*[F.when(F.col(label) == x, F.lit(k)) for k, x in enumerate(model.labels)])
-    flat = rows.select(y.alias("y"), "fold", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{k}") for k, c in enumerate(model.columns)])
-    at, size = model.cuts, model.models * len(model.labels)
+def _kinds(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bins, class and fold of the distinct rows, and which of them each row is."""
+    key = np.ascontiguousarray(np.column_stack([y.astype("<i4"), fold.astype("<i4")])).view(np.uint8).reshape(len(x), 8)
+    key = np.ascontiguousarray(np.column_stack([key, x]))
+    _, at, which = np.unique(key.view([("", key.dtype, key.shape[1])]).ravel(), return_index=True, return_inverse=True)
+    return x[at], y[at], fold[at], which.ravel()
+
+
+def binned(flat: DataFrame, model: Boosted) -> DataFrame:
+    """One row a sample: class, fold, hash and a byte a feature."""
+    at = model.cuts
+    y = F.coalesce(*[F.when(F.col("label") == x, F.lit(k)) for k, x in enumerate(model.labels)])
 
     def run(batches):
         for b in batches:
             x = np.stack([np.searchsorted(np.array(at[k]), b.column(f"f{k}").to_numpy(), "left") for k in range(len(at))], axis=1).astype(np.uint8)
-            zeros = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * size, pa.int32()), pa.array(np.zeros(b.num_rows * size)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("y", "fold", "h")], pa.array([r.tobytes() for r in x], pa.binary()), zeros], names=["y", "fold", "h", "x", "margins"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("y", "fold", "h")], pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "fold", "h", "x"])
+
+    return written(flat.withColumn("y", y).where("y is not null").select("y", "fold", "h", *[f"f{k}" for k in range(len(at))]).mapInArrow(run, _BINNED), "binned")
+
+
+def counted(table: DataFrame, model: Boosted, rounds: int) -> DataFrame:
+    """One row a kind of samples, with those that take part in each of the next ``rounds``, and the margins by the trees so far."""
+    features, first, names = len(model.columns), len(model.trees), [f"n{k}" for k in range(rounds)]
+
+    def count(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y, fold, which = _kinds(*_arrays(b, features))
+                h = b.column("h").to_numpy()
+                times = [np.bincount(which, drawn(h, first + k, model.settings), len(x)).astype(np.int64) for k in range(rounds)]
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(fold, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), *map(pa.array, times)], names=["y", "fold", "x", *names])
 
-    return written(flat.where("y is not null").mapInArrow(run, _BINNED), "binned")
+    def margins(batches):
+        for b in batches:
+            x, *_ = _arrays(b, features)
+            flat = model.margins(x, np.zeros((len(x), model.models * len(model.labels)))).reshape(len(x), -1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "margins"])
+
+    kind = "y int, fold int, x binary, " + ", ".join(f"{c} long" for c in names)
+    kinds = table.mapInArrow(count, kind).groupBy("y", "fold", "x").agg(*[F.sum(c).alias(c) for c in names])
+    return written(kinds.mapInArrow(margins, f"{kind}, margins array<double>"), "counted")
 
 
-def _level(table: DataFrame, model: Boosted, growing: list[list[Tree]], level: int) -> tuple[np.ndarray, ...]:
-    features = len(model.columns)
+def _level(kinds: DataFrame, model: Boosted, growing: list[list[Tree]], level: int) -> tuple[np.ndarray, ...]:
+    features, turn = len(model.columns), f"n{len(model.trees) - model.held}"
 
     def run(batches):
         total = None
         for b in batches:
             if b.num_rows:
-                one = model.sums(*_arrays(b, features), growing, level)
+                x, y, fold = _arrays(b, features)
+                before = b.column("margins").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                one = model.sums(x, y, fold, b.column(turn).to_numpy(), before, growing, level)
                 total = one if total is None else tuple(x + y for x, y in zip(total, one, strict=True))
         if total is not None:
             at = np.flatnonzero(total[0])
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(t.ravel()[at], pa.int64()) for t in total]], names=["at", "n", "g", "s"])
 
-    found = table.mapInArrow(run, "at long, n long, g long, s long").groupBy("at").agg(*[F.sum(c).alias(c) for c in "ngs"]).toArrow()
+    found = kinds.select("y", "fold", "x", turn, "margins").mapInArrow(run, "at long, n long, g long, s long").groupBy("at").agg(*[F.sum(c).alias(c) for c in "ngs"]).toArrow()
     shape = (model.models, len(model.labels), 1 << level, features, BINS)
     out = tuple(np.zeros(math.prod(shape), np.int64) for _ in range(3))
     for o, c in zip(out, "ngs", strict=True):
@@ -206,28 +239,22 @@ def _level(table: DataFrame, model: Boosted, growing: list[list[Tree]], level: i
     return tuple(o.reshape(shape) for o in out)
 
 
-def _with_margins(table: DataFrame, model: Boosted) -> DataFrame:
-    features = len(model.columns)
-
-    def run(batches):
-        for b in batches:
-            x, *_, before = _arrays(b, features)
-            flat = model.margins(x, before).reshape(b.num_rows, -1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("y", "fold", "h", "x")], lists], names=b.schema.names)
-
-    return written(table.mapInArrow(run, _BINNED), "margins")
-
-
 def fit(rows: DataFrame, columns: list[str], label: str = "label", id_col: str = "task_id", folds: int = 5, settings: Settings = Settings(), at: list[list[float]] | None = None) -> tuple[Boosted, DataFrame]:
     """The models of all folds and of all rows, and the binned table; ``rows`` have a fold (``dealt``)."""
-    labels = sorted(r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().collect())
-    model = Boosted(list(columns), at or cuts(rows, list(columns)), labels, folds, settings)
-    table, inner = binned(rows, model, label, id_col), (1 << settings.depth) - 1
+    names = [f"f{k}" for k in range(len(columns))]
+    # what the passes below look at, written once
+    flat = written(rows.select(F.col(label).alias("label"), "fold", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f) for c, f in zip(columns, names, strict=True)]), "samples")
+    labels = sorted(r[0] for r in flat.select("label").where("label is not null").distinct().collect())
+    model = Boosted(list(columns), at or cuts(flat, names), labels, folds, settings)
+    table, inner = binned(flat, model), (1 << settings.depth) - 1
     for turn in range(settings.rounds):
+        if turn % KEPT == 0:
+            model.held = 0
+            kinds = counted(table, model, min(KEPT, settings.rounds - turn))
+            model.held = turn
         growing = [[Tree(np.full(inner, -1), np.zeros(inner, np.int64), np.zeros(1 << settings.depth)) for _ in labels] for _ in range(model.models)]
         for level in range(settings.depth + 1):
-            n, g, s = _level(table, model, growing, level)
+            n, g, s = _level(kinds, model, growing, level)
             for m, of_model in enumerate(growing):
                 for k, tree in enumerate(of_model):
                     if level < settings.depth:
@@ -235,9 +262,7 @@ def fit(rows: DataFrame, columns: list[str], label: str = "label", id_col: str =
                     else:
                         tree.value = model.value(g[m, k, :, 0].sum(axis=1), s[m, k, :, 0].sum(axis=1))
         model.trees.append(growing)
-        if (turn + 1) % KEPT == 0:
-            table = _with_margins(table, model)
-            model.held = len(model.trees)
+    model.held = 0
     return model, table
 
 
@@ -247,12 +272,13 @@ def confusion(model: Boosted, table: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x, y, fold, _, before = _arrays(b, features)
-            for which, name in ((fold, fold), (np.full(len(x), model.folds), np.full(len(x), -1))):
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(labels[y], pa.string()), pa.array(labels[model.predicted(x, before, which)], pa.string())], names=["fold", "label", "predicted"])
+            x, y, fold, which = _kinds(*_arrays(b, features))
+            n, before = np.bincount(which, minlength=len(x)), np.zeros((len(x), model.models * len(labels)))
+            for of, name in ((fold, fold), (np.full(len(x), model.folds), np.full(len(x), -1))):
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(labels[y], pa.string()), pa.array(labels[model.predicted(x, before, of)], pa.string()), pa.array(n, pa.int64())], names=["fold", "label", "predicted", "n"])
 
-    rows = table.mapInArrow(run, "fold int, label string, predicted string")
-    return rows.groupBy("fold", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    rows = table.mapInArrow(run, "fold int, label string, predicted string, n long")
+    return rows.groupBy("fold", "label", "predicted").agg(F.sum("n").alias("n"))
 
 
 def scores(counts: list[tuple[str, str, int]]) -> dict[str, float]:

@@ -98,3 +98,13 @@ def test_it_learns(spark):
     found = boosting.cross_validated(spark.createDataFrame(made(400), SCHEMA), ["a", "b", "c"], folds=3, settings=Settings(rounds=8, depth=3, rate=0.3))
     assert found["accuracy"] > 0.8 and found["f1_macro"] > 0.75 and found["importances"]["a"] > found["importances"]["c"]
     assert boosting.scores([("a", "a", 8), ("a", "b", 2), ("b", "b", 5)]) == pytest.approx({"accuracy": 13 / 15, "f1_macro": (16 / 18 + 10 / 12) / 2, "f1_weighted": (16 / 18 * 10 + 10 / 12 * 5) / 15})
+
+
+def test_levels_look_at_counts_of_kinds(spark):
+    """A level's job reads a row a kind of samples; it used to read a row a sample."""
+    rows = [(f"t{k}", "xy"[k % 2], float(k % 3), 0.0, 0.0) for k in range(3000)]
+    model, table = boosting.fit(boosting.dealt(spark.createDataFrame(rows, SCHEMA), "label", "task_id", 2), ["a", "b", "c"], folds=2, settings=Settings(rounds=1, depth=1))
+    kinds = boosting.counted(table, model, 2)
+    assert table.count() == 3000 and kinds.count() <= 12
+    drawn = [boosting.drawn(np.array([r.h for r in table.collect()]), 1 + k, model.settings).sum() for k in range(2)]
+    assert kinds.selectExpr("sum(n0)", "sum(n1)").first() == tuple(drawn)

@@ -5,6 +5,7 @@ Columns stay in the JVM; only Unicode NFKC, which Spark lacks, is an Arrow funct
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -64,6 +65,14 @@ def normalize(text: Column) -> Column:
     return squeeze(nfkc(text))
 
 
+_HIDDEN = re.compile(f"[{INVISIBLE}]")
+
+
+def normalized(text: str | None) -> str | None:
+    """``normalize`` of a text that is in Python already; ``split`` parts at the same white space."""
+    return text if text is None else " ".join(_HIDDEN.sub(" ", text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
+
+
 def _grams(parts: Column, n: int, glue: str) -> Column:
     """Distinct runs of n parts. The parts are bound by a lambda, so that they are computed once, not for every run."""
 

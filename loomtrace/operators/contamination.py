@@ -23,6 +23,8 @@ from loomtrace.shared import checkpointed
 
 #: Characters of evaluation texts up to which their grams (fewer than characters, 24 bytes each) are broadcast.
 BROADCAST_CHARS = 2_000_000
+#: Words of a run by which texts without a common sequence are told.
+SEED = 3
 #: Letters, numbers and underscores of any script, as ``T.WORD``.
 WORDS = re.compile(r"\w+")
 
@@ -48,21 +50,28 @@ def overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, gr
     return shared.select("train", "item", (F.col("shared") / (F.col("train_n") + F.col("item_n") - F.col("shared"))).alias("jaccard")).distinct()
 
 
-def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, n: int = 8, text_col: str = "text") -> DataFrame:
+def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: str, n: int = 8, text_col: str = "text", normalize: bool = False) -> DataFrame:
     """(train, item, jaccard) of n-word sequences, as ``overlaps`` gives them.
 
     With few evaluation texts (a checked size) their sequences go to every task as a table, and each
-    training text is looked through where it lies: nothing is exploded, joined or shuffled. With more,
-    the join of ``overlaps`` is taken.
+    training text is looked through where it lies: nothing is exploded, joined or shuffled. Every sequence of n
+    words holds a run of ``SEED`` words at one of every n - SEED + 1 places, so a text in which no run at
+    those places is an evaluation text's goes no further. With more, the join of ``overlaps`` is taken.
     """
     items = items.dropDuplicates([item_id, text_col])
     if (items.agg(F.sum(F.length(text_col))).first()[0] or 0) > BROADCAST_CHARS:
+        if normalize:
+            train, items = (d.select(i, T.normalize(F.col(text_col)).alias(text_col)) for d, i in ((train, train_id), (items, item_id)))
         return overlaps(train, items, train_id, item_id, lambda t: T.word_ngrams(t, n), text_col)
     word: dict[str, int] = {}
     grams: dict[tuple[int, ...], list[int]] = {}
-    ids, sizes = [], []
-    for r in items.select(F.col(item_id).alias("i"), F.lower(text_col).alias("t")).collect():
-        w = [word.setdefault(x, len(word)) for x in WORDS.findall(r["t"] or "")]
+    ids, sizes, seeds, seed = [], [], set(), min(n, SEED)
+    low = F.col(text_col) if normalize else F.lower(text_col)
+    clean = (lambda t: (T.normalized(t) or "").lower()) if normalize else (lambda t: t or "")
+    for r in items.select(F.col(item_id).alias("i"), low.alias("t")).collect():
+        found = WORDS.findall(clean(r["t"]))
+        seeds.update(zip(*(found[k:] for k in range(seed))))
+        w = [word.setdefault(x, len(word)) for x in found]
         own = set(zip(*(w[k:] for k in range(n))))
         for g in own:
             grams.setdefault(g, []).append(len(ids))
@@ -70,14 +79,16 @@ def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: st
         sizes.append(len(own))
     item_type = to_arrow_type(items.schema[item_id].dataType)
     kind, item_kind = train.schema[train_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    shared = train.sparkSession.sparkContext.broadcast((word, grams, ids, sizes))
+    shared = train.sparkSession.sparkContext.broadcast((word, grams, ids, sizes, seeds))
 
     def run(batches):
-        word, grams, ids, sizes = shared.value
+        word, grams, ids, sizes, seeds = shared.value
         for b in batches:
             rows, found, scores = [], [], []
             for k, text in enumerate(t.as_py() for t in b.column("t")):
-                words = WORDS.findall(text or "")
+                words = WORDS.findall(clean(text))
+                if seeds.isdisjoint(zip(*(words[j :: n - seed + 1] for j in range(seed)))):
+                    continue
                 w = [word.get(x, -1) for x in words]
                 met = {g for g in zip(*(w[j:] for j in range(n))) if g in grams}
                 if met:
@@ -89,15 +100,13 @@ def word_overlaps(train: DataFrame, items: DataFrame, train_id: str, item_id: st
             names = pa.array(found, item_type)
             yield pa.RecordBatch.from_arrays([b.column("train").take(pa.array(rows, pa.int64())), names, pa.array(scores, pa.float64())], names=["train", "item", "jaccard"])
 
-    return train.select(F.col(train_id).alias("train"), F.lower(text_col).alias("t")).mapInArrow(run, f"train {kind}, item {item_kind}, jaccard double").distinct()
+    return train.select(F.col(train_id).alias("train"), low.alias("t")).mapInArrow(run, f"train {kind}, item {item_kind}, jaccard double").distinct()
 
 
 def check(train: DataFrame, items: DataFrame, train_id: str, item_id: str, threshold: float = 0.2, n: int = 8, char_threshold: float = 0.7, char_sizes: tuple[int, ...] = (5, 6, 7, 8, 9, 10), normalize: bool = True) -> DataFrame:
     """Flagged training texts: id, best word-gram and character-gram Jaccard, where either reaches its threshold."""
-    clean = (lambda d, i: d.select(i, T.normalize(F.col("text")).alias("text"))) if normalize else (lambda d, i: d.select(i, "text"))
-    train, items = clean(train, train_id), clean(items, item_id)
-    words = word_overlaps(train, items, train_id, item_id, n).groupBy("train").agg(F.max("jaccard").alias("jaccard"))
-    best = char_pairs(train, items, train_id, item_id, char_sizes, char_threshold).groupBy("train").agg(F.max("jaccard").alias("char_jaccard"))
+    words = word_overlaps(train, items, train_id, item_id, n, normalize=normalize).groupBy("train").agg(F.max("jaccard").alias("jaccard"))
+    best = char_pairs(train, items, train_id, item_id, char_sizes, char_threshold, normalize).groupBy("train").agg(F.max("jaccard").alias("char_jaccard"))
     joined = words.join(best, "train", "full_outer").na.fill(0.0, ["jaccard", "char_jaccard"])
     return joined.where((F.col("jaccard") >= threshold) | (F.col("char_jaccard") >= char_threshold))
 
@@ -109,12 +118,39 @@ BROADCAST_PAIRS = 500_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def char_grams(text: str | None, sizes: tuple[int, ...], most: dict[int, int] | None = None) -> dict[int, np.ndarray]:
+def char_grams(text: str | None, sizes: tuple[int, ...], most: dict[int, int] | None = None, known: np.ndarray | None = None, threshold: float = 0.0) -> dict[int, np.ndarray]:
     """Sorted hashes of the distinct substrings of each size of the lower-cased text; a size's hash is the next smaller one's and one more character.
 
-    A size of which the text's beginning alone has more than ``most`` is left out.
+    A size of which the text has more than ``most`` is left out, if its beginning alone tells so, and one of which too
+    few substrings are ``known`` to make up the threshold's share, if their number before equals are dropped tells so.
+    A text has at most one substring of k characters more than of k + 1, as all others go on by a character.
     """
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    text, out = text or "", {}
+    if most is not None:
+        head = max(most.values(), default=0) * 3 // 2 + 64 + max(sizes)
+        if len(text) > head and "\u03a3" not in text[:head]:  # the lower case of that letter depends on what follows
+            least = min(sizes)
+            if len(_distinct(_rolled(text[:head], (least,))[least])) > max(most.values(), default=0) + max(sizes) - least:
+                return {}
+    at_least, last = 0, 0
+    for k, h in _rolled(text, sizes).items():
+        at_least = max(0, at_least - (k - last))
+        if known is not None and np.count_nonzero(known[_cell(h, len(known))]) < at_least * threshold - 1e-6:
+            last = k
+            continue
+        bound = len(h) if most is None else most[k] + most[k] // 2 + 64
+        if len(h) > bound and len(_distinct(h[:bound])) > most[k]:
+            at_least = most[k]
+        else:
+            out[k] = _distinct(h)
+            at_least = len(out[k])
+        last = k
+    return out
+
+
+def _rolled(text: str, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """The hashes of all substrings of each size, smaller sizes first."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     rolled, power, out = np.zeros(len(codes), np.uint64), np.uint64(1), {}
     for k in range(1, max(sizes) + 1):
         if len(codes) < k:
@@ -124,21 +160,35 @@ def char_grams(text: str | None, sizes: tuple[int, ...], most: dict[int, int] |
         if k in sizes:
             h = rolled + np.uint64(k)
             for m in _MIX:
-                h = (h ^ (h >> np.uint64(31))) * m
-            if most is None or len(np.unique(h[: most[k] + most[k] // 2 + 64])) <= most[k]:
-                out[k] = np.unique(h)
+                h ^= h >> np.uint64(31)
+                h *= m
+            out[k] = h
     return out
 
 
-def sketch(items: DataFrame, sizes: tuple[int, ...], text_col: str = "text") -> tuple[np.ndarray, dict[int, int]]:
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def _cell(grams: np.ndarray, counters: int) -> np.ndarray:
+    """The counters of hashes, of a power of two."""
+    return (grams & np.uint64(counters - 1)).astype(np.int64)
+
+
+def _same(text: str | None) -> str | None:
+    return text
+
+
+def sketch(items: DataFrame, sizes: tuple[int, ...], text_col: str = "text", clean=_same) -> tuple[np.ndarray, dict[int, int]]:
     """Texts of the evaluation side by each counter of their grams, and the most grams of a text of each size."""
 
     def run(batches):
         total, most = np.zeros(SKETCH, np.int64), dict.fromkeys(sizes, 0)
         for b in batches:
             for t in b.column(0):
-                for k, grams in char_grams(t.as_py(), sizes).items():
-                    np.add.at(total, (grams % np.uint64(SKETCH)).astype(np.int64), 1)
+                for k, grams in char_grams(clean(t.as_py()), sizes).items():
+                    np.add.at(total, _cell(grams, len(total)), 1)
                     most[k] = max(most[k], len(grams))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-k for k in sizes] + at.tolist(), pa.int64()), pa.array([most[k] for k in sizes] + total[at].tolist(), pa.int64())], names=["at", "n"])
@@ -153,7 +203,7 @@ def sketch(items: DataFrame, sizes: tuple[int, ...], text_col: str = "text") ->
     return counts, most
 
 
-def _prefixes(df: DataFrame, id_col: str, out: str, sizes: tuple[int, ...], threshold: float, counts, most: dict[int, int] | None) -> DataFrame:
+def _prefixes(df: DataFrame, id_col: str, out: str, sizes: tuple[int, ...], threshold: float, counts, most: dict[int, int] | None, clean) -> DataFrame:
     """A row a gram of a text's prefix that the evaluation side may have: rare grams first, with its place and the text's number of grams.
 
     With ``most``, texts with too many grams of a size to come near any of the other side give none.
@@ -167,12 +217,12 @@ def _prefixes(df: DataFrame, id_col: str, out: str, sizes: tuple[int, ...], thre
         for b in batches:
             rows, parts = [], []
             for i, t in enumerate(b.column("text")):
-                for k, grams in char_grams(t.as_py(), sizes, limit).items():
+                for k, grams in char_grams(clean(t.as_py()), sizes, limit, known, threshold).items():
                     n = len(grams)
                     if limit is not None and n > limit[k]:
                         continue
                     keep = n - math.ceil(n * threshold - 1e-9) + 1
-                    often = known[(grams % np.uint64(SKETCH)).astype(np.int64)]
+                    often = known[_cell(grams, len(known))]
                     if np.count_nonzero(often == 0) >= keep:
                         continue
                     order = np.argsort(often, kind="stable")[:keep]
@@ -185,7 +235,7 @@ def _prefixes(df: DataFrame, id_col: str, out: str, sizes: tuple[int, ...], thre
     return df.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"{out} {kind}, k long, {out}_n long, {out}_at long, h long")
 
 
-def char_pairs(train: DataFrame, items: DataFrame, train_id: str, item_id: str, sizes: tuple[int, ...] = (5, 6, 7, 8, 9, 10), threshold: float = 0.7) -> DataFrame:
+def char_pairs(train: DataFrame, items: DataFrame, train_id: str, item_id: str, sizes: tuple[int, ...] = (5, 6, 7, 8, 9, 10), threshold: float = 0.7, normalize: bool = False) -> DataFrame:
     """(train, item, k, jaccard): pairs of texts whose sets of k characters reach the threshold, for each size.
 
     One pass over each side hashes the grams of all sizes. A Jaccard of t needs a common gram among the first
@@ -193,11 +243,11 @@ def char_pairs(train: DataFrame, items: DataFrame, train_id: str, item_id: str,
     that it lacks before all. Most training texts have a prefix of such grams alone and go no further; of the
     rest, sizes and places bound what a pair can have in common, and what is left is verified on its texts.
     """
-    spark = train.sparkSession
-    counts, most = sketch(items, sizes)
+    spark, clean = train.sparkSession, T.normalized if normalize else _same
+    counts, most = sketch(items, sizes, clean=clean)
     shared = spark.sparkContext.broadcast(counts)
-    a = _prefixes(train, train_id, "train", sizes, threshold, shared, most)
-    b = _prefixes(items, item_id, "item", sizes, threshold, shared, None)
+    a = _prefixes(train, train_id, "train", sizes, threshold, shared, most, clean)
+    b = _prefixes(items, item_id, "item", sizes, threshold, shared, None, clean)
     n, m = F.col("train_n"), F.col("item_n")
     reach = 1 + F.least(n - F.col("train_at"), m - F.col("item_at")) - 1 >= (n + m) * (threshold / (1 + threshold)) - 1e-6
     near = a.join(b, ["k", "h"]).where((n >= m * threshold - 1e-6) & (m >= n * threshold - 1e-6) & reach)
@@ -209,7 +259,7 @@ def char_pairs(train: DataFrame, items: DataFrame, train_id: str, item_id: str,
         for batch in batches:
             found = []
             for k, x, y in zip(batch.column("k"), batch.column("a"), batch.column("b"), strict=True):
-                s, t = (_char_set(v.as_py(), k.as_py()) for v in (x, y))
+                s, t = (_char_set(clean(v.as_py()), k.as_py()) for v in (x, y))
                 found.append(len(s & t) / len(s | t) if s and t else 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("train", "item", "k")], pa.array(found, pa.float64())], names=["train", "item", "k", "jaccard"])
 

@@ -1,9 +1,13 @@
 """Overlaps of texts on both sides of the size limits, and the characters' stage against all pairs."""
 
 import random
+import sys
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from loomtrace.functions import text as T
 from loomtrace.operators import contamination
 
 
@@ -49,3 +53,41 @@ def test_characters_equal_all_pairs(spark, monkeypatch, threshold, limit):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == all_pairs(train, items, (3, 5, 6), threshold)
     assert contamination.char_pairs(a.limit(0), b, "id", "item_id").count() == contamination.char_pairs(a, b.limit(0), "id", "item_id").count() == 0
+
+
+def test_python_normalises_as_the_columns_do(spark):
+    points = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}{chr(c)}b {chr(c)}" for c in points if c < 0x3400 or 0xF900 <= c < 0x10000 or c % 97 == 0]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.normalize(F.col("text")).alias("n")).collect()
+    assert [(r.text, r.n) for r in got if r.n != T.normalized(r.text)] == []
+    assert T.normalized(None) is None
+
+
+def test_a_long_text_is_told_by_its_beginning(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghij klm", k=200_000))
+    seen, rolled = [], contamination._rolled
+    monkeypatch.setattr(contamination, "_rolled", lambda t, sizes: seen.append(len(t)) or rolled(t, sizes))
+    assert contamination.char_grams(text, (5, 7, 10), {5: 500, 7: 510, 10: 510}) == {}
+    assert sum(seen) < 2000
+
+
+def test_texts_without_known_grams_are_not_sorted(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghij klm", k=900))
+    known, sorts, distinct = np.zeros(contamination.SKETCH, np.int32), [], contamination._distinct
+    monkeypatch.setattr(contamination, "_distinct", lambda h: sorts.append(1) or distinct(h))
+    assert set(contamination.char_grams(text, (5, 8, 10), dict.fromkeys((5, 8, 10), 2000), known, 0.3)) == {5}
+    assert len(sorts) == 1
+
+
+@pytest.mark.parametrize("n", [2, 3, 8])
+def test_word_runs_find_every_common_sequence(spark, n):
+    rng = random.Random(n)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(14)))) for k in range(12)]
+    # each item's last n words at every place of a text
+    train = [(100 * k + at, " ".join(["x"] * at + t.split()[-n:] + ["y"] * 9)) for k, t in items for at in range(9)]
+    a, b = (spark.createDataFrame(x, "id long, text string") for x in (train, items))
+    got = {(r.train, r.item) for r in contamination.word_overlaps(a, b.withColumnRenamed("id", "item"), "id", "item", n).collect()}
+    grams = lambda t: set(zip(*(t.split()[k:] for k in range(n))))
+    assert got == {(i, j) for i, s in train for j, t in items if grams(s) & grams(t)}

@@ -1,6 +1,6 @@
 """Text functions: normalisation, n-grams, redaction, injection signals, answers.
 
-Columns stay in the JVM; only Unicode NFKC, which Spark lacks, is an Arrow function.
+Columns stay in the JVM; only Unicode NFKC, which Spark lacks, is a Python function.
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -50,9 +49,14 @@ SENSITIVE_KEYS = (
 )
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+@F.udf(StringType(), useArrow=False)
+def _nfkc(text: str | None) -> str | None:
+    return text if text is None else unicodedata.normalize("NFKC", text)
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC. Only texts that are not ASCII go to Python, a hundred at a time: an Arrow batch has thousands of whole texts, copied several times."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def squeeze(text: Column) -> Column:

@@ -100,3 +100,11 @@ def test_json_texts(spark):
     good = receipt("r", {"a": "1"}, {}, ["m", "m"])
     bad = good | {"operator": "x"}
     assert column(spark, [json.dumps(good), json.dumps(bad), '{"a":1}'], jsontext.receipt_verified) == [True, False, False]
+
+
+def test_nfkc_takes_few_texts_to_python_at_once(spark):
+    values = ["plain", "ﬁ", "é", "", None, "x" * 50_000, "Ａ" * 50_000]
+    assert column(spark, values, text.nfkc) == [v if v is None else unicodedata.normalize("NFKC", v) for v in values]
+    plan = spark.range(1).select(text.nfkc(F.lit("é").cast("string"))).select("*")
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in shown and "ArrowEvalPython" not in shown  # an Arrow batch has up to 10,000 whole texts

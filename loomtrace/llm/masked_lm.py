@@ -28,7 +28,8 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from itertools import chain
+from collections.abc import Iterable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,10 +92,21 @@ class Vocabulary(dict):
     def __missing__(self, word: str) -> int:
         return WORDS + zlib.crc32(word.encode()) % BUCKETS
 
+    def tokens(self, found: list[str]) -> np.ndarray:
+        """The tokens of many words, without a call of Python for any of them."""
+        out = np.fromiter(map(self.get, found, repeat(-1)), np.int32, len(found))
+        other = np.flatnonzero(out < 0)
+        out[other] = WORDS + _buckets(map(str.encode, map(found.__getitem__, other.tolist())), len(other))
+        return out
+
     def __getstate__(self) -> dict:
         return {"held": self.held, "totals": self.totals}  # the table stays with the driver
 
 
+def _buckets(raw: Iterable[bytes], n: int) -> np.ndarray:
+    return (np.fromiter(map(zlib.crc32, raw), np.uint32, n) % BUCKETS).astype(np.int32)
+
+
 def spelt(size):
     """log p(word | bucket, the corpus lacks it), up to the bucket's count, of words of so many bytes."""
     return LOG_BUCKETS - (size + 1) * LOG_BYTES
@@ -293,19 +305,19 @@ class Slots(dict):
         self.words: list[str] = []
         self.token, self.more, self.left, self.size = array("i"), array("d"), array("b"), array("i")
 
-    def met(self, found: list[str]) -> None:
-        """Give slots to the words that have none."""
-        vocab, new = self.vocab, [w for w in dict.fromkeys(found) if w not in self]
-        tokens = np.fromiter((dict.get(vocab, w, -1) for w in new), np.int32, len(new))
+    def met(self, new: list[str]) -> None:
+        """Give slots to words that have none."""
+        vocab = self.vocab
+        tokens = np.fromiter(map(vocab.get, new, repeat(-1)), np.int32, len(new))
         more, left, other = np.zeros(len(new)), np.zeros(len(new), np.int8), np.flatnonzero(tokens < 0)
         outside = [new[k] for k in other.tolist()]
         raw = list(map(str.encode, outside))
-        bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % BUCKETS
+        bucket = _buckets(raw, len(raw))
         tokens[other] = WORDS + bucket
         size = np.zeros(len(new), np.int32)
         size[other] = np.fromiter(map(len, raw), np.int32, len(raw))
         if vocab.totals is not None:
-            held = np.fromiter((vocab.held.get(w, np.nan) for w in outside), np.float64, len(outside))
+            held = np.fromiter(map(vocab.held.get, outside, repeat(np.nan)), np.float64, len(outside))
             left[other] = np.isnan(held)
             more[other] = np.nan_to_num(held) - vocab.totals[bucket]
         self.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
@@ -319,8 +331,13 @@ class Slots(dict):
             self.empty()
         cut = [words(t) for t in texts]
         found = list(chain.from_iterable(cut))
-        self.met(found)
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found)), np.fromiter(map(len, cut), np.int64, len(cut))
+        own = np.fromiter(map(self.get, found, repeat(-1)), np.int64, len(found))
+        other = np.flatnonzero(own < 0)
+        if len(other):
+            unmet = list(map(found.__getitem__, other.tolist()))
+            self.met(list(dict.fromkeys(unmet)))
+            own[other] = np.fromiter(map(self.__getitem__, unmet), np.int64, len(unmet))
+        return own, np.fromiter(map(len, cut), np.int64, len(cut))
 
 
 def placed(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +352,7 @@ def positions(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, n
     """Tokens of all texts with SIDE pads around each, the places of real tokens, and tokens by text."""
     cut = [words(t) for t in texts]
     n = np.fromiter(map(len, cut), np.int64, len(cut))
-    return *placed(np.fromiter(map(vocab.__getitem__, chain.from_iterable(cut)), np.int32, int(n.sum())), n), n
+    return *placed(vocab.tokens(list(chain.from_iterable(cut))), n), n
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -31,3 +31,13 @@ def test_words_outside_the_vocabulary_score_by_their_counts(spark, monkeypatch):
     assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], atol=0.01)
     by = {t: z for t, (_, _, z) in zip(asked, want, strict=True)}
     assert by["w5"] > by["often3"] > by["rare7"] > by["xqzzk"] + 5
+
+
+def test_words_are_looked_up_without_python_calls(monkeypatch):
+    vocab = lm.Vocabulary({"a": 0, "b": 1})
+    found = ["a", "x", "日本", "b", "x", ""]
+    want = [vocab[w] for w in found]
+    monkeypatch.setattr(lm.Vocabulary, "__missing__", lambda self, w: pytest.fail("a call for a word"))
+    assert vocab.tokens(found).tolist() == want and vocab.tokens([]).tolist() == []
+    tokens, at, n = lm.positions(["a x", None, "b"], vocab)
+    assert tokens[at].tolist() == [want[0], want[1], want[3]] and n.tolist() == [2, 0, 1]

@@ -31,12 +31,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start, step)
 
 
-def map_slices(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over bounded slices; ``fn()`` runs once a task and returns the per-slice function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
-        for piece in slices(batches, column):
+        for piece in slices(batches, column, limit):
             yield each(piece)
 
     return df.mapInArrow(run, schema)

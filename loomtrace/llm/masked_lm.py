@@ -26,17 +26,15 @@ table; further columns are ignored. Scores are float32 sums: equal texts agree t
 from __future__ import annotations
 
 import zlib
-from array import array
-from collections import Counter
-from collections.abc import Iterable
-from itertools import chain, repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import checkpointed, map_slices, slices
+from loomtrace.llm.common import SLICE_BYTES, checkpointed, map_slices, slices
 
 CLASSES = 48
 TOKENS = CLASSES * CLASSES
@@ -44,35 +42,53 @@ BUCKETS = 256
 WORDS = TOKENS - BUCKETS
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE = 2, 1024, 0.08
-#: Distinct words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
-COUNTED, BLOCK, SALTS = 100_000, 1 << 14, 32
+#: Words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
+COUNTED, BLOCK, SALTS = 2_000_000, 1 << 14, 32
 PAD = TOKENS
+#: Bytes of a word that is hashed beside others, and the remainders of the CRC by byte.
+SHORT, CRC = 32, np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], np.uint32)
 LOG_BUCKETS, LOG_BYTES = float(np.log(BUCKETS)), float(np.log(257))
-#: Words whose counts every executor holds, and slots of a task beyond which it begins anew.
-KNOWN, HELD = 100_000, 300_000
+#: Words whose counts every executor holds.
+KNOWN = 100_000
+#: Logits of at most this size either way need no shift before their exponentials are summed in float32.
+FLAT = 60
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def split(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """``words`` of all texts, one after another, and the words of each text; Arrow's white space is Python's."""
+    cut = pc.utf8_split_whitespace(pa.array([(t or "").lower().strip() or None for t in texts], pa.string()))
+    return cut.flatten(), pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
+
+
+def encoded(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts, which of them each word is, and the words of each text."""
+    found, n = split(texts)
+    found = found.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), n
+
+
 def frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n over all texts; each task sends partial counts of at most COUNTED words at a time."""
+    """word, n over all texts; each task sends partial counts of near COUNTED words at a time."""
 
     def run(batches):
-        held: Counter[str] = Counter()
+        held: list[pa.Array] = []
 
         def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            found = pa.chunked_array(held, pa.string()).dictionary_encode().combine_chunks()
+            found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)))], names=["word", "n"])
 
         for p in slices(batches, "text"):
-            for t in p.column("text").to_pylist():
-                held.update(words(t))
-            if len(held) > COUNTED:
+            held.append(split(p.column("text").to_pylist())[0])
+            if sum(map(len, held)) > COUNTED:
                 yield sent()
-        yield sent()
+        if held:
+            yield sent()
 
     partial = df.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -92,19 +108,53 @@ class Vocabulary(dict):
     def __missing__(self, word: str) -> int:
         return WORDS + zlib.crc32(word.encode()) % BUCKETS
 
-    def tokens(self, found: list[str]) -> np.ndarray:
-        """The tokens of many words, without a call of Python for any of them."""
-        out = np.fromiter(map(self.get, found, repeat(-1)), np.int32, len(found))
-        other = np.flatnonzero(out < 0)
-        out[other] = WORDS + _buckets(map(str.encode, map(found.__getitem__, other.tolist())), len(other))
+    @cached_property
+    def listed(self) -> tuple[pa.Array, np.ndarray]:
+        """Its words and their tokens."""
+        return pa.array(list(self), pa.string()), np.fromiter(self.values(), np.int32, len(self))
+
+    @cached_property
+    def counted(self) -> tuple[pa.Array, np.ndarray]:
+        """The words of ``held`` and their log counts."""
+        return pa.array(list(self.held), pa.string()), np.fromiter(self.held.values(), np.float64, len(self.held))
+
+    def tokens(self, found: pa.Array | list[str]) -> np.ndarray:
+        """The tokens of many words, without a call of Python for any that it has."""
+        found = found if isinstance(found, pa.Array) else pa.array(found, pa.string())
+        own, token = self.listed
+        at = _places(found, own)
+        out, other = np.empty(len(found), np.int32), np.flatnonzero(at < 0)
+        out[at >= 0] = token[at[at >= 0]]
+        out[other] = WORDS + _buckets(found.take(pa.array(other)))
         return out
 
     def __getstate__(self) -> dict:
         return {"held": self.held, "totals": self.totals}  # the table stays with the driver
 
 
-def _buckets(raw: Iterable[bytes], n: int) -> np.ndarray:
-    return (np.fromiter(map(zlib.crc32, raw), np.uint32, n) % BUCKETS).astype(np.int32)
+def _places(found: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word among others, or -1."""
+    return pc.fill_null(pc.index_in(found, value_set=among), -1).to_numpy()
+
+
+def _buckets(found: pa.Array) -> np.ndarray:
+    """The hash bucket of each word; words of up to SHORT bytes byte by byte together, longest first."""
+    if not len(found):
+        return np.zeros(0, np.int32)
+    _, offsets, data = found.buffers()
+    ends = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+    raw = np.frombuffer(data or b"", np.uint8)
+    order = np.argsort(ends[:-1] - ends[1:], kind="stable")
+    first, size = ends[:-1][order], np.diff(ends)[order]
+    crc = np.full(len(found), 0xFFFFFFFF, np.uint32)
+    more = np.searchsorted(-size, -np.arange(SHORT + 1))  # so many words have more than 0, 1, ... bytes
+    long = more[SHORT]
+    for k, m in enumerate(more[:SHORT].tolist()):
+        crc[long:m] = CRC[(crc[long:m] ^ raw[first[long:m] + k]) & 255] ^ (crc[long:m] >> 8)
+    out = np.empty(len(found), np.int32)
+    out[order] = ~crc % BUCKETS
+    out[order[:long]] = [zlib.crc32(raw[a : a + n]) % BUCKETS for a, n in zip(first[:long].tolist(), size[:long].tolist(), strict=True)]
+    return out
 
 
 def spelt(size):
@@ -159,9 +209,8 @@ SHAPES = {
     "embed": (TOKENS + 1, WIDTH),
     "w1": (2 * SIDE * WIDTH, HIDDEN),
     "b1": (HIDDEN,),
-    "wc": (HIDDEN, CLASSES),
-    "bc": (CLASSES,),
-    "wt": (CLASSES, HIDDEN + 1, CLASSES),  # the last row is the bias
+    "wc": (HIDDEN + 1, CLASSES),  # the last row is the bias, as below
+    "wt": (CLASSES, HIDDEN + 1, CLASSES),
 }
 
 
@@ -174,7 +223,7 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
-        self.bt = self.wt[:, HIDDEN]
+        self.bc, self.bt = self.wc[HIDDEN], self.wt[:, HIDDEN]
         self.held: dict[str, np.ndarray] = {}
 
     @staticmethod
@@ -188,7 +237,7 @@ class Network:
         net.embed[:] = rng.normal(0, 0.3, net.embed.shape)
         net.embed[PAD] = 0
         net.w1[:] = rng.normal(0, (2 * SIDE * WIDTH) ** -0.5, net.w1.shape)
-        net.wc[:] = rng.normal(0, 0.05, net.wc.shape)
+        net.wc[:HIDDEN] = rng.normal(0, 0.05, (HIDDEN, CLASSES))
         net.wt[:, :HIDDEN] = rng.normal(0, 0.05, (CLASSES, HIDDEN, CLASSES))
         by_class = share.reshape(CLASSES, CLASSES)
         net.bc[:] = np.log(by_class.sum(axis=1))
@@ -203,39 +252,40 @@ class Network:
         return self.held[name][:size].reshape(shape)
 
     def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embedded sides (position x side) and the hidden layer (unit x position), with a row of ones."""
+        """The embedded sides (position x side) and the hidden layer (position x unit), with a column of ones."""
         n = len(context)
         x = self._room("x", n * 2 * SIDE, WIDTH)
         np.take(self.embed, context.ravel(), axis=0, out=x, mode="clip")
-        x, h = x.reshape(n, -1), self._room("h", HIDDEN + 1, n)
-        h[HIDDEN] = 1
-        own = h[:HIDDEN]
-        np.matmul(self.w1.T, x.T, out=own)
-        own += self.b1[:, None]
-        np.tanh(own, out=own)
+        x, h = x.reshape(n, -1), self._room("h", n, HIDDEN + 1)
+        own = np.matmul(x, self.w1, out=self._room("own", n, HIDDEN))
+        own += self.b1
+        np.tanh(own, out=h[:, :HIDDEN])
+        h[:, HIDDEN] = 1
         return x, h
 
     def _classes(self, h: np.ndarray) -> np.ndarray:
-        """Logits (class x position)."""
-        out = np.matmul(self.wc.T, h[:HIDDEN], out=self._room("logits", CLASSES, h.shape[1]))
-        out += self.bc[:, None]
-        return out
+        """Logits (position x class)."""
+        return np.matmul(h, self.wc, out=self._room("logits", len(h), CLASSES))
 
     def _tokens(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
-        """Logits (token in its class x position) of positions in the order of their classes."""
-        out = self._room("logits", CLASSES, h.shape[1])
+        """Logits (position x token in its class) of positions in the order of their classes."""
+        out = self._room("logits", len(h), CLASSES)
         for c, a, b in runs:
-            np.matmul(self.wt[c].T, h[:, a:b], out=out[:, a:b])
+            np.matmul(h[a:b], self.wt[c], out=out[a:b])
         return out
 
+    def _flat(self) -> bool:
+        """Whether no logit can be beyond FLAT, as the hidden units are within -1 and 1."""
+        return max(np.abs(w).sum(axis=-2).max() for w in (self.wc, self.wt)) <= FLAT
+
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | both sides) of every position."""
         order, runs = _by_class(target)
         target = target[order]
         _, h = self._hidden(context[order])
-        out = np.empty(len(target), h.dtype)
-        out[order] = _picked(self._classes(h), target // CLASSES)
-        out[order] += _picked(self._tokens(h, runs), target % CLASSES)
+        out, flat = np.empty(len(target), h.dtype), self._flat()
+        out[order] = _picked(self._classes(h), target // CLASSES, flat)
+        out[order] += _picked(self._tokens(h, runs), target % CLASSES, flat)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray, into: Network) -> None:
@@ -243,44 +293,44 @@ class Network:
         n = len(target)
         order, runs = _by_class(target)
         context, target = context[order], target[order]
-        x, h = self._hidden(context)
-        d = _slope(self._classes(h), target // CLASSES, n)
-        into.wc += h[:HIDDEN] @ d.T
-        into.bc += d.sum(axis=1)
-        back = np.matmul(self.wc, d, out=self._room("back", HIDDEN, n))
-        d = _slope(self._tokens(h, runs), target % CLASSES, n)
-        slope, own = self._room("slope", *self.wt.shape), self._room("own", HIDDEN, n)
+        (x, h), flat = self._hidden(context), self._flat()
+        d = _slope(self._classes(h), target // CLASSES, n, flat)
+        into.wc += h.T @ d
+        back = np.matmul(d, self.wc[:HIDDEN].T, out=self._room("back", n, HIDDEN))
+        d = _slope(self._tokens(h, runs), target % CLASSES, n, flat)
+        slope, own = self._room("slope", *self.wt.shape), self._room("own", n, HIDDEN)
         for c, a, b in runs:
-            np.matmul(h[:, a:b], d[:, a:b].T, out=slope[c])
-            np.matmul(self.wt[c, :HIDDEN], d[:, a:b], out=own[:, a:b])
+            np.matmul(h[a:b].T, d[a:b], out=slope[c])
+            np.matmul(d[a:b], self.wt[c, :HIDDEN].T, out=own[a:b])
         met = [c for c, _, _ in runs]
         into.wt[met] += slope[met]
         back += own
-        h = h[:HIDDEN]
-        h *= h
-        back *= np.subtract(1, h, out=h)
-        into.w1 += (back @ x).T
-        into.b1 += back.sum(axis=1)
+        np.square(h[:, :HIDDEN], out=own)
+        back *= np.subtract(1, own, out=own)
+        into.w1 += x.T @ back
+        into.b1 += back.sum(axis=0)
         side = context.ravel().astype(np.int16)
         order = np.argsort(side, kind="stable")
         side = side[order]
         first = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
-        at_x = np.matmul(back.T, self.w1.T, out=self._room("at_x", n, 2 * SIDE * WIDTH)).reshape(-1, WIDTH)
+        at_x = np.matmul(back, self.w1.T, out=self._room("at_x", n, 2 * SIDE * WIDTH)).reshape(-1, WIDTH)
         into.embed[side[first]] += np.add.reduceat(np.take(at_x, order, axis=0, out=x.reshape(-1, WIDTH), mode="clip"), first, axis=0)
         into.embed[PAD] = 0
 
 
-def _picked(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=0)
-    own = logits[which, np.arange(len(which))]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=0))
+def _picked(logits: np.ndarray, which: np.ndarray, flat: bool) -> np.ndarray:
+    if not flat:
+        logits -= logits.max(axis=1)[:, None]
+    own = logits[np.arange(len(which)), which]
+    return own - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype))
 
 
-def _slope(logits: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
-    logits -= logits.max(axis=0)
+def _slope(logits: np.ndarray, which: np.ndarray, n: int, flat: bool) -> np.ndarray:
+    if not flat:
+        logits -= logits.max(axis=1)[:, None]
     p = np.exp(logits, out=logits)
-    p *= 1 / (n * p.sum(axis=0))
-    p[which, np.arange(len(which))] -= 1 / n
+    p *= (1 / (n * (p @ np.ones(CLASSES, p.dtype))))[:, None]
+    p[np.arange(len(which)), which] -= 1 / n
     return p
 
 
@@ -292,54 +342,6 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
     return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
 
 
-class Slots(dict):
-    """word -> slot, for the words that a task met lately; what a slot's word scores is in columns."""
-
-    def __init__(self, vocab: Vocabulary):
-        super().__init__()
-        self.vocab = vocab
-        self.empty()
-
-    def empty(self) -> None:
-        self.clear()
-        self.words: list[str] = []
-        self.token, self.more, self.left, self.size = array("i"), array("d"), array("b"), array("i")
-
-    def met(self, new: list[str]) -> None:
-        """Give slots to words that have none."""
-        vocab = self.vocab
-        tokens = np.fromiter(map(vocab.get, new, repeat(-1)), np.int32, len(new))
-        more, left, other = np.zeros(len(new)), np.zeros(len(new), np.int8), np.flatnonzero(tokens < 0)
-        outside = [new[k] for k in other.tolist()]
-        raw = list(map(str.encode, outside))
-        bucket = _buckets(raw, len(raw))
-        tokens[other] = WORDS + bucket
-        size = np.zeros(len(new), np.int32)
-        size[other] = np.fromiter(map(len, raw), np.int32, len(raw))
-        if vocab.totals is not None:
-            held = np.fromiter(map(vocab.held.get, outside, repeat(np.nan)), np.float64, len(outside))
-            left[other] = np.isnan(held)
-            more[other] = np.nan_to_num(held) - vocab.totals[bucket]
-        self.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.words += new
-        for column, values in ((self.token, tokens), (self.more, more), (self.left, left), (self.size, size)):
-            column.frombytes(values.tobytes())
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The slots of all words of the texts, and the words of each text."""
-        if len(self) > HELD:
-            self.empty()
-        cut = [words(t) for t in texts]
-        found = list(chain.from_iterable(cut))
-        own = np.fromiter(map(self.get, found, repeat(-1)), np.int64, len(found))
-        other = np.flatnonzero(own < 0)
-        if len(other):
-            unmet = list(map(found.__getitem__, other.tolist()))
-            self.met(list(dict.fromkeys(unmet)))
-            own[other] = np.fromiter(map(self.__getitem__, unmet), np.int64, len(unmet))
-        return own, np.fromiter(map(len, cut), np.int64, len(cut))
-
-
 def placed(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts with SIDE pads around each, and the places of real tokens."""
     out = np.full(len(tokens) + SIDE * (len(n) + 1), PAD, np.int32)
@@ -350,9 +352,8 @@ def placed(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def positions(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts with SIDE pads around each, the places of real tokens, and tokens by text."""
-    cut = [words(t) for t in texts]
-    n = np.fromiter(map(len, cut), np.int64, len(cut))
-    return *placed(vocab.tokens(list(chain.from_iterable(cut))), n), n
+    found, which, n = encoded(texts)
+    return *placed(vocab.tokens(found)[which], n), n
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -432,9 +433,9 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     return vocab, net
 
 
-def _summed(own: np.ndarray, n: np.ndarray, slots: Slots, net: Network) -> np.ndarray:
-    """Summed conditional log-probabilities of the texts whose words' slots are given."""
-    tokens, at = placed(np.frombuffer(slots.token, np.int32)[own], n)
+def _summed(tokens: np.ndarray, n: np.ndarray, net: Network) -> np.ndarray:
+    """Summed conditional log-probabilities of the texts whose words' tokens are given."""
+    tokens, at = placed(tokens, n)
     logs = np.zeros(len(at) + 1)
     for a in range(0, len(at), 8 * BATCH):
         part = at[a : a + 8 * BATCH]
@@ -444,11 +445,22 @@ def _summed(own: np.ndarray, n: np.ndarray, slots: Slots, net: Network) -> np.nd
     return sums[ends] - sums[ends - n]
 
 
+def _outside(found: pa.Array, token: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """What words add to the log-probability of their tokens, and which words' counts are to be joined."""
+    more, left = np.zeros(len(found)), np.zeros(len(found), bool)
+    other = np.flatnonzero(token >= WORDS)
+    if vocab.totals is not None:
+        counted, log = vocab.counted
+        at = _places(found.take(pa.array(other)), counted)
+        left[other] = at < 0
+        more[other] = np.append(log, 0)[at] - vocab.totals[token[other] - WORDS]
+    return more, left
+
+
 def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed conditional log-probabilities of each text; a word outside the vocabulary counts as its bucket."""
-    slots = Slots(vocab)
-    own, n = slots.of(texts)
-    return n, _summed(own, n, slots, net)
+    found, which, n = encoded(texts)
+    return n, _summed(vocab.tokens(found)[which], n, net)
 
 
 def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -458,30 +470,31 @@ def score(df: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id"
 
     def task():
         vocab, flat = shared.value
-        net, slots = Network(flat), Slots(vocab)
+        net = Network(flat)
 
         def each(p: pa.RecordBatch) -> pa.RecordBatch:
             """A row a text, under a word that no text can have, and a row a word to be joined."""
             row = p.column("row").to_pylist()
-            own, n = slots.of(p.column("text").to_pylist())
-            total = _summed(own, n, slots, net)
-            of_text = np.repeat(np.arange(len(n)), n)
-            total += np.bincount(of_text, np.frombuffer(slots.more)[own], len(n))
-            left = np.frombuffer(slots.left, np.int8)[own] != 0
-            found, times = np.unique(of_text[left] * np.int64(len(slots.words)) + own[left], return_counts=True)
-            text, slot = np.divmod(found, max(len(slots.words), 1))
-            unseen = spelt(np.frombuffer(slots.size, np.int32)[slot])
-            key = list(map(slots.words.__getitem__, slot.tolist()))
+            found, which, n = encoded(p.column("text").to_pylist())
+            token = vocab.tokens(found)
+            more, left = _outside(found, token, vocab)
+            of_text, left = np.repeat(np.arange(len(n)), n), left[which]
+            total = _summed(token[which], n, net)
+            total += np.bincount(of_text, more[which], len(n))
+            met, times = np.unique(of_text[left] * np.int64(len(found)) + which[left], return_counts=True)
+            text, word = np.divmod(met, max(len(found), 1))
+            key = found.take(pa.array(word))
+            unseen = spelt(pc.binary_length(key).to_numpy())
             none = lambda column: pa.concat_arrays([column, pa.nulls(len(key), column.type)])
             both = lambda a, b: pa.array(np.concatenate([a, b]))
             columns = [both(p.column("row").to_numpy(), p.column("row").to_numpy()[text]), none(p.column("doc_id")), none(pa.array(n, pa.int64())), none(pa.array(total, pa.float64()))]
-            columns += [pa.array([f" {r}" for r in row] + key, pa.string()), both(np.zeros(len(row), np.int64), times), both(np.zeros(len(row)), unseen)]
+            columns += [pa.concat_arrays([pa.array([f" {r}" for r in row], pa.string()), key]), both(np.zeros(len(row), np.int64), times), both(np.zeros(len(row)), unseen)]
             return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "log_prob", "word", "times", "unseen"])
 
         return each
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = map_slices(rows, task, f"row long, doc_id {kind}, n_tokens long, log_prob double, word string, times long, unseen double")
+    parts = map_slices(rows, task, f"row long, doc_id {kind}, n_tokens long, log_prob double, word string, times long, unseen double", limit=4 * SLICE_BYTES)
     if vocab.rest is not None:
         parts = parts.join(vocab.rest.select("word", F.log("n").alias("seen")), "word", "left")
         more = F.sum(F.col("times") * F.coalesce("seen", "unseen"))

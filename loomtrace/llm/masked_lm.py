@@ -42,8 +42,8 @@ BUCKETS = 256
 WORDS = TOKENS - BUCKETS
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE = 2, 1024, 0.08
-#: Words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
-COUNTED, BLOCK, SALTS = 2_000_000, 1 << 14, 32
+#: Bytes of words that a task counts before it sends them on; floats of a parameter block; salts of the first averaging.
+COUNTED, BLOCK, SALTS = 1 << 25, 1 << 14, 32
 PAD = TOKENS
 #: Bytes of a word that is hashed beside others, and the remainders of the CRC by byte.
 SHORT, CRC = 32, np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], np.uint32)
@@ -72,7 +72,7 @@ def encoded(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n over all texts; each task sends partial counts of near COUNTED words at a time."""
+    """word, n over all texts; each task sends partial counts of words of near COUNTED bytes at a time."""
 
     def run(batches):
         held: list[pa.Array] = []
@@ -85,7 +85,7 @@ def frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
 
         for p in slices(batches, "text"):
             held.append(split(p.column("text").to_pylist())[0])
-            if sum(map(len, held)) > COUNTED:
+            if sum(x.nbytes for x in held) > COUNTED:
                 yield sent()
         if held:
             yield sent()
@@ -99,6 +99,7 @@ class Vocabulary(dict):
 
     ``held`` has the log counts of the most frequent words outside it, ``rest`` (word, n) all others,
     and ``totals`` the log of each bucket's count; without ``rest`` a word counts as its bucket.
+    Nothing is added once its tokens have been asked for.
     """
 
     held: dict[str, float] = {}
